@@ -19,6 +19,11 @@ MISSING = "NA"
 LITERAL_MAP_MAX = 100_000   # above this a fitted map is joined instead of inlined
 
 
+def _utf8(s: str) -> bytes:
+    """Sort key equal to Spark's binary string order."""
+    return s.encode("utf-8")
+
+
 def cat_value(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
 
@@ -26,17 +31,31 @@ def cat_value(c: str) -> Column:
 def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, split_col: str = "split") -> DataFrame:
     """Codes 1..K for the distinct TRAIN values of each present column, in code-point order.
 
-    NA is an ordinary value here (it gets its own code when train contains nulls). The ids come
-    from the bucketed ``dense_index``, so no step holds a column's whole value set in one task.
+    NA is an ordinary value here (it gets its own code when train contains nulls). One aggregate
+    finds the distinct (column, value) pairs; when there are at most ``LITERAL_MAP_MAX`` of them
+    the codes are assigned on that small fitted table directly, otherwise each column goes through
+    the bucketed ``dense_index`` so no step holds a column's whole value set in one task.
     """
     train = df.where(F.col(split_col) == TRAIN)
+    present = [c for c in cols if c in df.columns]
+    spark = df.sparkSession
+    schema = "column string, value string, code int"
+    if not present:
+        return spark.createDataFrame([], schema)
+    pairs = reduce(DataFrame.unionByName,
+                   [train.select(F.lit(c).alias("column"), cat_value(c).alias("value")) for c in present]).distinct()
+    small = pairs.limit(LITERAL_MAP_MAX + 1).collect()
+    if len(small) <= LITERAL_MAP_MAX:
+        by_col: dict[str, list[str]] = {}
+        for r in small:
+            by_col.setdefault(r["column"], []).append(r["value"])
+        rows = [(c, v, i + 1) for c in present for i, v in enumerate(sorted(by_col.get(c, []), key=_utf8))]
+        return spark.createDataFrame(rows, schema)
     parts = []
-    for c in [c for c in cols if c in df.columns]:
+    for c in present:
         vals = train.select(cat_value(c).alias("value"))
         idx = dense_index(vals, "value", "idx")
         parts.append(idx.select(F.lit(c).alias("column"), "value", (F.col("idx") + 1).cast("int").alias("code")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, value string, code int")
     return reduce(DataFrame.unionByName, parts)
 
 

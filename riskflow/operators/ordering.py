@@ -16,21 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BISECT_BUCKETS = 1024          # histogram buckets per bisection pass
+BISECT_BUCKETS = 1 << 16       # histogram buckets per bisection pass (<= 64k rows to the driver)
 ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one task's share)
 SAMPLES_PER_BUCKET = 40        # boundary sample density
 
 
-def exact_kth(df: DataFrame, col: str, ks: list[int]) -> list[int]:
+def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list[int]]:
     """Exact k-th smallest (1-based) values of a BIGINT column, all targets resolved together.
 
     Each pass scans the one column, keeps rows inside the unresolved ranges (pushed down to the
     scan) and counts them in at most ``BISECT_BUCKETS`` equal-width buckets per target; map-side
-    partial aggregation makes a hot value cost nothing extra. A 64-bit range needs at most 7 passes,
-    epoch seconds over decades 3.
+    partial aggregation makes a hot value cost nothing extra. Epoch seconds need 2 passes, any
+    64-bit range at most 4. ``ks`` is a list of ranks or a function of the non-null count ``n``.
+    Returns ``(n, values)``.
     """
     st = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n = int(st["n"])
+    if callable(ks):
+        ks = ks(n)
     for k in ks:
         if not 1 <= k <= n:
             raise ValueError(f"rank {k} outside 1..{n}")
@@ -74,7 +77,7 @@ def exact_kth(df: DataFrame, col: str, ks: list[int]) -> list[int]:
                 acc += cnt
             else:  # pragma: no cover - counts always reach k
                 raise RuntimeError("bisection lost the target rank")
-    return [done[i] for i in range(len(ks))]
+    return n, [done[i] for i in range(len(ks))]
 
 
 def _bucket_of(v: Column, bounds: list, descending: bool) -> Column:

@@ -39,9 +39,13 @@ def cutoffs(df: DataFrame, t: str = "unix_time", test_size: float = TEST_SIZE,
             val_size: float = VAL_SIZE) -> Cutoffs:
     """D1 cutoffs: the exact ``n_train``-th and ``(n_train + n_val)``-th smallest times."""
     times = df.select(F.col(t).cast("bigint").alias(t))
-    n = times.where(F.col(t).isNotNull()).count()
+
+    def ranks(n):
+        n_train, n_val, _ = split_sizes(n, test_size, val_size)
+        return [n_train, n_train + n_val]
+
+    n, (c1, c2) = exact_kth(times, t, ranks)
     n_train, n_val, n_test = split_sizes(n, test_size, val_size)
-    c1, c2 = exact_kth(times, t, [n_train, n_train + n_val])
     return Cutoffs(n, n_train, n_val, n_test, c1, c2)
 
 
