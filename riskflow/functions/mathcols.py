@@ -32,3 +32,8 @@ def focal_with_logits(z, y, alpha: float = 0.25, gamma: float = 2.0) -> Column:
     if alpha >= 0:
         loss = (F.lit(float(alpha)) * yd + F.lit(1.0 - alpha) * (1.0 - yd)) * loss
     return loss
+
+
+def round_half_up(c, d: int) -> Column:
+    """Round the shortest decimal form half away from zero (2.675 -> 2.68), returned as DOUBLE."""
+    return F.round(_c(c).cast("decimal(38,10)"), d).cast("double")

@@ -1,6 +1,7 @@
 """Order-dependent building blocks that never put the whole table in one task.
 
-* ``exact_kth``        exact k-th smallest value of an integral column by counting bisection
+* ``order_stats``      exact k-th smallest values (per group) by counting bisection
+* ``exact_quantiles``  interpolated quantiles built on ``order_stats``
 * ``running_totals``   cumulative sums along a global order, bucketed by sampled boundaries
 * ``dense_index``      0-based position of each distinct key in sort order (B3)
 
@@ -21,69 +22,115 @@ ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one tas
 SAMPLES_PER_BUCKET = 40        # boundary sample density
 
 
-def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list[int]]:
-    """Exact k-th smallest (1-based) values of a BIGINT column, all targets resolved together.
+def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None = None) -> dict:
+    """Exact k-th smallest (1-based) values of a numeric column, per group, by counting bisection.
 
-    Each pass scans the one column, keeps rows inside the unresolved ranges (pushed down to the
-    scan) and counts them in at most ``BISECT_BUCKETS`` equal-width buckets per target; map-side
-    partial aggregation makes a hot value cost nothing extra. Epoch seconds need 2 passes, any
-    64-bit range at most 4. ``ks`` is a list of ranks or a function of the non-null count ``n``.
-    Returns ``(n, values)``.
+    ``targets`` holds ``(group, k)`` pairs (group ``None`` when ``by`` is None). Each pass keeps the
+    rows inside the unresolved value ranges (pushed down to the scan) and counts them, with min
+    and max, in at most ``BISECT_BUCKETS`` equal-width buckets per target; the next range is the
+    tight [min, max] of the bucket holding rank k. Map-side partial aggregation makes a hot key
+    or value cost nothing extra; only bucket summaries reach the driver. Suits a modest number of
+    targets (groups x ranks); many groups use a keyed window instead (``group_median``).
     """
-    st = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    n = int(st["n"])
-    if callable(ks):
-        ks = ks(n)
-    for k in ks:
-        if not 1 <= k <= n:
-            raise ValueError(f"rank {k} outside 1..{n}")
-    # per target: [lo, hi, rows below lo]
-    state = {i: [int(st["lo"]), int(st["hi"]), 0] for i in range(len(ks))}
-    done: dict[int, int] = {}
-    for i, (lo, hi, _) in state.items():
-        if lo == hi:
-            done[i] = lo
-    while len(done) < len(ks):
+    c = F.col(col)
+    gcol = F.col(by) if by else F.lit(None).cast("string")
+    st = df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(
+        F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
+    stats = {r["g"]: r for r in st}
+    state, done = {}, {}
+    for i, (g, k) in enumerate(targets):
+        r = stats.get(g)
+        if r is None or not 1 <= k <= r["n"]:
+            raise ValueError(f"rank {k} outside 1..{r['n'] if r else 0} for group {g!r}")
+        state[i] = [r["lo"], r["hi"], 0]
+        if r["lo"] == r["hi"]:
+            done[i] = r["lo"]
+    while len(done) < len(targets):
         open_ = {i: s for i, s in state.items() if i not in done}
-        widths = {i: -(-(hi - lo + 1) // BISECT_BUCKETS) for i, (lo, hi, _) in open_.items()}
-        c = F.col(col)
         tags, conds = [], []
         for i, (lo, hi, _) in open_.items():
             inside = c.between(F.lit(lo), F.lit(hi))
+            if by:
+                inside = inside & (F.col(by) == F.lit(targets[i][0]))
             conds.append(inside)
-            bucket = F.expr(f"(`{col}` - {lo}L) div {widths[i]}L")
-            tags.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("b"))))
+            pos = F.floor((c - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * F.lit(BISECT_BUCKETS))
+            bucket = F.least(pos, F.lit(BISECT_BUCKETS - 1)).cast("int")
+            tags.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("b"), c.alias("v"))))
         cond = conds[0]
         for x in conds[1:]:
             cond = cond | x
         counts = (df.where(cond)
                     .select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("x"))
-                    .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b")).count()
+                    .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
                     .collect())
         per: dict[int, list] = {}
         for r in counts:
-            per.setdefault(int(r["i"]), []).append((int(r["b"]), int(r["count"])))
+            per.setdefault(int(r["i"]), []).append((int(r["b"]), int(r["n"]), r["lo"], r["hi"]))
         for i, (lo, hi, below) in open_.items():
-            k = ks[i]
+            k = targets[i][1]
             acc = below
-            for b, cnt in sorted(per.get(i, [])):
+            for b, cnt, blo, bhi in sorted(per.get(i, [])):
                 if acc + cnt >= k:
-                    nlo = lo + b * widths[i]
-                    nhi = min(hi, nlo + widths[i] - 1)
-                    state[i] = [nlo, nhi, acc]
-                    if nlo == nhi:
-                        done[i] = nlo
+                    state[i] = [blo, bhi, acc]
+                    if blo == bhi:
+                        done[i] = blo
                     break
                 acc += cnt
             else:  # pragma: no cover - counts always reach k
                 raise RuntimeError("bisection lost the target rank")
-    return n, [done[i] for i in range(len(ks))]
+    return {targets[i]: done[i] for i in range(len(targets))}
 
 
-def _bucket_of(v: Column, bounds: list, descending: bool) -> Column:
+def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
+    """Exact k-th smallest values of one column; ``ks`` may be a function of the count ``n``."""
+    n = df.where(F.col(col).isNotNull()).count()
+    ks = ks(n) if callable(ks) else ks
+    got = order_stats(df, col, [(None, k) for k in ks])
+    return n, [got[(None, k)] for k in ks]
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = None) -> DataFrame:
+    """Linearly interpolated quantiles (numpy 'linear', Spark ``percentile``) computed exactly.
+
+    Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``.
+    """
+    c = F.col(col)
+    gcol = F.col(by) if by else F.lit(None).cast("string")
+    ns = {r["g"]: int(r["n"]) for r in df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(F.count(c).alias("n")).collect()}
+    targets, plan = set(), {}
+    for g, n in ns.items():
+        for j, q in enumerate(qs):
+            h = (n - 1) * q
+            lo = math.floor(h)
+            hi = min(lo + 1, n - 1)
+            plan[(g, j)] = (lo, hi, h - lo)
+            targets |= {(g, lo + 1), (g, hi + 1)}
+    got = order_stats(df, col, sorted(targets, key=lambda t: (str(t[0]), t[1])), by) if targets else {}
+    rows = []
+    for g, n in ns.items():
+        vals = []
+        for j in range(len(qs)):
+            lo, hi, frac = plan[(g, j)]
+            a, b = float(got[(g, lo + 1)]), float(got[(g, hi + 1)])
+            vals.append(a + frac * (b - a))
+        rows.append(((g,) if by else ()) + tuple(vals) + (n,))
+    fields = ([T.StructField(by, df.schema[by].dataType)] if by else []) + \
+        [T.StructField(f"q_{j}", T.DoubleType()) for j in range(len(qs))] + [T.StructField("n", T.LongType())]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
+def _literal(x, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_literal(x[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+    return F.lit(x).cast(dtype)
+
+
+def _bucket_of(v: Column, bounds: list, descending: bool, dtype: T.DataType) -> Column:
+    """Index of the value range holding ``v``; struct values compare field by field."""
     if not bounds:
         return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
+    arr = F.array(*[_literal(b, dtype) for b in bounds])
     if descending:
         return F.size(F.filter(arr, lambda b: b > v))
     return F.size(F.filter(arr, lambda b: b < v))
@@ -94,7 +141,7 @@ def _sample_bounds(df: DataFrame, col: str, n: int, buckets: int, descending: bo
     want = buckets * SAMPLES_PER_BUCKET
     frac = min(1.0, want / max(n, 1))
     vals = [r[0] for r in df.select(col).sample(False, frac, seed=17).where(F.col(col).isNotNull()).collect()]
-    vals = sorted(set(vals), reverse=descending)
+    vals = sorted(set(tuple(v) if isinstance(v, T.Row) else v for v in vals), reverse=descending)
     if len(vals) < 2:
         return []
     step = len(vals) / buckets
@@ -115,7 +162,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
     n = n_rows if n_rows is not None else df.count()
     buckets = max(1, math.ceil(n / rows_per_bucket))
     bounds = _sample_bounds(df, order_col, n, buckets, descending) if buckets > 1 else []
-    b = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds, descending))
+    b = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds, descending, df.schema[order_col].dataType))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in sum_cols])

@@ -300,3 +300,7 @@ SELECT {O.RND('avg(greatest(logit, 0.0) - logit * CAST(y AS DOUBLE) + ln(1 + exp
 def q_bce_loss(spark, sf):
     """I8 (bce)."""
     return present(M.bce_loss(scored(spark, sf)))
+
+
+# further query groups register themselves on import
+from . import catalog_report  # noqa: E402,F401

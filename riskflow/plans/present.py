@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mathcols import round_half_up
+
 
 def rnd(c, d: int = 6) -> Column:
     """Round through DECIMAL(38,10), half away from zero, back to DOUBLE."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("decimal(38,10)"), d).cast("double")
+    return round_half_up(c, d)
 
 
 def present(df: DataFrame, digits: dict[str, int] | None = None, default: int = 6) -> DataFrame:
