@@ -16,11 +16,11 @@ from ..functions.mathcols import sigmoid
 
 # Weights of our linear scorer on standardised features, and its bias.
 LINEAR_WEIGHTS = {
-    "amt": 0.9, "amt_log": 0.6, "dt": -0.2, "amt_roll_mean": -0.4, "amt_count": -0.1,
-    "geo_dist": 0.5, "hour": 0.05, "dow": 0.02,
-    "category_code": -0.15, "gender_code": 0.05, "state_code": 0.01,
+    "amt": -0.3, "amt_log": -0.2, "dt": -0.1, "amt_roll_mean": -0.1, "amt_count": 0.0,
+    "geo_dist": -0.9, "hour": 0.0, "dow": 0.0,
+    "category_code": -0.3, "gender_code": 0.0, "state_code": 0.0,
 }
-LINEAR_BIAS = -3.0
+LINEAR_BIAS = -2.5
 DEFAULT_THRESHOLD = 0.5
 
 

@@ -101,11 +101,11 @@ scaled AS (
     f"CAST((CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS REAL) AS {c}" for c in NUMERIC) + """)
   FROM coded, scl)"""
 
-# fixed linear scorer, same weights and association order as riskflow.operators.scoring
-WEIGHTS = [("amt", 0.9), ("amt_log", 0.6), ("dt", -0.2), ("amt_roll_mean", -0.4), ("amt_count", -0.1),
-           ("geo_dist", 0.5), ("hour", 0.05), ("dow", 0.02),
-           ("category_code", -0.15), ("gender_code", 0.05), ("state_code", 0.01)]
-BIAS = -3.0
+# fixed linear scorer: the same weights, in the same association order
+from ..operators.scoring import LINEAR_BIAS as BIAS  # noqa: E402
+from ..operators.scoring import LINEAR_WEIGHTS  # noqa: E402
+
+WEIGHTS = list(LINEAR_WEIGHTS.items())
 
 
 def _logit() -> str:
