@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.mathcols import sigmoid
 
@@ -41,14 +40,15 @@ def score(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, weights: dict[str
 
 
 def latest_per_card(df: DataFrame, key: str = "user", order: Sequence[str] = ("unix_time", "tie")) -> DataFrame:
-    """H3: each card's newest row, with the number of rows its features considered.
+    """H3: each card's newest row plus ``rows_considered`` (the card's row count).
 
-    ``row_number() = 1`` over a descending order is planned as a WindowGroupLimit, so each task
-    keeps one row per card before the final window.
+    One ``max_by`` aggregate keyed by card: partial aggregation keeps one candidate per card per
+    task, so a hot card never lands whole in one task.
     """
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return (df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1).drop("_rk")
-              .withColumn("rows_considered", (F.col("amt_count") + 1).cast("bigint")))
+    rest = [c for c in df.columns if c != key]
+    agg = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"),
+                              F.count(F.lit(1)).alias("rows_considered"))
+    return agg.select(key, *[F.col(f"_last.{c}").alias(c) for c in rest], "rows_considered")
 
 
 def class_weights(df: DataFrame, y: str = "is_fraud") -> DataFrame:

@@ -33,8 +33,9 @@ class Processed:
 
 def features_table(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, hot_rows: int = HOT_ROWS,
                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """B1 + C1-C8 on raw transactions."""
-    return causal_features(with_user(raw), spec, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    """B1 + C1-C8 on raw transactions; ``amt_raw`` keeps the unscaled amount for feeds and alerts."""
+    x = with_user(raw).withColumn("amt_raw", F.col("amt").cast("double"))
+    return causal_features(x, spec, hot_rows=hot_rows, chunk_rows=chunk_rows)
 
 
 def build_processed(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, test_size: float = TEST_SIZE,

@@ -34,7 +34,7 @@ tx AS (
 # B1 + C1-C8
 FEAT = TX + """,
 base AS (
-  SELECT coalesce(cc_num, 'NA') AS "user", cc_num, unix_time, tie, CAST(amt AS REAL) AS amt,
+  SELECT coalesce(cc_num, 'NA') AS "user", cc_num, unix_time, tie, CAST(amt AS REAL) AS amt, amt AS amt_raw,
          lat, long, merch_lat, merch_long, category, gender, state, is_fraud
   FROM tx),
 feat AS (
@@ -172,3 +172,34 @@ SELECT pr_auc, roc_auc,
   {RND("CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END")} AS f1,
   {RND(thr)} AS threshold, tp, fp, fn, tn
 FROM ({summary_select(cur, thr)}) s"""
+
+
+def feat_cte(name: str, src: str, key: str) -> str:
+    """C1-C8 over any source with the raw columns (``amt`` REAL), keyed by ``key``."""
+    return f""",
+{name} AS (
+  SELECT *,
+    CAST(ln(1.0 + greatest(CAST(amt AS DOUBLE), 0.0)) AS REAL) AS amt_log,
+    CAST(coalesce(unix_time - lag(unix_time) OVER w, 0) AS REAL) AS dt,
+    CAST(coalesce(avg(CAST(amt AS DOUBLE)) OVER (PARTITION BY {key} ORDER BY unix_time, tie
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS REAL) AS amt_roll_mean,
+    CAST(row_number() OVER w - 1 AS REAL) AS amt_count,
+    CAST(sqrt(pow(lat - merch_lat, 2) + pow(long - merch_long, 2)) AS REAL) AS geo_dist,
+    CAST((unix_time % 86400) // 3600 AS REAL) AS "hour",
+    CAST(((unix_time // 86400) + 3) % 7 AS REAL) AS dow
+  FROM {src}
+  WINDOW w AS (PARTITION BY {key} ORDER BY unix_time, tie))"""
+
+
+def coded_scored_cte(name: str, src: str) -> str:
+    """E2 + E4 + linear score with the train-fit ``cmap`` / ``scl`` of the SCALED block."""
+    codes = ", ".join(f"coalesce(m_{c}.code, 0) AS {c}_code" for c in CATS)
+    joins = "\n  ".join(f"LEFT JOIN cmap m_{c} ON m_{c}.\"column\" = '{c}' AND m_{c}.value = coalesce(CAST(s.{c} AS VARCHAR), 'NA')"
+                        for c in CATS)
+    scaled = ", ".join(f"CAST((CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS REAL) AS {c}" for c in NUMERIC)
+    return f""",
+{name}_c AS (SELECT s.*, {codes} FROM {src} s
+  {joins}),
+{name}_s AS (SELECT {name}_c.* REPLACE ({scaled}) FROM {name}_c, scl),
+{name}_z AS (SELECT {name}_s.*, {_logit()} AS logit FROM {name}_s),
+{name} AS (SELECT {name}_z.*, {sigmoid_sql('logit')} AS prob FROM {name}_z)"""
