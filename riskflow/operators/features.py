@@ -32,6 +32,14 @@ def causal_features(df: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, key: str =
     if spec.time_deltas or spec.rolling_aggs:
         x = causal_pass(x, key, order, t=t, value="amt" if spec.rolling_aggs else None,
                         hot_rows=hot_rows, chunk_rows=chunk_rows)
+    return finish_features(x, spec, t)
+
+
+def finish_features(x: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, t: str = "unix_time") -> DataFrame:
+    """Turn the causal state columns (``_prior_n``, ``_prev_t``, ``_prior_sum``, ``_prior_cnt``) and
+    the row's own fields into the feature columns. Shared by the batch window pass and the
+    streaming state processor, so both emit identical features.
+    """
     feats = {}
     if spec.amount_log:
         feats["amt_log"] = F.log1p(F.greatest(F.col("amt"), F.lit(0.0).cast("float")))

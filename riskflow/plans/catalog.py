@@ -305,3 +305,4 @@ def q_bce_loss(spark, sf):
 # further query groups register themselves on import
 from . import catalog_report  # noqa: E402,F401
 from . import catalog_serving  # noqa: E402,F401
+from . import catalog_stream  # noqa: E402,F401

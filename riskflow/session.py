@@ -61,3 +61,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskflow`` importable in Python workers (pandas UDFs, state processors).
+
+    Zips the package once per application into the shared checkpoint folder and registers it
+    with ``addPyFile``; a no-op when the workers can already import it from their own path.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = f"{checkpoint_dir(spark)}/riskflow-{app}.zip".replace("file:", "")
+    if not os.path.exists(target):
+        tmp = f"{target}.{uuid.uuid4().hex[:8]}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
