@@ -172,12 +172,13 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
             out = out.withColumnRenamed(f"_loc_{c}", f"{prefix}{c}")
         return out.drop("_bucket")
     totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    rows, run = [], {c: 0 for c in sum_cols}
+    dtypes = dict(df.dtypes)
+    is_float = {c: dtypes[c] in ("double", "float") for c in sum_cols}
+    rows, run = [], {c: (0.0 if is_float[c] else 0) for c in sum_cols}
     for r in sorted(totals, key=lambda r: r["_bucket"]):
         rows.append((int(r["_bucket"]), *[run[c] for c in sum_cols]))
         for c in sum_cols:
-            run[c] += r[c] or 0
-    dtypes = dict(df.dtypes)
+            run[c] += (float(r[c]) if is_float[c] else int(r[c])) if r[c] is not None else 0
     schema = T.StructType([T.StructField("_bucket", T.IntegerType())] + [
         T.StructField(f"_off_{c}", T.DoubleType() if dtypes[c] in ("double", "float") else T.LongType())
         for c in sum_cols])

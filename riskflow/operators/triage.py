@@ -102,7 +102,7 @@ def resolve(alerts: DataFrame, key: str = "alert_id", structured: DataFrame | No
         tiers.append(checked_decision(F.col("supplied_decision")))
     for name, t in (("_t1", structured), ("_t2", extracted)):
         if t is not None:
-            d = t.select(F.col(key), F.struct("action", "rationale", F.col("confidence").cast("double")).alias(name))
+            d = t.select(F.col(key), F.struct("action", "rationale", F.col("confidence").cast("double").alias("confidence")).alias(name))
             d = d.dropDuplicates([key])
             x = x.join(d, key, "left")
             tiers.append(checked_decision(F.col(name)))
