@@ -306,3 +306,4 @@ def q_bce_loss(spark, sf):
 from . import catalog_report  # noqa: E402,F401
 from . import catalog_serving  # noqa: E402,F401
 from . import catalog_stream  # noqa: E402,F401
+from . import catalog_models  # noqa: E402,F401
