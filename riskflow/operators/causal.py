@@ -9,8 +9,9 @@ task. A card holding a third of all rows would then be a third of the job in one
 2. a hot card's rows are cut into time-range chunks of about ``chunk_rows`` rows, ordinary
    cards keep chunk 0, and the windows run over ``(card, chunk)``: one hash exchange;
 3. per-chunk totals (count, sums, last time, last L-1 vectors) of hot cards, one row per chunk,
-   are turned into carries with a window over chunks and broadcast back (bounded by the number
-   of hot chunks).
+   are turned into carries with a window over chunks and joined back: broadcast while the number
+   of hot chunks is at most ``CARRY_BROADCAST_MAX`` (checked), else an ordinary join on
+   ``(card, chunk)``, which the windowed side already satisfies (only the carries shuffle).
 
 The result equals the plain per-card window for any data; the chunk machinery only adds work
 when hot cards exist.
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 HOT_ROWS = 2_000_000        # a card above this many rows is split by time range
 CHUNK_ROWS = 500_000        # target rows per chunk of a hot card
 BROADCAST_MAX_ROWS = 2_000_000
+CARRY_BROADCAST_MAX = 10_000  # hot chunks; a carry row holds up to L-1 feature vectors (a few KB)
 
 
 def _ord(order: Sequence[str]) -> list[Column]:
@@ -36,17 +38,18 @@ def _ord(order: Sequence[str]) -> list[Column]:
 def _chunked(df: DataFrame, key: str, t: str, hot_rows: int, chunk_rows: int):
     hot = (df.groupBy(key)
              .agg(F.count(F.lit(1)).alias("_hn"), F.min(t).alias("_ht0"), F.max(t).alias("_ht1"))
-             .where(F.col("_hn") > hot_rows))
-    n_hot = hot.count()
+             .where(F.col("_hn") > hot_rows)
+             .withColumn("_hk", F.ceil(F.col("_hn") / F.lit(chunk_rows))))
+    size = hot.agg(F.count(F.lit(1)).alias("cards"), F.sum("_hk").alias("chunks")).first()
+    n_hot, n_chunks = int(size["cards"]), int(size["chunks"] or 0)
     if n_hot == 0:
-        return df.withColumn("_chunk", F.lit(0)), False
-    hot = hot.withColumn("_hk", F.ceil(F.col("_hn") / F.lit(chunk_rows)))
+        return df.withColumn("_chunk", F.lit(0)), 0
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     j = df.join(side, key, "left")
     span = (F.col("_ht1") - F.col("_ht0") + F.lit(1)).cast("double")
     pos = F.floor((F.col(t) - F.col("_ht0")).cast("double") / span * F.col("_hk"))
     chunk = F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(F.least(F.col("_hk") - 1, pos))
-    return j.withColumn("_chunk", chunk.cast("int")).drop("_hn", "_ht0", "_ht1"), True
+    return j.withColumn("_chunk", chunk.cast("int")).drop("_hn", "_ht0", "_ht1"), n_chunks
 
 
 def _tail(arr: Column, n: int) -> Column:
@@ -56,14 +59,16 @@ def _tail(arr: Column, n: int) -> Column:
 
 def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_time",
                 value: str | None = None, vec: str | None = None, seq_len: int | None = None,
-                hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
+                carry_broadcast_max: int = CARRY_BROADCAST_MAX) -> DataFrame:
     """Add causal per-key columns, each computed from strictly earlier rows of the same key:
 
     ``_prior_n`` rows before, ``_prev_t`` previous time (null on the first row),
     with ``value``: ``_prior_sum`` / ``_prior_cnt`` over non-null values before,
     with ``vec`` and ``seq_len``: ``_win``, the last ``seq_len`` vectors ending at the row.
     """
-    x, has_hot = _chunked(df, key, t, hot_rows, chunk_rows)
+    x, n_chunks = _chunked(df, key, t, hot_rows, chunk_rows)
+    has_hot = n_chunks > 0
     w = Window.partitionBy(key, "_chunk").orderBy(*_ord(order))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.row_number().over(w).alias("_rn"), F.lag(t).over(w).alias("_lprev_t")]
@@ -71,12 +76,15 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
         cols += [F.sum(value).over(before).alias("_lsum"), F.count(value).over(before).alias("_lcnt")]
     if vec:
         cols.append(F.collect_list(vec).over(w.rowsBetween(-(seq_len - 1), 0)).alias("_lwin"))
-        if has_hot:
-            cols.append(F.count(F.lit(1)).over(w.rowsBetween(1, seq_len - 1)).alias("_follow"))
     local = x.select("*", *cols)
 
     if has_hot:
-        hot_rows_df = local.where(F.col("_hk").isNotNull())
+        # chunk summaries read the hot rows only (not the windowed table, which would repeat
+        # the full shuffle); without vectors they are a plain partial aggregate
+        hot_rows_df = x.where(F.col("_hk").isNotNull())
+        if vec:
+            follow = F.count(F.lit(1)).over(w.rowsBetween(1, seq_len - 1))
+            hot_rows_df = hot_rows_df.withColumn("_follow", follow)
         aggs = [F.count(F.lit(1)).alias("_cn"), F.max(t).alias("_ct")]
         if value:
             aggs += [F.sum(value).alias("_cs"), F.count(value).alias("_cc")]
@@ -93,8 +101,9 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
             near = F.collect_list(F.transform("_ctail", lambda s: s["_v"])).over(cw.rowsBetween(-(seq_len - 1), -1))
             carry.append(_tail(F.flatten(near), seq_len - 1).alias("_carry_tail"))
         carries = summ.select(key, "_chunk", *carry)
-        # one row per hot chunk: at most rows / chunk_rows + hot cards
-        local = local.join(F.broadcast(carries), [key, "_chunk"], "left")
+        # one row per hot chunk (at most rows / chunk_rows + hot cards), counted above
+        side = F.broadcast(carries) if n_chunks <= carry_broadcast_max else carries
+        local = local.join(side, [key, "_chunk"], "left")
     else:
         for c in ("_carry_n", "_carry_t", "_carry_sum", "_carry_cnt"):
             local = local.withColumn(c, F.lit(None).cast("long"))

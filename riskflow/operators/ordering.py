@@ -22,7 +22,17 @@ ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one tas
 SAMPLES_PER_BUCKET = 40        # boundary sample density
 
 
-def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None = None) -> dict:
+def group_stats(df: DataFrame, col: str, by: str | None = None) -> dict:
+    """Non-null count, min and max of ``col`` per group (one small aggregate, one row per group)."""
+    c = F.col(col)
+    gcol = F.col(by) if by else F.lit(None).cast("string")
+    st = df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(
+        F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
+    return {r["g"]: r for r in st}
+
+
+def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None = None,
+                stats: dict | None = None) -> dict:
     """Exact k-th smallest (1-based) values of a numeric column, per group, by counting bisection.
 
     ``targets`` holds ``(group, k)`` pairs (group ``None`` when ``by`` is None). Each pass keeps the
@@ -31,12 +41,10 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
     tight [min, max] of the bucket holding rank k. Map-side partial aggregation makes a hot key
     or value cost nothing extra; only bucket summaries reach the driver. Suits a modest number of
     targets (groups x ranks); many groups use a keyed window instead (``group_median``).
+    ``stats`` may pass in a ``group_stats`` result the caller already has (saves a scan).
     """
     c = F.col(col)
-    gcol = F.col(by) if by else F.lit(None).cast("string")
-    st = df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(
-        F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
-    stats = {r["g"]: r for r in st}
+    stats = stats if stats is not None else group_stats(df, col, by)
     state, done = {}, {}
     for i, (g, k) in enumerate(targets):
         r = stats.get(g)
@@ -84,9 +92,10 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
 
 def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
     """Exact k-th smallest values of one column; ``ks`` may be a function of the count ``n``."""
-    n = df.where(F.col(col).isNotNull()).count()
+    stats = group_stats(df, col)
+    n = int(stats[None]["n"]) if None in stats else 0
     ks = ks(n) if callable(ks) else ks
-    got = order_stats(df, col, [(None, k) for k in ks])
+    got = order_stats(df, col, [(None, k) for k in ks], stats=stats)
     return n, [got[(None, k)] for k in ks]
 
 
@@ -95,9 +104,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
 
     Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``.
     """
-    c = F.col(col)
-    gcol = F.col(by) if by else F.lit(None).cast("string")
-    ns = {r["g"]: int(r["n"]) for r in df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(F.count(c).alias("n")).collect()}
+    stats = group_stats(df, col, by)
+    ns = {g: int(r["n"]) for g, r in stats.items()}
     targets, plan = set(), {}
     for g, n in ns.items():
         for j, q in enumerate(qs):
@@ -106,7 +114,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
             hi = min(lo + 1, n - 1)
             plan[(g, j)] = (lo, hi, h - lo)
             targets |= {(g, lo + 1), (g, hi + 1)}
-    got = order_stats(df, col, sorted(targets, key=lambda t: (str(t[0]), t[1])), by) if targets else {}
+    got = order_stats(df, col, sorted(targets, key=lambda t: (str(t[0]), t[1])), by, stats) if targets else {}
     rows = []
     for g, n in ns.items():
         vals = []

@@ -23,8 +23,9 @@ def _run(spark, sf, late_every: int = 0):
     def make():
         src = scratch_path(spark, "replay")
         info = write_replay(tx_events(spark, sf), src, files=REPLAY_FILES, late_every=late_every)
-        # with out-of-order files the watermark delay must cover one file's time span
-        delay = info["span"] + 1 if late_every else 0
+        # with out-of-order files (moved rows, or several files per range) the watermark delay
+        # must cover one range's time span
+        delay = info["span"] + 1 if late_every or info["files_per_range"] > 1 else 0
         return run_stream(spark, src, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=delay)
     return _memo(spark, sf, f"stream-{late_every}", make)
 

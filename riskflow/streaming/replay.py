@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import order_stats
+from ..operators.ordering import group_stats, order_stats
 
 # Label-free stream record (fixed schema, never inferred).
 STREAM_TX = T.StructType([
@@ -24,14 +24,16 @@ STREAM_TX = T.StructType([
     T.StructField("state", T.StringType()),
 ])
 SENTINEL_CARD = "__end_of_replay__"
+FILE_ROWS = 1_000_000   # rows per replay file; a time range larger than this is written as several
 
 
-def range_bounds(tx: DataFrame, files: int) -> list[int]:
-    """Exact time cut points giving ``files`` ranges of about equal row counts."""
-    n = tx.where(F.col("unix_time").isNotNull()).count()
+def range_bounds(tx: DataFrame, files: int) -> tuple[int, list[int]]:
+    """Row count and exact time cut points giving ``files`` ranges of about equal row counts."""
+    stats = group_stats(tx, "unix_time")
+    n = int(stats[None]["n"]) if None in stats else 0
     ks = sorted({max(1, (n * i) // files) for i in range(1, files)})
-    got = order_stats(tx, "unix_time", [(None, k) for k in ks]) if ks and n else {}
-    return sorted({int(got[(None, k)]) for k in ks})
+    got = order_stats(tx, "unix_time", [(None, k) for k in ks], stats=stats) if ks and n else {}
+    return n, sorted({int(got[(None, k)]) for k in ks})
 
 
 def write_replay(tx: DataFrame, path: str, files: int = 8, limit: int | None = None,
@@ -42,11 +44,15 @@ def write_replay(tx: DataFrame, path: str, files: int = 8, limit: int | None = N
     every n-th row (by tie) into the next file, a controlled out-of-order copy for the late-data
     test (L4). ``sentinels`` appends two far-future marker rows in two more files so the
     watermark passes every real row. Returns the bounds and the largest range span in seconds.
+    A range of more than ``FILE_ROWS`` rows is range-partitioned into several files written in
+    parallel (no range goes through one task); their order inside the range is then up to the
+    reader, a disorder the watermark delay (at least the largest range span) covers.
     """
     x = tx.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STREAM_TX.fields])
     if limit and limit > 0:
         x = x.orderBy("unix_time", "tie").limit(limit)
-    bounds = range_bounds(x, files)
+    n, bounds = range_bounds(x, files)
+    per_range = max(1, -(-n // (files * FILE_ROWS)))
     edges = [None, *bounds, None]
     rng = F.lit(0)
     for i, b in enumerate(bounds):
@@ -59,14 +65,15 @@ def write_replay(tx: DataFrame, path: str, files: int = 8, limit: int | None = N
     span = max((r["hi"] - r["lo"] for r in stats), default=0)
     last_t = max((r["hi"] for r in stats), default=0)
     for i in range(len(edges) - 1):
-        part = x.where(F.col("_file") == i).drop("_file").orderBy("unix_time", "tie")
-        part.coalesce(1).write.mode("append").json(path)
+        part = x.where(F.col("_file") == i).drop("_file")
+        (part.repartitionByRange(per_range, "unix_time", "tie").sortWithinPartitions("unix_time", "tie")
+             .write.mode("append").json(path))
     if sentinels:
         spark = tx.sparkSession
         for j in (1, 2):
             row = [(SENTINEL_CARD, last_t + (span + 10) * 10 * j, -j) + (None,) * (len(STREAM_TX.fields) - 3)]
             spark.createDataFrame(row, STREAM_TX).coalesce(1).write.mode("append").json(path)
-    return {"bounds": bounds, "span": int(span), "last_t": int(last_t)}
+    return {"bounds": bounds, "span": int(span), "last_t": int(last_t), "files_per_range": per_range}
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:

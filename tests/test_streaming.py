@@ -16,10 +16,18 @@ def test_replay_equals_batch_with_late_rows(spark):
     tx = tx_events(spark, SF)
     p = build_processed(tx, materialize=False)
     batch = causal_features(with_user(tx)).select(*COLS).orderBy("tie").collect()
-    for late in (0, 7):
+    import riskflow.streaming.replay as replay
+    for late, file_rows in ((0, None), (7, None), (0, 60)):
         src = scratch_path(spark, "replay-test")
-        info = write_replay(tx, src, files=4, late_every=late)
-        run = run_stream(spark, src, p, 0.5, delay_seconds=info["span"] + 1 if late else 0)
+        saved = replay.FILE_ROWS
+        replay.FILE_ROWS = file_rows or saved       # 60: every range split into several files
+        try:
+            info = write_replay(tx, src, files=4, late_every=late)
+        finally:
+            replay.FILE_ROWS = saved
+        assert (info["files_per_range"] > 1) == bool(file_rows)
+        disordered = late or info["files_per_range"] > 1
+        run = run_stream(spark, src, p, 0.5, delay_seconds=info["span"] + 1 if disordered else 0)
         got = finalize(spark.read.parquet(run.features)).select(*COLS).orderBy("tie").collect()
         assert got == batch
         assert run.dropped_late == 0

@@ -35,3 +35,14 @@ def test_split_targets_reach_back(spark):
 def test_null_feature_keeps_its_step(spark):
     df = frame(spark, [1, 2, 3], [0, 0, 0]).withColumn("x", F.when(F.col("tie") == 1, None).otherwise(F.col("x")))
     assert wins(seq_windows(df, ["x"], 3))[2] == [1, None, 3]
+
+
+def test_hot_chunk_carries_by_shuffle_join_match(spark):
+    from riskflow.operators.causal import causal_pass
+    df = frame(spark, list(range(1, 13)), [0] * 8 + [1] * 4).withColumn("v", F.array("x"))
+    kw = dict(key="user", order=["unix_time", "tie"], value="x", vec="v", seq_len=3)
+    plain = causal_pass(df, **kw).orderBy("tie").collect()
+    bcast = causal_pass(df, hot_rows=2, chunk_rows=3, **kw).orderBy("tie").collect()
+    joined = causal_pass(df, hot_rows=2, chunk_rows=3, carry_broadcast_max=0, **kw)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    assert plain == bcast == joined.orderBy("tie").collect()
