@@ -123,7 +123,8 @@ def build_loss(kind: str, alpha: float = 0.25, gamma: float = 2.0):
 
 
 def latency_summary(df: DataFrame, col: str = "latency_ms") -> DataFrame:
-    """p50 / p99 with linear interpolation (``percentile``, not the approximate one)."""
-    return df.agg(F.percentile(F.col(col), F.lit(0.5)).alias("p50"),
-                  F.percentile(F.col(col), F.lit(0.99)).alias("p99"),
-                  F.count(col).alias("n"))
+    """Exact p50 / p99 with linear interpolation (numpy's default), by counting bisection:
+    Spark's exact ``percentile`` would buffer every value in one aggregation buffer."""
+    from .ordering import exact_quantiles
+    q = exact_quantiles(df, col, [0.5, 0.99])
+    return q.select(F.col("q_0").alias("p50"), F.col("q_1").alias("p99"), F.col("n"))

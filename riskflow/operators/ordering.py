@@ -2,24 +2,24 @@
 
 * ``order_stats``      exact k-th smallest values (per group) by counting bisection
 * ``exact_quantiles``  interpolated quantiles built on ``order_stats``
-* ``running_totals``   cumulative sums along a global order, bucketed by sampled boundaries
+* ``running_totals``   cumulative sums along a global order, bucketed by range partitioning
 * ``dense_index``      0-based position of each distinct key in sort order (B3)
 
-Only small aggregates (bucket counts, boundary samples, per-bucket totals) reach the driver.
+Only small aggregates (counts, bisection bucket summaries) reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BISECT_BUCKETS = 1 << 16       # histogram buckets per bisection pass (<= 64k rows to the driver)
 ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one task's share)
-SAMPLES_PER_BUCKET = 40        # boundary sample density
+OFFSETS_BROADCAST_MAX = 1_000_000  # running-total ranges whose offsets (two longs each) are broadcast
 
 
 def group_stats(df: DataFrame, col: str, by: str | None = None) -> dict:
@@ -128,71 +128,43 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
     return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
-def _literal(x, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_literal(x[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
-    return F.lit(x).cast(dtype)
-
-
-def _bucket_of(v: Column, bounds: list, descending: bool, dtype: T.DataType) -> Column:
-    """Index of the value range holding ``v``; struct values compare field by field."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[_literal(b, dtype) for b in bounds])
-    if descending:
-        return F.size(F.filter(arr, lambda b: b > v))
-    return F.size(F.filter(arr, lambda b: b < v))
-
-
-def _sample_bounds(df: DataFrame, col: str, n: int, buckets: int, descending: bool) -> list:
-    """Approximate equal-count split points from a bounded random sample of ``col``."""
-    want = buckets * SAMPLES_PER_BUCKET
-    frac = min(1.0, want / max(n, 1))
-    vals = [r[0] for r in df.select(col).sample(False, frac, seed=17).where(F.col(col).isNotNull()).collect()]
-    vals = sorted(set(tuple(v) if isinstance(v, T.Row) else v for v in vals), reverse=descending)
-    if len(vals) < 2:
-        return []
-    step = len(vals) / buckets
-    picks = sorted({vals[min(len(vals) - 1, int(round(step * j)))] for j in range(1, buckets)},
-                   reverse=descending)
-    return picks
-
-
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
                    n_rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
                    prefix: str = "cum_") -> DataFrame:
     """Inclusive cumulative sums of ``sum_cols`` along ``order_col`` (ties: caller aggregates first).
 
-    Rows are cut into value ranges of about ``rows_per_bucket`` rows from sampled boundaries; each
-    range runs a partitioned window, and the bucket totals (one row per bucket) are turned into
-    offsets that are broadcast back. No window runs without ``partitionBy``.
+    Rows are cut into value ranges of about ``rows_per_bucket`` rows by ``repartitionByRange``
+    (Spark's range partitioner samples the bounds, at most 1M points, and binary-searches them per
+    row); the partition id is the range index, checkpointed so every later pass sees the same
+    ranges. Each range runs a partitioned window; the range totals (one row per range) become
+    offsets with a window over that small table and are joined back, broadcast only below
+    ``OFFSETS_BROADCAST_MAX`` ranges. No window runs over the fact rows without ``partitionBy``
+    and nothing but the row count reaches the driver.
     """
     n = n_rows if n_rows is not None else df.count()
     buckets = max(1, math.ceil(n / rows_per_bucket))
-    bounds = _sample_bounds(df, order_col, n, buckets, descending) if buckets > 1 else []
-    b = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds, descending, df.schema[order_col].dataType))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if buckets == 1:
+        b = df.withColumn("_bucket", F.lit(0))
+    else:
+        from ..session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        b = (df.repartitionByRange(buckets, order)
+               .withColumn("_bucket", F.spark_partition_id())
+               .checkpoint(eager=True))
     w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = b.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in sum_cols])
-    if not bounds:
+    if buckets == 1:
         out = local
         for c in sum_cols:
             out = out.withColumnRenamed(f"_loc_{c}", f"{prefix}{c}")
         return out.drop("_bucket")
-    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    dtypes = dict(df.dtypes)
-    is_float = {c: dtypes[c] in ("double", "float") for c in sum_cols}
-    rows, run = [], {c: (0.0 if is_float[c] else 0) for c in sum_cols}
-    for r in sorted(totals, key=lambda r: r["_bucket"]):
-        rows.append((int(r["_bucket"]), *[run[c] for c in sum_cols]))
-        for c in sum_cols:
-            run[c] += (float(r[c]) if is_float[c] else int(r[c])) if r[c] is not None else 0
-    schema = T.StructType([T.StructField("_bucket", T.IntegerType())] + [
-        T.StructField(f"_off_{c}", T.DoubleType() if dtypes[c] in ("double", "float") else T.LongType())
-        for c in sum_cols])
-    offs = df.sparkSession.createDataFrame(rows, schema)
-    # one row per bucket: bounded by construction, safe to broadcast
-    out = local.join(F.broadcast(offs), "_bucket", "left")
+    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    # one row per range (about rows / rows_per_bucket): an unpartitioned window is bounded here
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_bucket", *[F.sum(c).over(before).alias(f"_off_{c}") for c in sum_cols])
+    side = F.broadcast(offs) if buckets <= OFFSETS_BROADCAST_MAX else offs
+    out = local.join(side, "_bucket", "left")
     return out.select(*[c for c in df.columns],
                       *[(F.col(f"_loc_{c}") + F.coalesce(F.col(f"_off_{c}"), F.lit(0))).alias(f"{prefix}{c}")
                         for c in sum_cols])
