@@ -16,6 +16,7 @@ from .lookups import card_profile, recent_transactions, segment_rates
 
 ACTIONS = ("block", "review", "allow")  # fixed values
 FALLBACK_RATIONALE = "fallback"
+ALERT_CARDS_BROADCAST_MAX = 500_000   # distinct alerted cards sent to every task as a semi-join filter
 
 TX_FIELDS = T.StructType([
     T.StructField("cc_num", T.StringType()), T.StructField("user_id", T.StringType()),
@@ -118,9 +119,18 @@ def enrich(alerts: DataFrame, tx: DataFrame, k: int = 5) -> DataFrame:
     """K2: each alert with what the three lookups return: profile, recent k (``time@cents`` joined
     by ';', oldest first) and the
     segment fraud rate (0.0 when unseen). Lookup tables are per card / per segment.
+
+    Profiles and recent rows are only needed for alerted cards: when there are at most
+    ``ALERT_CARDS_BROADCAST_MAX`` of them (counted), the transactions are cut to those cards by a
+    broadcast semi-join before any aggregation; otherwise every card's lookup is built. Segment
+    rates are population rates and always read every transaction.
     """
-    prof = card_profile(tx)
-    rec = recent_transactions(tx, k)
+    cards = alerts.select(F.col("card_id").cast("string").alias("card_id")).where(F.col("card_id").isNotNull()).distinct()
+    looked_up = tx
+    if cards.count() <= ALERT_CARDS_BROADCAST_MAX:
+        looked_up = tx.join(F.broadcast(cards), F.col("cc_num").cast("string") == cards["card_id"], "left_semi")
+    prof = card_profile(looked_up)
+    rec = recent_transactions(looked_up, k)
     recent = rec.groupBy("card_id").agg(F.concat_ws(";", F.transform(
         F.sort_array(F.collect_list(F.struct("k", "unix_time", "amt"))),
         lambda s: F.concat_ws("@", s["unix_time"].cast("string"),
