@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import group_stats, order_stats
+from ..session import scratch_path
 
 # Label-free stream record (fixed schema, never inferred).
 STREAM_TX = T.StructType([
@@ -61,11 +62,16 @@ def write_replay(tx: DataFrame, path: str, files: int = 8, limit: int | None = N
     if late_every > 0:
         late = (F.pmod(F.col("tie"), F.lit(late_every)) == 0) & (F.col("_file") < len(bounds))
         x = x.withColumn("_file", F.when(late, F.col("_file") + 1).otherwise(F.col("_file")))
-    stats = x.groupBy("_file").agg(F.min("unix_time").alias("lo"), F.max("unix_time").alias("hi")).collect()
+    # stage once, partitioned by range, in the shared folder: each ordered range write below then
+    # reads only its own partition instead of rescanning the source
+    stage = scratch_path(tx.sparkSession, "replay-stage")
+    x.write.partitionBy("_file").parquet(stage)
+    staged = tx.sparkSession.read.parquet(stage)
+    stats = staged.groupBy("_file").agg(F.min("unix_time").alias("lo"), F.max("unix_time").alias("hi")).collect()
     span = max((r["hi"] - r["lo"] for r in stats), default=0)
     last_t = max((r["hi"] for r in stats), default=0)
     for i in range(len(edges) - 1):
-        part = x.where(F.col("_file") == i).drop("_file")
+        part = staged.where(F.col("_file") == i).select(*[f.name for f in STREAM_TX.fields])
         (part.repartitionByRange(per_range, "unix_time", "tie").sortWithinPartitions("unix_time", "tie")
              .write.mode("append").json(path))
     if sentinels:

@@ -30,48 +30,61 @@ STATE_SCHEMA = "n long, s double, nn long, last_t long, pending string"
 COLS = ["unix_time", "tie", "amt", *PASS]
 
 
+_NONE = "[]"
+
+
 def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     user = key[0]
     if state.exists:
         n, s, nn, last_t, pending = state.get
     else:
-        n, s, nn, last_t, pending = 0, 0.0, 0, None, "[]"
-    parts = [pd.DataFrame(json.loads(pending), columns=COLS)]
-    if not state.hasTimedOut:
-        parts += [p[COLS] for p in pdfs]
-    buf = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(len(p) for p in parts) else parts[0]
-    buf = buf.sort_values(["unix_time", "tie"], kind="stable").reset_index(drop=True)
+        n, s, nn, last_t, pending = 0, 0.0, 0, None, _NONE
+    parts = [] if state.hasTimedOut else [p[COLS] for p in pdfs if len(p)]
+    if pending != _NONE:
+        parts.insert(0, pd.DataFrame(json.loads(pending), columns=COLS))
+    if not parts:
+        state.update((n, s, nn, last_t, _NONE))
+        return
+    buf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    t_all = buf["unix_time"].to_numpy(dtype="int64")
+    order = np.lexsort((buf["tie"].to_numpy(dtype="int64"), t_all))     # by (time, tie)
+    t_sorted = t_all[order]
     wm_ms = state.getCurrentWatermarkMs()
-    ready_mask = (buf["unix_time"].astype("int64") * 1000) < wm_ms
-    ready, keep = buf[ready_mask], buf[~ready_mask]
+    k = int(np.searchsorted(t_sorted * 1000, wm_ms, side="left"))       # ready rows: a sorted prefix
     out = None
-    if len(ready):
-        amt = ready["amt"].astype("float32")
+    if k:
+        ready = order[:k]
+        t = t_sorted[:k]
+        raw = buf["amt"].to_numpy(dtype="float64", na_value=np.nan)[ready]
+        amt = raw.astype("float32")
         a64 = amt.astype("float64")
-        valid = a64.notna().to_numpy()
-        vals = np.where(valid, a64.to_numpy(), 0.0)
+        valid = ~np.isnan(a64)
+        vals = np.where(valid, a64, 0.0)
         csum = np.cumsum(vals) - vals
         ccnt = np.cumsum(valid) - valid
-        t = ready["unix_time"].astype("int64").to_numpy()
-        prev = np.empty(len(t), dtype="float64")
+        prev = np.empty(k, dtype="float64")
         prev[0] = np.nan if last_t is None else last_t
         prev[1:] = t[:-1]
-        out = pd.DataFrame({"user": user, "unix_time": t, "tie": ready["tie"].astype("int64").to_numpy(), "amt": amt.to_numpy(),
-                            "amt_raw": ready["amt"].astype("float64").to_numpy()})
+        cols = {"user": np.full(k, user, dtype=object), "unix_time": t,
+                "tie": buf["tie"].to_numpy(dtype="int64")[ready], "amt": amt, "amt_raw": raw}
         for c in PASS:
-            out[c] = ready[c].to_numpy()
-        out["_prior_n"] = n + np.arange(len(t), dtype="int64")
-        out["_prev_t"] = pd.array(np.where(np.isnan(prev), None, prev), dtype="Int64")
-        out["_prior_sum"] = s + csum
-        out["_prior_cnt"] = (nn + ccnt).astype("int64")
-        n += len(t)
+            cols[c] = buf[c].to_numpy()[ready]
+        cols["_prior_n"] = n + np.arange(k, dtype="int64")
+        cols["_prev_t"] = pd.array(np.where(np.isnan(prev), None, prev), dtype="Int64")
+        cols["_prior_sum"] = s + csum
+        cols["_prior_cnt"] = (nn + ccnt).astype("int64")
+        out = pd.DataFrame(cols)
+        n += k
         s += float(vals.sum())
         nn += int(valid.sum())
         last_t = int(t[-1])
-    pend = json.dumps(keep[COLS].astype(object).where(keep[COLS].notna(), None).values.tolist())
-    state.update((n, s, nn, last_t, pend))
-    if len(keep):
-        state.setTimeoutTimestamp(max(int(keep["unix_time"].min()) * 1000, wm_ms + 1))
+    if k < len(order):
+        keep = buf.iloc[order[k:]]
+        pend = json.dumps(keep.astype(object).where(keep.notna(), None).values.tolist())
+        state.update((n, s, nn, last_t, pend))
+        state.setTimeoutTimestamp(max(int(t_sorted[k]) * 1000, wm_ms + 1))
+    else:
+        state.update((n, s, nn, last_t, _NONE))
     if out is not None:
         yield out
 
