@@ -5,7 +5,7 @@
 * ``running_totals``   cumulative sums along a global order, bucketed by range partitioning
 * ``dense_index``      0-based position of each distinct key in sort order (B3)
 
-Only small aggregates (counts, bisection bucket summaries) reach the driver.
+Only small aggregates (counts, one row per bisection target and pass) reach the driver.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
     ``targets`` holds ``(group, k)`` pairs (group ``None`` when ``by`` is None). Each pass keeps the
     rows inside the unresolved value ranges (pushed down to the scan) and counts them, with min
     and max, in at most ``BISECT_BUCKETS`` equal-width buckets per target; the next range is the
-    tight [min, max] of the bucket holding rank k. Map-side partial aggregation makes a hot key
-    or value cost nothing extra; only bucket summaries reach the driver. Suits a modest number of
+    tight [min, max] of the bucket holding rank k, found in Spark by a running count over the
+    buckets. Map-side partial aggregation makes a hot key or value cost nothing extra; one row per
+    target and pass reaches the driver. Suits a modest number of
     targets (groups x ranks); many groups use a keyed window instead (``group_median``).
     ``stats`` may pass in a ``group_stats`` result the caller already has (saves a scan).
     """
@@ -70,23 +71,24 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
         counts = (df.where(cond)
                     .select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("x"))
                     .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
-                    .collect())
-        per: dict[int, list] = {}
-        for r in counts:
-            per.setdefault(int(r["i"]), []).append((int(r["b"]), int(r["n"]), r["lo"], r["hi"]))
-        for i, (lo, hi, below) in open_.items():
-            k = targets[i][1]
-            acc = below
-            for b, cnt, blo, bhi in sorted(per.get(i, [])):
-                if acc + cnt >= k:
-                    state[i] = [blo, bhi, acc]
-                    if blo == bhi:
-                        done[i] = blo
-                    break
-                acc += cnt
-            else:  # pragma: no cover - counts always reach k
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")))
+        # rank still needed inside each open range (one row per open target)
+        need = df.sparkSession.createDataFrame(
+            [(i, int(targets[i][1] - below)) for i, (_, _, below) in open_.items()], "i int, need long")
+        # the bucket holding that rank: running count over at most BISECT_BUCKETS rows per target
+        cum = F.sum("n").over(Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        hits = (counts.join(F.broadcast(need), "i").withColumn("_cum", cum)
+                      .where((F.col("_cum") >= F.col("need")) & (F.col("_cum") - F.col("n") < F.col("need")))
+                      .select("i", "lo", "hi", (F.col("_cum") - F.col("n")).alias("before"))
+                      .collect())
+        got = {int(r["i"]): r for r in hits}
+        for i, (_, _, below) in open_.items():
+            r = got.get(i)
+            if r is None:  # pragma: no cover - counts always reach the rank
                 raise RuntimeError("bisection lost the target rank")
+            state[i] = [r["lo"], r["hi"], below + int(r["before"])]
+            if r["lo"] == r["hi"]:
+                done[i] = r["lo"]
     return {targets[i]: done[i] for i in range(len(targets))}
 
 
