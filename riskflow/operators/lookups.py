@@ -11,23 +11,35 @@ from pyspark.sql.window import Window
 from ..functions.mathcols import round_half_up
 from ..schema import SCORING_COLS, TEST
 from .causal import CHUNK_ROWS, HOT_ROWS, causal_pass
+from .ordering import group_kth
 
 ORDER = ("unix_time", "tie")
 TOP_CATEGORIES = 3
 RECENT_K = 5
+HOT_DISTINCT = 2_000_000          # distinct values per key above which a median leaves the per-key window
+HOT_KEYS_BROADCAST_MAX = 1_000_000
 
 
 def card_col(df: DataFrame) -> Column:
     return F.col("cc_num").cast("string")
 
 
-def group_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
+def group_median(df: DataFrame, key: str, value: str, out: str = "median",
+                 hot_distinct: int = HOT_DISTINCT) -> DataFrame:
     """Exact per-key median (mean of the two middle values on even counts).
 
-    Works on per-(key, value) counts, so a hot key costs one row per distinct value, not per row;
-    the running count is a streaming window (its buffer spills), and no values are collected.
+    Works on per-(key, value) counts, so a key costs one row per distinct value, not per row, and
+    runs a running count per key over them. A key with more than ``hot_distinct`` distinct values
+    (counted first) would make that window one large task; such keys get their two middle ranks
+    from ``group_kth`` (distributed counting bisection) instead. No values are collected.
     """
     vc = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    per = vc.groupBy(key).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    hot = per.where(F.col("_d") > hot_distinct).select(key, "_n")
+    n_hot = hot.count()
+    if n_hot:
+        hot_side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_MAX else hot
+        vc = vc.join(hot_side.select(key), key, "left_anti")
     w = Window.partitionBy(key).orderBy(value)
     cum = vc.select(key, value, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
                     F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
@@ -35,6 +47,14 @@ def group_median(df: DataFrame, key: str, value: str, out: str = "median") -> Da
     k2 = F.floor(F.col("_n") / 2) + 1
     agg = cum.groupBy(key).agg(F.min(F.when(F.col("_cum") >= k1, F.col(value))).alias("_x1"),
                                F.min(F.when(F.col("_cum") >= k2, F.col(value))).alias("_x2"))
+    if n_hot:
+        ranks = hot.select(key, F.floor((F.col("_n") + 1) / 2).alias("k"), F.lit(1).alias("_j")).unionByName(
+            hot.select(key, (F.floor(F.col("_n") / 2) + 1).alias("k"), F.lit(2).alias("_j")))
+        kth = group_kth(df.join(hot_side.select(key), key, "left_semi"), key, value, ranks.select(key, "k").distinct())
+        mid = ranks.join(kth, [key, "k"]).groupBy(key).agg(
+            F.max(F.when(F.col("_j") == 1, F.col("kth"))).alias("_x1"),
+            F.max(F.when(F.col("_j") == 2, F.col("kth"))).alias("_x2"))
+        agg = agg.unionByName(mid)
     return agg.select(key, ((F.col("_x1").cast("double") + F.col("_x2").cast("double")) / 2.0).alias(out))
 
 

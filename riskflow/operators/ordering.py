@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 BISECT_BUCKETS = 1 << 16       # histogram buckets per bisection pass (<= 64k rows to the driver)
 ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one task's share)
 OFFSETS_BROADCAST_MAX = 1_000_000  # running-total ranges whose offsets (two longs each) are broadcast
+TARGETS_BROADCAST_MAX = 1_000_000  # open (key, rank) targets of group_kth sent to every task
 
 
 def group_stats(df: DataFrame, col: str, by: str | None = None) -> dict:
@@ -41,7 +42,7 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
     tight [min, max] of the bucket holding rank k, found in Spark by a running count over the
     buckets. Map-side partial aggregation makes a hot key or value cost nothing extra; one row per
     target and pass reaches the driver. Suits a modest number of
-    targets (groups x ranks); many groups use a keyed window instead (``group_median``).
+    targets (groups x ranks); many groups use ``group_kth``.
     ``stats`` may pass in a ``group_stats`` result the caller already has (saves a scan).
     """
     c = F.col(col)
@@ -92,6 +93,46 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
     return {targets[i]: done[i] for i in range(len(targets))}
 
 
+def group_kth(df: DataFrame, key: str, value: str, ranks: DataFrame,
+              buckets: int = BISECT_BUCKETS) -> DataFrame:
+    """Exact k-th smallest ``value`` for every ``(key, k)`` row of ``ranks``, all targets at once.
+
+    The counting bisection of ``order_stats`` with its targets kept as a table instead of literal
+    expressions, for any number of keys: each pass joins the rows to the open targets (broadcast
+    below ``TARGETS_BROADCAST_MAX`` counted targets, else a shuffle join with AQE skew handling),
+    counts the rows inside each target's range into ``buckets`` equal-width buckets (map-side
+    partial aggregation), and finds the rank's bucket with a running count over at most
+    ``buckets`` rows per target. The target table is checkpointed after every pass; nothing
+    reaches the driver but the count of open targets. Returns ``(key, k, kth)``.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    src = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    stats = src.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    t = (ranks.select(key, F.col("k").cast("long").alias("k")).join(stats, key)
+              .select(key, "k", "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
+              .checkpoint(eager=True))
+    while True:
+        open_ = t.where(F.col("_lo") < F.col("_hi"))
+        n_open = open_.count()
+        if n_open == 0:
+            break
+        side = F.broadcast(open_) if n_open <= TARGETS_BROADCAST_MAX else open_
+        x = src.join(side, key).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        pos = F.floor((F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+                      * F.lit(buckets))
+        counts = (x.groupBy(key, "k", "_below", F.least(pos, F.lit(buckets - 1)).cast("int").alias("_b"))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
+        need = F.col("k") - F.col("_below")
+        cum = F.sum("_n").over(Window.partitionBy(key, "k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        hit = (counts.withColumn("_cum", cum)
+                     .where((F.col("_cum") >= need) & (F.col("_cum") - F.col("_n") < need))
+                     .select(key, "k", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
+                             (F.col("_below") + F.col("_cum") - F.col("_n")).alias("_below")))
+        t = t.where(F.col("_lo") == F.col("_hi")).unionByName(hit).checkpoint(eager=True)
+    return t.select(key, "k", F.col("_lo").alias("kth"))
+
+
 def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
     """Exact k-th smallest values of one column; ``ks`` may be a function of the count ``n``."""
     stats = group_stats(df, col)

@@ -54,3 +54,25 @@ def test_sample_test_is_repeatable(spark):
     import pytest
     with pytest.raises(ValueError):
         J.sample_test(df.where("split = 0"))
+
+
+def test_group_median_hot_keys_by_bisection(spark):
+    import random
+
+    import numpy as np
+
+    from riskflow.operators.lookups import group_median
+    rnd = random.Random(7)
+    rows = [("hot", round(rnd.uniform(-50, 500), 3)) for _ in range(900)] + [("hot", 42.0)] * 300
+    rows += [(f"c{i}", float(rnd.randint(0, 30))) for i in range(40) for _ in range(rnd.randint(1, 9))]
+    rows += [("nulls", None), ("nulls", 5.0), ("nulls", 7.0)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    expect = {}
+    for k, v in rows:
+        if v is not None:
+            expect.setdefault(k, []).append(v)
+    for hot_distinct in (0, 5, 10**9):   # every key / mixed / none through the bisection
+        got = {r["key"]: r["median"] for r in group_median(df, "key", "v", hot_distinct=hot_distinct).collect()}
+        assert got.keys() == expect.keys()
+        for k, vs in expect.items():
+            assert got[k] == float(np.median(vs)), (hot_distinct, k)
