@@ -11,6 +11,7 @@ Only small aggregates (counts, one row per bisection target and pass) reach the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +146,11 @@ def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear', Spark ``percentile``) computed exactly.
 
-    Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``.
+    Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``. With ``by`` the
+    ranks, values and interpolation all stay in Spark (``group_kth``), for any number of groups.
     """
+    if by is not None:
+        return _grouped_quantiles(df, col, qs, by)
     stats = group_stats(df, col, by)
     ns = {g: int(r["n"]) for g, r in stats.items()}
     targets, plan = set(), {}
@@ -171,6 +175,26 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
     return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
+def _grouped_quantiles(df: DataFrame, col: str, qs: list[float], by: str) -> DataFrame:
+    c = F.col(col)
+    n = df.where(c.isNotNull()).groupBy(by).agg(F.count(c).alias("n"))
+    plans = []
+    for j, q in enumerate(qs):
+        h = (F.col("n") - 1) * F.lit(float(q))
+        lo = F.floor(h)
+        plans.append(n.select(by, "n", F.lit(j).alias("_q"), (lo + 1).alias("_klo"),
+                              (F.least(lo + 1, F.col("n") - 1) + 1).alias("_khi"), (h - lo).alias("_frac")))
+    plan = reduce(DataFrame.unionByName, plans)
+    ranks = plan.select(by, F.col("_klo").alias("k")).unionByName(plan.select(by, F.col("_khi").alias("k"))).distinct()
+    kth = group_kth(df, by, col, ranks)
+    a = kth.select(by, F.col("k").alias("_klo"), F.col("kth").cast("double").alias("_a"))
+    b = kth.select(by, F.col("k").alias("_khi"), F.col("kth").cast("double").alias("_b"))
+    v = plan.join(a, [by, "_klo"]).join(b, [by, "_khi"]).select(
+        by, "n", "_q", (F.col("_a") + F.col("_frac") * (F.col("_b") - F.col("_a"))).alias("_v"))
+    out = v.groupBy(by, "n").agg(*[F.max(F.when(F.col("_q") == j, F.col("_v"))).alias(f"q_{j}") for j in range(len(qs))])
+    return out.select(by, *[f"q_{j}" for j in range(len(qs))], F.col("n").cast("long").alias("n"))
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
                    n_rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
                    prefix: str = "cum_") -> DataFrame:
