@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000        # a card above this many rows is split by time range
 CHUNK_ROWS = 500_000        # target rows per chunk of a hot card
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 500_000    # hot-card rows (key + 4 longs): tens of MB at most
 CARRY_BROADCAST_MAX = 10_000  # hot chunks; a carry row holds up to L-1 feature vectors (a few KB)
 
 
