@@ -16,7 +16,8 @@ from ..schema import CATEGORICAL, TRAIN
 from .ordering import dense_index
 
 MISSING = "NA"
-LITERAL_MAP_MAX = 100_000   # above this a fitted map is joined instead of inlined
+FIT_ON_DRIVER_MAX = 100_000  # distinct train (column, value) pairs coded on the driver; above: dense_index
+LITERAL_MAP_MAX = 64         # entries per column inlined as a map literal (a lookup scans the keys); above: join
 
 
 def _utf8(s: str) -> bytes:
@@ -32,7 +33,7 @@ def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, split_col:
     """Codes 1..K for the distinct TRAIN values of each present column, in code-point order.
 
     NA is an ordinary value here (it gets its own code when train contains nulls). One aggregate
-    finds the distinct (column, value) pairs; when there are at most ``LITERAL_MAP_MAX`` of them
+    finds the distinct (column, value) pairs; when there are at most ``FIT_ON_DRIVER_MAX`` of them
     the codes are assigned on that small fitted table directly, otherwise each column goes through
     the bucketed ``dense_index`` so no step holds a column's whole value set in one task.
     """
@@ -44,8 +45,8 @@ def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, split_col:
         return spark.createDataFrame([], schema)
     pairs = reduce(DataFrame.unionByName,
                    [train.select(F.lit(c).alias("column"), cat_value(c).alias("value")) for c in present]).distinct()
-    small = pairs.limit(LITERAL_MAP_MAX + 1).collect()
-    if len(small) <= LITERAL_MAP_MAX:
+    small = pairs.limit(FIT_ON_DRIVER_MAX + 1).collect()
+    if len(small) <= FIT_ON_DRIVER_MAX:
         by_col: dict[str, list[str]] = {}
         for r in small:
             by_col.setdefault(r["column"], []).append(r["value"])
@@ -59,14 +60,15 @@ def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, split_col:
     return reduce(DataFrame.unionByName, parts)
 
 
-def collect_maps(cat_map: DataFrame) -> dict[str, dict[str, int]]:
-    """Fitted maps to the driver (bounded: train distinct values of low-cardinality columns)."""
-    n = cat_map.count()
-    if n > LITERAL_MAP_MAX:
-        raise ValueError(f"category map has {n} entries; use apply_categories_join")
-    out: dict[str, dict[str, int]] = {}
-    for r in cat_map.collect():
-        out.setdefault(r["column"], {})[r["value"]] = int(r["code"])
+def collect_maps(cat_map: DataFrame) -> dict[str, dict[str, int] | None]:
+    """Fitted maps of the small columns (at most ``LITERAL_MAP_MAX`` codes) to the driver; a larger
+    column maps to ``None`` and is applied by a join (``apply_categories`` with ``cat_map``)."""
+    sizes = {r["column"]: int(r["n"]) for r in cat_map.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [c for c, n in sizes.items() if n <= LITERAL_MAP_MAX]
+    out: dict[str, dict[str, int] | None] = {c: None for c, n in sizes.items() if n > LITERAL_MAP_MAX}
+    if small:
+        for r in cat_map.where(F.col("column").isin(small)).collect():
+            out.setdefault(r["column"], {})[r["value"]] = int(r["code"])
     return out
 
 
@@ -80,10 +82,19 @@ def code_of(c: str, mapping: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*kv), cat_value(c)), F.lit(0))
 
 
-def apply_categories(df: DataFrame, maps: dict[str, dict[str, int]], cols: Sequence[str] | None = None) -> DataFrame:
-    """Add ``{col}_code`` for every fitted column, as an inlined map lookup (no join)."""
+def apply_categories(df: DataFrame, maps: dict[str, dict[str, int] | None], cols: Sequence[str] | None = None,
+                     cat_map: DataFrame | None = None) -> DataFrame:
+    """Add ``{col}_code`` for every fitted column: an inlined map lookup (no join) for small
+    maps, an equi join on the fitted table for columns whose map is ``None`` (too large to inline)."""
     cols = list(cols) if cols is not None else list(maps)
-    return df.select("*", *[code_of(c, maps.get(c, {})).cast("int").alias(f"{c}_code") for c in cols])
+    big = [c for c in cols if c in maps and maps[c] is None]
+    if big and cat_map is None:
+        raise ValueError(f"columns {big} need the fitted category table (cat_map) to be joined")
+    out = df.select("*", *[code_of(c, maps.get(c) or {}).cast("int").alias(f"{c}_code") for c in cols if c not in big])
+    if big:
+        out = apply_categories_join(out, cat_map, big)
+        out = out.select(*df.columns, *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in cols])
+    return out
 
 
 def apply_categories_join(df: DataFrame, cat_map: DataFrame, cols: Sequence[str]) -> DataFrame:

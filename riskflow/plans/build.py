@@ -61,7 +61,7 @@ def build_processed(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, test_size:
     maps = collect_maps(cat_map)
     scaler = fit_scaler(feats, num)
     stats = collect_scaler(scaler)
-    coded = apply_categories(feats, maps, [c for c in spec.categorical if c in feats.columns])
+    coded = apply_categories(feats, maps, [c for c in spec.categorical if c in feats.columns], cat_map)
     table = apply_scaler(coded, stats)
     return Processed(table, feats, cut, cat_map, scaler, maps, stats,
                      FeatureSpec(**{**spec.__dict__}) if representation == "raw" else spec)

@@ -50,7 +50,7 @@ def score_requests(requests: DataFrame, p: Processed, threshold: float) -> DataF
     last = (feats.withColumn("_r", F.row_number().over(w))
                  .withColumn("n_rows", F.sum(F.when(F.col("_empty"), 0).otherwise(1)).over(Window.partitionBy("request_id")))
                  .where(F.col("_r") == 1))
-    coded = apply_scaler(apply_categories(last, p.maps, list(p.spec.categorical)), p.stats)
+    coded = apply_scaler(apply_categories(last, p.maps, list(p.spec.categorical), p.category_map), p.stats)
     fc = feature_columns(p)
     zeroed = coded.select(*[F.when(F.col("_empty"), F.lit(0.0)).otherwise(F.col(c).cast("double")).alias(c)
                             if c in fc else F.col(c) for c in coded.columns])

@@ -36,7 +36,7 @@ class StreamRun:
 def scored_stream(features: DataFrame, p: Processed, threshold: float) -> DataFrame:
     """L2: the batch fit's codes and scaler, then the scorer, on streamed features."""
     real = features.where(F.col("user") != SENTINEL_CARD)
-    coded = apply_scaler(apply_categories(real, p.maps, list(p.spec.categorical)), p.stats)
+    coded = apply_scaler(apply_categories(real, p.maps, list(p.spec.categorical), p.category_map), p.stats)
     return score(coded, threshold)
 
 

@@ -34,3 +34,20 @@ def test_corrupting_non_train_rows_keeps_fit(spark):
             .withColumn("category", F.when(F.col("split") == 2, F.lit("zzz")).otherwise(F.col("category")))
     assert collect_scaler(fit_scaler(df, ["x"])) == collect_scaler(fit_scaler(bad, ["x"]))
     assert collect_maps(fit_categories(df, ["category"])) == collect_maps(fit_categories(bad, ["category"]))
+
+
+def test_large_maps_are_joined_not_inlined(spark, monkeypatch):
+    import riskflow.operators.encode as E
+    df = spark.createDataFrame([("b", "x", 0), (None, "y", 0), ("a", "x", 0), ("c", "z", 1), (None, None, 2)],
+                               "category string, state string, split int")
+    cat_map = fit_categories(df, ["category", "state"])
+    inline = apply_categories(df, collect_maps(cat_map), ["category", "state"]).collect()
+    monkeypatch.setattr(E, "LITERAL_MAP_MAX", 2)        # category (3 codes) goes by join, state (2) inline
+    maps = collect_maps(cat_map)
+    assert maps["category"] is None and maps["state"] == {"x": 1, "y": 2}
+    with pytest.raises(ValueError):
+        apply_categories(df, maps, ["category", "state"])
+    joined = apply_categories(df, maps, ["category", "state"], cat_map)
+    assert joined.columns == ["category", "state", "split", "category_code", "state_code"]
+    key = lambda r: (r["split"], r["category"] or "", r["state"] or "")
+    assert sorted(joined.collect(), key=key) == sorted(inline, key=key)
