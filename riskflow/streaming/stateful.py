@@ -30,7 +30,19 @@ STATE_SCHEMA = "n long, s double, nn long, last_t long, pending string"
 COLS = ["unix_time", "tie", "amt", *PASS]
 
 
-_NONE = "[]"
+_NONE = "{}"
+TEXT = {"cc_num", "category", "gender", "state"}
+INTS = {"unix_time", "tie"}
+
+
+def _dtype(c: str):
+    return object if c in TEXT else ("int64" if c in INTS else "float64")
+
+
+def _arrays(pdf: pd.DataFrame) -> dict:
+    """One Arrow batch of a card as typed numpy columns (nulls in float columns become NaN)."""
+    return {c: pdf[c].to_numpy(dtype=_dtype(c), **({} if c in TEXT or c in INTS else {"na_value": np.nan}))
+            for c in COLS}
 
 
 def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,38 +51,41 @@ def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         n, s, nn, last_t, pending = state.get
     else:
         n, s, nn, last_t, pending = 0, 0.0, 0, None, _NONE
-    parts = [] if state.hasTimedOut else [p[COLS] for p in pdfs if len(p)]
+    parts = [] if state.hasTimedOut else [_arrays(p) for p in pdfs if len(p)]
     if pending != _NONE:
-        parts.insert(0, pd.DataFrame(json.loads(pending), columns=COLS))
+        held = json.loads(pending)      # column-wise; json keeps NaN
+        parts.insert(0, {c: np.asarray(held[c], dtype=_dtype(c)) for c in COLS})
     if not parts:
         state.update((n, s, nn, last_t, _NONE))
         return
-    buf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    t_all = buf["unix_time"].to_numpy(dtype="int64")
-    order = np.lexsort((buf["tie"].to_numpy(dtype="int64"), t_all))     # by (time, tie)
+    buf = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in COLS}
+    t_all = buf["unix_time"]
+    order = np.lexsort((buf["tie"], t_all))                          # by (time, tie)
     t_sorted = t_all[order]
     wm_ms = state.getCurrentWatermarkMs()
-    k = int(np.searchsorted(t_sorted * 1000, wm_ms, side="left"))       # ready rows: a sorted prefix
+    k = int(np.searchsorted(t_sorted * 1000, wm_ms, side="left"))    # ready rows: a sorted prefix
     out = None
     if k:
         ready = order[:k]
         t = t_sorted[:k]
-        raw = buf["amt"].to_numpy(dtype="float64", na_value=np.nan)[ready]
+        raw = buf["amt"][ready]
         amt = raw.astype("float32")
         a64 = amt.astype("float64")
         valid = ~np.isnan(a64)
         vals = np.where(valid, a64, 0.0)
         csum = np.cumsum(vals) - vals
         ccnt = np.cumsum(valid) - valid
-        prev = np.empty(k, dtype="float64")
-        prev[0] = np.nan if last_t is None else last_t
+        prev = np.empty(k, dtype="int64")
         prev[1:] = t[:-1]
-        cols = {"user": np.full(k, user, dtype=object), "unix_time": t,
-                "tie": buf["tie"].to_numpy(dtype="int64")[ready], "amt": amt, "amt_raw": raw}
+        prev[0] = 0 if last_t is None else last_t
+        no_prev = np.zeros(k, dtype=bool)
+        no_prev[0] = last_t is None
+        cols = {"user": np.full(k, user, dtype=object), "unix_time": t, "tie": buf["tie"][ready],
+                "amt": amt, "amt_raw": raw}
         for c in PASS:
-            cols[c] = buf[c].to_numpy()[ready]
+            cols[c] = buf[c][ready]
         cols["_prior_n"] = n + np.arange(k, dtype="int64")
-        cols["_prev_t"] = pd.array(np.where(np.isnan(prev), None, prev), dtype="Int64")
+        cols["_prev_t"] = pd.arrays.IntegerArray(prev, no_prev)
         cols["_prior_sum"] = s + csum
         cols["_prior_cnt"] = (nn + ccnt).astype("int64")
         out = pd.DataFrame(cols)
@@ -79,9 +94,8 @@ def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         nn += int(valid.sum())
         last_t = int(t[-1])
     if k < len(order):
-        keep = buf.iloc[order[k:]]
-        pend = json.dumps(keep.astype(object).where(keep.notna(), None).values.tolist())
-        state.update((n, s, nn, last_t, pend))
+        rest = order[k:]
+        state.update((n, s, nn, last_t, json.dumps({c: buf[c][rest].tolist() for c in COLS})))
         state.setTimeoutTimestamp(max(int(t_sorted[k]) * 1000, wm_ms + 1))
     else:
         state.update((n, s, nn, last_t, _NONE))
