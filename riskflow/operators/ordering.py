@@ -22,6 +22,7 @@ BISECT_BUCKETS = 1 << 16       # histogram buckets per bisection pass (<= 64k ro
 ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one task's share)
 OFFSETS_BROADCAST_MAX = 1_000_000  # running-total ranges whose offsets (two longs each) are broadcast
 TARGETS_BROADCAST_MAX = 1_000_000  # open (key, rank) targets of group_kth sent to every task
+LITERAL_GROUPS_MAX = 64        # grouped quantiles with more groups go through group_kth
 
 
 def group_stats(df: DataFrame, col: str, by: str | None = None) -> dict:
@@ -62,7 +63,7 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
         for i, (lo, hi, _) in open_.items():
             inside = c.between(F.lit(lo), F.lit(hi))
             if by:
-                inside = inside & (F.col(by) == F.lit(targets[i][0]))
+                inside = inside & F.col(by).eqNullSafe(F.lit(targets[i][0]))
             conds.append(inside)
             pos = F.floor((c - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * F.lit(BISECT_BUCKETS))
             bucket = F.least(pos, F.lit(BISECT_BUCKETS - 1)).cast("int")
@@ -146,12 +147,20 @@ def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear', Spark ``percentile``) computed exactly.
 
-    Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``. With ``by`` the
-    ranks, values and interpolation all stay in Spark (``group_kth``), for any number of groups.
+    Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``. Up to
+    ``LITERAL_GROUPS_MAX`` groups share one bisection with literal targets; with more groups the
+    ranks, values and interpolation all stay in Spark (``group_kth``).
     """
     if by is not None:
-        return _grouped_quantiles(df, col, qs, by)
-    stats = group_stats(df, col, by)
+        c = F.col(col)
+        few = (df.where(c.isNotNull()).groupBy(F.col(by).alias("g"))
+                 .agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+                 .limit(LITERAL_GROUPS_MAX + 1).collect())
+        if len(few) > LITERAL_GROUPS_MAX:
+            return _grouped_quantiles(df, col, qs, by)
+        stats = {r["g"]: r for r in few}
+    else:
+        stats = group_stats(df, col, by)
     ns = {g: int(r["n"]) for g, r in stats.items()}
     targets, plan = set(), {}
     for g, n in ns.items():

@@ -19,13 +19,18 @@ def test_exact_kth_with_hot_value(spark):
     assert n == 4500 and got == [s[k - 1] for k in ks]
 
 
-def test_exact_quantiles_grouped_doubles(spark):
+@pytest.mark.parametrize("literal_groups", [64, 0])   # literal targets / table-driven group_kth
+def test_exact_quantiles_grouped_doubles(spark, monkeypatch, literal_groups):
+    import riskflow.operators.ordering as O
+    monkeypatch.setattr(O, "LITERAL_GROUPS_MAX", literal_groups)
     rnd = random.Random(2)
     rows = [(g, rnd.gauss(0, 1) * 100) for g in (0, 1) for _ in range(501 + g)]
     df = spark.createDataFrame(rows, "g long, v double")
     q = {r["g"]: r for r in exact_quantiles(df, "v", [0.25, 0.5, 0.99], by="g").collect()}
     for g in (0, 1):
         xs = [v for gg, v in rows if gg == g]
+        assert q[g]["n"] == len(xs)
+        assert q[g]["q_0"] == pytest.approx(np.percentile(xs, 25))
         assert q[g]["q_1"] == pytest.approx(np.percentile(xs, 50))
         assert q[g]["q_2"] == pytest.approx(np.percentile(xs, 99))
 
