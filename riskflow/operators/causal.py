@@ -3,11 +3,14 @@
 The natural plan, ``Window.partitionBy(card).orderBy(time, tie)``, puts every row of a card in one
 task. A card holding a third of all rows would then be a third of the job in one task. Here:
 
-1. a small aggregate finds *hot* cards (more than ``hot_rows`` rows) with their time range;
-   there are at most ``rows / hot_rows`` of them, and the table is broadcast only below
-   ``BROADCAST_MAX_ROWS`` (checked), else joined by shuffle with AQE skew handling;
-2. a hot card's rows are cut into time-range chunks of about ``chunk_rows`` rows, ordinary
-   cards keep chunk 0, and the windows run over ``(card, chunk)``: one hash exchange;
+1. a small aggregate finds *hot* cards (more than ``hot_rows`` rows); there are at most
+   ``rows / hot_rows`` of them, and the table is broadcast only below ``BROADCAST_MAX_ROWS``
+   (checked), else joined by shuffle with AQE skew handling;
+2. the hot cards' rows are range-partitioned on ``(card, time, tie)`` into chunks of about
+   ``chunk_rows`` rows (Spark's range partitioner samples the bounds, so chunks hold equal counts
+   even for bursts or many rows at one timestamp); the partition id, checkpointed so every later
+   pass sees the same chunks, is the chunk. Ordinary cards keep chunk 0, and the windows run
+   over ``(card, chunk)``: one hash exchange;
 3. per-chunk totals (count, sums, last time, last L-1 vectors) of hot cards, one row per chunk,
    are turned into carries with a window over chunks and joined back: broadcast while the number
    of hot chunks is at most ``CARRY_BROADCAST_MAX`` (checked), else an ordinary join on
@@ -19,15 +22,16 @@ when hot cards exist.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 2_000_000        # a card above this many rows is split by time range
+HOT_ROWS = 2_000_000        # a card above this many rows is split into range chunks
 CHUNK_ROWS = 500_000        # target rows per chunk of a hot card
-BROADCAST_MAX_ROWS = 500_000    # hot-card rows (key + 4 longs): tens of MB at most
+BROADCAST_MAX_ROWS = 500_000    # hot-card rows (key + count): tens of MB at most
 CARRY_BROADCAST_MAX = 10_000  # hot chunks; a carry row holds up to L-1 feature vectors (a few KB)
 
 
@@ -35,21 +39,23 @@ def _ord(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in order]
 
 
-def _chunked(df: DataFrame, key: str, t: str, hot_rows: int, chunk_rows: int):
-    hot = (df.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_hn"), F.min(t).alias("_ht0"), F.max(t).alias("_ht1"))
-             .where(F.col("_hn") > hot_rows)
-             .withColumn("_hk", F.ceil(F.col("_hn") / F.lit(chunk_rows))))
-    size = hot.agg(F.count(F.lit(1)).alias("cards"), F.sum("_hk").alias("chunks")).first()
-    n_hot, n_chunks = int(size["cards"]), int(size["chunks"] or 0)
+def _chunked(df: DataFrame, key: str, order: Sequence[str], hot_rows: int, chunk_rows: int):
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > hot_rows)
+    size = hot.agg(F.count(F.lit(1)).alias("cards"), F.sum("_hn").alias("rows")).first()
+    n_hot, n_rows = int(size["cards"]), int(size["rows"] or 0)
     if n_hot == 0:
         return df.withColumn("_chunk", F.lit(0)), 0
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-    j = df.join(side, key, "left")
-    span = (F.col("_ht1") - F.col("_ht0") + F.lit(1)).cast("double")
-    pos = F.floor((F.col(t) - F.col("_ht0")).cast("double") / span * F.col("_hk"))
-    chunk = F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(F.least(F.col("_hk") - 1, pos))
-    return j.withColumn("_chunk", chunk.cast("int")).drop("_hn", "_ht0", "_ht1"), n_chunks
+    flagged = df.join(side.select(key, F.lit(True).alias("_hot")), key, "left")
+    cold = flagged.where(F.col("_hot").isNull()).drop("_hot").withColumn("_chunk", F.lit(0))
+    n_chunks = max(1, math.ceil(n_rows / chunk_rows))
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    chunks = (flagged.where(F.col("_hot").isNotNull()).drop("_hot")
+                     .repartitionByRange(n_chunks, F.col(key), *_ord(order))
+                     .withColumn("_chunk", (F.spark_partition_id() + 1).cast("int"))
+                     .checkpoint(eager=True))
+    return cold.unionByName(chunks), n_chunks
 
 
 def _tail(arr: Column, n: int) -> Column:
@@ -67,7 +73,7 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
     with ``value``: ``_prior_sum`` / ``_prior_cnt`` over non-null values before,
     with ``vec`` and ``seq_len``: ``_win``, the last ``seq_len`` vectors ending at the row.
     """
-    x, n_chunks = _chunked(df, key, t, hot_rows, chunk_rows)
+    x, n_chunks = _chunked(df, key, order, hot_rows, chunk_rows)
     has_hot = n_chunks > 0
     w = Window.partitionBy(key, "_chunk").orderBy(*_ord(order))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +87,7 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
     if has_hot:
         # chunk summaries read the hot rows only (not the windowed table, which would repeat
         # the full shuffle); without vectors they are a plain partial aggregate
-        hot_rows_df = x.where(F.col("_hk").isNotNull())
+        hot_rows_df = x.where(F.col("_chunk") > 0)
         if vec:
             follow = F.count(F.lit(1)).over(w.rowsBetween(1, seq_len - 1))
             hot_rows_df = hot_rows_df.withColumn("_follow", follow)

@@ -46,3 +46,18 @@ def test_hot_chunk_carries_by_shuffle_join_match(spark):
     joined = causal_pass(df, hot_rows=2, chunk_rows=3, carry_broadcast_max=0, **kw)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("Window")[0]
     assert plain == bcast == joined.orderBy("tie").collect()
+
+
+def test_hot_card_burst_at_one_timestamp_is_split_evenly(spark):
+    from riskflow.operators.causal import _chunked, causal_pass
+    rows = [("hot", 100, i, float(i % 7)) for i in range(300)]            # one timestamp, 300 rows
+    rows += [("hot", 100 + i, 300 + i, 1.0) for i in range(1, 61)]          # then a trickle
+    rows += [("cold", i, 1000 + i, 2.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "user string, unix_time long, tie long, x double").withColumn("v", F.array("x"))
+    x, n_chunks = _chunked(df, "user", ["unix_time", "tie"], hot_rows=50, chunk_rows=40)
+    sizes = [r["n"] for r in x.where("_chunk > 0").groupBy("_chunk").count().withColumnRenamed("count", "n").collect()]
+    assert n_chunks == 9 and sum(sizes) == 360 and max(sizes) <= 80      # equal-width time ranges would put 300 in one
+    kw = dict(key="user", order=["unix_time", "tie"], value="x", vec="v", seq_len=4)
+    plain = causal_pass(df, **kw).orderBy("tie").collect()
+    hot = causal_pass(df, hot_rows=50, chunk_rows=40, **kw).orderBy("tie").collect()
+    assert plain == hot
