@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000        # a card above this many rows is split into range chunks
 CHUNK_ROWS = 500_000        # target rows per chunk of a hot card
+MAX_CHUNKS = 100_000        # range partitions of hot rows at most; beyond that chunks grow
 BROADCAST_MAX_ROWS = 500_000    # hot-card rows (key + count): tens of MB at most
 CARRY_BROADCAST_MAX = 10_000  # hot chunks; a carry row holds up to L-1 feature vectors (a few KB)
 
@@ -48,7 +49,7 @@ def _chunked(df: DataFrame, key: str, order: Sequence[str], hot_rows: int, chunk
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     flagged = df.join(side.select(key, F.lit(True).alias("_hot")), key, "left")
     cold = flagged.where(F.col("_hot").isNull()).drop("_hot").withColumn("_chunk", F.lit(0))
-    n_chunks = max(1, math.ceil(n_rows / chunk_rows))
+    n_chunks = min(max(1, math.ceil(n_rows / chunk_rows)), MAX_CHUNKS)
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     chunks = (flagged.where(F.col("_hot").isNotNull()).drop("_hot")

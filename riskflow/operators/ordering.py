@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 BISECT_BUCKETS = 1 << 16       # histogram buckets per bisection pass (<= 64k rows to the driver)
 ROWS_PER_BUCKET = 1_000_000    # rows one running-total bucket may hold (one task's share)
+MAX_RANGES = 100_000           # range partitions at most; beyond ~10^11 rows a range grows instead
 OFFSETS_BROADCAST_MAX = 1_000_000  # running-total ranges whose offsets (two longs each) are broadcast
 TARGETS_BROADCAST_MAX = 1_000_000  # open (key, rank) targets of group_kth sent to every task
 LITERAL_GROUPS_MAX = 64        # grouped quantiles with more groups go through group_kth
@@ -218,7 +219,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
     and nothing but the row count reaches the driver.
     """
     n = n_rows if n_rows is not None else df.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    buckets = min(max(1, math.ceil(n / rows_per_bucket)), MAX_RANGES)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     if buckets == 1:
         b = df.withColumn("_bucket", F.lit(0))
