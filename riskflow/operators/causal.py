@@ -108,7 +108,7 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
             near = F.collect_list(F.transform("_ctail", lambda s: s["_v"])).over(cw.rowsBetween(-(seq_len - 1), -1))
             carry.append(_tail(F.flatten(near), seq_len - 1).alias("_carry_tail"))
         carries = summ.select(key, "_chunk", *carry)
-        # one row per hot chunk (at most rows / chunk_rows + hot cards), counted above
+        # at most one row per (card, chunk): a range chunk can hold the tail and head of two cards
         side = F.broadcast(carries) if n_chunks <= carry_broadcast_max else carries
         local = local.join(side, [key, "_chunk"], "left")
     else:
@@ -132,6 +132,6 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
         out = out.withColumn("_win", full)
     elif vec:
         out = out.withColumn("_win", F.col("_lwin"))
-    drop = [c for c in ("_rn", "_lprev_t", "_lsum", "_lcnt", "_lwin", "_follow", "_hk", "_chunk",
+    drop = [c for c in ("_rn", "_lprev_t", "_lsum", "_lcnt", "_lwin", "_follow", "_chunk",
                         "_carry_n", "_carry_t", "_carry_sum", "_carry_cnt", "_carry_tail") if c in out.columns]
     return out.drop(*drop)
