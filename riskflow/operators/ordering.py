@@ -76,12 +76,15 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
                     .select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("x"))
                     .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
                     .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")))
-        # rank still needed inside each open range (one row per open target)
-        need = df.sparkSession.createDataFrame(
-            [(i, int(targets[i][1] - below)) for i, (_, _, below) in open_.items()], "i int, need long")
+        # rank still needed inside each open range, as a literal map over the open targets (it is
+        # evaluated on the bucket counts only, never on the scanned rows)
+        kv = []
+        for i, (_, _, below) in open_.items():
+            kv += [F.lit(i), F.lit(int(targets[i][1] - below))]
+        need_of = F.create_map(*kv)
         # the bucket holding that rank: running count over at most BISECT_BUCKETS rows per target
         cum = F.sum("n").over(Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-        hits = (counts.join(F.broadcast(need), "i").withColumn("_cum", cum)
+        hits = (counts.withColumn("need", F.element_at(need_of, F.col("i"))).withColumn("_cum", cum)
                       .where((F.col("_cum") >= F.col("need")) & (F.col("_cum") - F.col("n") < F.col("need")))
                       .select("i", "lo", "hi", (F.col("_cum") - F.col("n")).alias("before"))
                       .collect())

@@ -41,16 +41,19 @@ def features_table(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, hot_rows: i
 def build_processed(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, test_size: float = TEST_SIZE,
                     val_size: float = VAL_SIZE, materialize: bool = True, hot_rows: int = HOT_ROWS,
                     chunk_rows: int = CHUNK_ROWS, representation: str = "raw") -> Processed:
-    """Full ETL. ``materialize`` checkpoints the feature table into ``spark.checkpoint.dir`` so the
-    fits and the final projection read it instead of recomputing the windows.
+    """Full ETL. ``materialize`` writes the feature table as parquet under ``spark.checkpoint.dir``
+    so the cutoffs, fits and final projection read it (pruned) instead of recomputing the windows.
     """
     if representation not in ("raw", "triple_pca"):
         raise ValueError(f"unknown representation {representation!r} (raw | triple_pca)")
     feats = features_table(raw, spec, hot_rows, chunk_rows)
     if materialize:
-        from ..session import checkpoint_dir
-        checkpoint_dir(feats.sparkSession)
-        feats = feats.checkpoint(eager=True)
+        # a parquet table in the shared checkpoint folder cuts the lineage like checkpoint() and
+        # keeps column pruning and filter pushdown for the passes below (cutoffs read one column)
+        from ..session import scratch_path
+        path = scratch_path(feats.sparkSession, "features")
+        feats.write.parquet(path)
+        feats = feats.sparkSession.read.parquet(path)
     cut = cutoffs(feats, "unix_time", test_size, val_size)
     feats = label_split(feats, cut).withColumn("y", F.col("is_fraud").cast("int"))
     num = spec.numeric()
