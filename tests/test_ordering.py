@@ -56,3 +56,19 @@ def test_dense_index(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     got = {r["key"]: r["idx"] for r in dense_index(df, "key").collect()}
     assert got == {k: i for i, k in enumerate(sorted(set(keys), key=lambda s: s.encode()))}
+
+
+def test_group_kth_every_rank_of_many_keys(spark):
+    from riskflow.operators.ordering import group_kth
+    rnd = random.Random(11)
+    rows = [(f"k{g}", rnd.choice([rnd.randint(-10**12, 10**12), 7, 7, 7])) for g in range(30) for _ in range(rnd.randint(1, 25))]
+    rows += [("one", 5), ("flat", 3), ("flat", 3), ("flat", 3), ("nulls", None), ("nulls", 9)]
+    df = spark.createDataFrame(rows, "key string, v long")
+    vals = {}
+    for k, v in rows:
+        if v is not None:
+            vals.setdefault(k, []).append(v)
+    ranks = spark.createDataFrame([(k, i) for k, vs in vals.items() for i in range(1, len(vs) + 1)], "key string, k long")
+    got = {(r["key"], r["k"]): r["kth"] for r in group_kth(df, "key", "v", ranks, buckets=16).collect()}
+    expect = {(k, i + 1): x for k, vs in vals.items() for i, x in enumerate(sorted(vs))}
+    assert got == expect
