@@ -25,13 +25,17 @@ BASE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   extra: dict | None = None, app: str = "riskflow") -> SparkSession:
-    """Local/test session builder. On a cluster, pass ``master=None`` and let spark-submit decide."""
+    """Session builder. ``shuffle_partitions`` and the driver's memory are set for local masters only.
+
+    On a cluster pass ``master=None``: sizes then come from spark-submit and its configuration files.
+    """
     builder = SparkSession.builder.appName(app)
+    conf = dict(BASE_CONF)
     if master:
         builder = builder.master(master)
-    conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("RISKFLOW_DRIVER_MEMORY", "8g"))
+        if master.startswith("local"):
+            conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+            conf["spark.driver.memory"] = os.environ.get("RISKFLOW_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -65,16 +69,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through Spark's file-system API (any scheme); a missing one is fine."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on whichever file system its scheme names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``riskflow`` importable in Python workers (pandas UDFs, state processors).
 
-    Zips the package once per application into the shared checkpoint folder and registers it
-    with ``addPyFile``; a no-op when the workers can already import it from their own path.
+    Zips the package once per application into a temporary file of the driver; ``addPyFile`` serves
+    it to every executor, also to those that join later, so no shared folder is involved.
     """
-    import os
     import zipfile
 
     sc = spark.sparkContext
@@ -82,15 +99,12 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = f"{checkpoint_dir(spark)}/riskflow-{app}.zip".replace("file:", "")
-    if not os.path.exists(target):
-        tmp = f"{target}.{uuid.uuid4().hex[:8]}.part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        os.replace(tmp, target)
+    target = os.path.join(tempfile.mkdtemp(prefix="riskflow-ship-"), f"riskflow-{app}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(target)
     _SHIPPED.add(app)
