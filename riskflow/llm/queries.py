@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon
+from . import bpe_lexicon, repetition
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, repetition coverages and the verdict for every whole text."""
+    return repetition.quality_rules(documents(spark, sf_dir))
+
+
 @query
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: token count, SHA-256 of ids and of the decoded text."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 GROUP_BYTES = 2 << 20
 
@@ -44,6 +45,7 @@ def text_groups(column: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[tu
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+LONG_SLICE = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -80,23 +82,23 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     inverse = pow(_BASE, -1, 1 << 64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(inverse, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    h = mix((sums[ends] - sums[starts]) * powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_SLICE):     # a polynomial over many terms has known collisions
+        h[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without white space; a text's end ends a run."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    cuts = offsets[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
-    cuts = cuts[inside[cuts] & inside[cuts + 1]] if len(cuts) else cuts   # a word runs over the border of two texts
-    if len(cuts):
-        starts = np.union1d(starts, cuts)
-        ends = np.union1d(ends, cuts)
-    return starts, ends
+    n = len(data)
+    inside = ~SPACE[data]
+    before = np.zeros(n + 1, bool)                            # the byte before belongs to a word of the same text
+    before[1:] = inside
+    before[offsets] = False
+    after = np.zeros(n + 1, bool)
+    after[:n] = inside
+    after[offsets] = False
+    return np.flatnonzero(inside & ~before[:n]), np.flatnonzero(inside & ~after[1:]) + 1
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
