@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, repetition
+from . import bpe_lexicon, repetition, simhash_trie
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,10 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: token count, SHA-256 of ids and of the decoded text."""
     return bpe_lexicon.digests(bpe_lexicon.encode_documents(documents(spark, sf_dir), byte_bpe_path()))
+
+
+@query
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text: 3-word shingles, at most 2 differing bits."""
+    found = simhash_trie.near_duplicates(documents(spark, sf_dir), words=3, max_bits=2)
+    return found.select("doc_id", simhash_trie.hexed().alias("fingerprint"), "component_id")
