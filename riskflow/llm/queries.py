@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, repetition, simhash_trie
+from . import bpe_lexicon, repetition, secret_automaton, simhash_trie
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(bpe_lexicon.encode_documents(documents(spark, sf_dir), byte_bpe_path()))
 
 
+@query
+def op8_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: base counts and digest, and all spans."""
+    return secret_automaton.digests(secret_automaton.secret_spans(documents(spark, sf_dir)), secret_automaton.BASE_KINDS)
+
+
 @query
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text: 3-word shingles, at most 2 differing bits."""
