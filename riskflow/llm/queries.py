@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, repetition, secret_automaton, simhash_trie
+from ..session import remove_path, scratch_path
+from ..sources.tables import read_table
+from . import bpe_lexicon, repetition, secret_automaton, simhash_trie, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +49,24 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text: 3-word shingles, at most 2 differing bits."""
     found = simhash_trie.near_duplicates(documents(spark, sf_dir), words=3, max_bits=2)
     return found.select("doc_id", simhash_trie.hexed().alias("fingerprint"), "component_id")
+
+
+@query
+def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back and assembled into captures."""
+    path = scratch_path(spark, "warc")
+    try:
+        warc.write_warc(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
+        return warc.resolved(warc.assemble(warc.read_records(spark, path, with_payload=False)))
+    finally:
+        remove_path(spark, path)
+
+
+ORACLE["op10_warc_transactions"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
