@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, repetition, secret_automaton, simhash_trie, warc
+from . import bpe_lexicon, repetition, secret_automaton, simhash_trie, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,22 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
 
+#: fixed rules of the url query: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_trees.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]), URL_RULES)
+
+
 @query
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: token count, SHA-256 of ids and of the decoded text."""
