@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, repetition, secret_automaton, simhash_trie, url_trees, warc
+from . import bpe_lexicon, piece_language, repetition, secret_automaton, simhash_trie, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,15 @@ def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]), URL_RULES)
 
 
+@query
+def op5_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from the texts that are not held out."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return piece_language.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: token count, SHA-256 of ids and of the decoded text."""
