@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, piece_language, repetition, secret_automaton, simhash_trie, url_trees, warc
+from . import bpe_lexicon, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(bpe_lexicon.encode_documents(documents(spark, sf_dir), byte_bpe_path()))
 
 
+@query
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: pairs of ids with the tiles' coverage and spans."""
+    return string_tiling.leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 @query
 def op8_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text: base counts and digest, and all spans."""
