@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
+from . import bpe_lexicon, line_runs, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,35 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later repeats of its runs of lines."""
+    return line_runs.drop_repeated_runs(documents(spark, sf_dir))
+
+
+#: Restates the result without fingerprints: a line goes if a shortest window of 50 characters or more, forward or back
+#: from some line, covers it and its text is met earlier.
+ORACLE["op1_line_runs"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line FROM d),
+o AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS e FROM l),
+p AS (SELECT *, e - length(s) - 1 AS b FROM o),
+w AS (
+  SELECT doc_id, min(line) OVER f AS first, max(line) OVER f AS last, string_agg(s, chr(10)) OVER f AS body, max(e) OVER f - min(b) OVER f AS n
+  FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION
+  SELECT doc_id, min(line) OVER r, max(line) OVER r, string_agg(s, chr(10)) OVER r, max(e) OVER r - min(b) OVER r
+  FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM w WHERE n >= 50),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS line FROM k WHERE place > 1),
+x AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(l.s, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS body
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE x.body END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE x.n_lines END AS n_lines, x.n_dropped
+FROM d JOIN x USING (doc_id)
+"""
+
+
 @query
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, repetition coverages and the verdict for every whole text."""
