@@ -387,8 +387,12 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def count_of(kind: str):
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+
 def digests(found: DataFrame, kinds: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Counts of the base ``kinds``, SHA-256 of their joined spans, and all spans joined."""
     base = F.filter("found", lambda s: s["kind"].isin(*kinds))
-    return found.select(id_col, *(F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
+    return found.select(id_col, *(count_of(k).alias(f"n_{k}") for k in kinds),
                         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
