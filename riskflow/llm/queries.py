@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, line_runs, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
+from . import bpe_lexicon, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ FROM d JOIN x USING (doc_id)
 """
 
 
+@query
+def op2_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base counts and digest, and all spans."""
+    return pii_labelers.digests(pii_labelers.private_spans(documents(spark, sf_dir)))
+
+
 @query
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, repetition coverages and the verdict for every whole text."""
