@@ -6,6 +6,7 @@ import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, remove_path, scratch_path, ship_package
 from ..sources.tables import read_table
@@ -33,3 +34,14 @@ def stashed(df: DataFrame, name: str) -> Iterator[DataFrame]:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         remove_path(spark, path)
+
+
+#: ids that are sent to every task, at most (16 MB of longs); more are joined by a shuffle
+BROADCAST_IDS = 1_000_000
+
+
+def kept_rows(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``df`` without the rows whose ``id_col`` is in ``gone`` (one column); rows with a null id stay."""
+    gone = gone.distinct().checkpoint()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(gone, id_col, "left_anti")

@@ -24,8 +24,8 @@ from .common import ready
 from .textarrays import mix, slice_hashes, text_groups, words
 
 #: window length in words -> largest share of word characters inside repeated windows; the first occurrence
-#: counts too, so these are twice the usual limits for the later occurrences alone
-NGRAM_LIMITS = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
+#: counts too, so this is about twice the usual limits for the later occurrences alone
+NGRAM_LIMITS = {5: 0.30, 6: 0.30, 8: 0.30, 10: 0.30}
 #: largest share of word characters inside lines that equal an earlier line
 LINE_LIMIT = 0.20
 #: base rules: fewest words, window length and largest percentage of words in repeated windows
@@ -107,35 +107,49 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     return out
 
 
-def repetition_coverage(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                        lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> DataFrame:
-    """``id_col``, the counts, and ``cover_<n>`` / ``cover_lines``: shares (0 to 1) of repeated word characters."""
+def judged(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float], line_limit: float) -> dict[str, np.ndarray]:
+    """Counts, coverages, ``base_failed`` and ``kept`` of all texts."""
+    m = measure(data, offsets, tuple(sorted({BASE_WINDOW, *limits})))
+    total = np.maximum(m["word_chars"], 1)
+    m["n_repeat_words"] = m[f"words_{BASE_WINDOW}"]
+    m["cover_lines"] = m["chars_lines"] / total
+    over = m["cover_lines"] > line_limit
+    for n, most in limits.items():
+        m[f"cover_{n}"] = m[f"chars_{n}"] / total
+        over |= m[f"cover_{n}"] > most
+    m["base_failed"] = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_PERCENT * m["n_words"])
+    m["kept"] = ~(m["base_failed"] | over)
+    return m
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limits: dict[int, float] = NGRAM_LIMITS,
+                  line_limit: float = LINE_LIMIT) -> DataFrame:
+    """``id_col``, the counts, ``base_failed`` and ``kept``, and the coverages (0 to 1), one row per row of ``docs``."""
     ready(docs)
-    every = tuple(sorted({BASE_WINDOW, *lengths}))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    covers = [*(f"cover_{n}" for n in lengths), "cover_lines"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    covers = [*(f"cover_{n}" for n in limits), "cover_lines"]
+    names = [*counts, "base_failed", "kept", *covers]
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_groups(batch.column(1)):
-                m = measure(data, offsets, every)
-                total = np.maximum(m["word_chars"], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array(m[c], pa.int64()) for c in counts), pa.array(m[f"words_{BASE_WINDOW}"], pa.int64()),
-                     *(pa.array(m[f"chars_{n}"] / total) for n in lengths), pa.array(m["chars_lines"] / total)],
-                    [id_col, *counts, "n_repeat_words", *covers])
+                m = judged(data, offsets, limits, line_limit)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(m[c]) for c in names)], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in [*counts, "n_repeat_words"]) + ", " + ", ".join(f"{c} double" for c in covers)
+    types = ["long"] * len(counts) + ["boolean"] * 2 + ["double"] * len(covers)
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{c} {t}" for c, t in zip(names, types, strict=True))])
     return docs.select(F.col(id_col), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limits: dict[int, float] = NGRAM_LIMITS,
-                  line_limit: float = LINE_LIMIT) -> DataFrame:
-    """Counts and coverages with ``base_failed`` and the verdict ``kept``, one row per row of ``docs``."""
-    measured = repetition_coverage(docs, id_col, text, tuple(limits))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words"))
-    over = F.col("cover_lines") > line_limit
-    for n, most in limits.items():
-        over = over | (F.col(f"cover_{n}") > most)
-    return measured.withColumn("base_failed", base).withColumn("kept", ~(base | over))
+def kept_documents(docs: DataFrame, text: str = "text", limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep; decided where a row is read."""
+    ready(docs)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_groups(batch.column(place)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(judged(data, offsets, limits, line_limit)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

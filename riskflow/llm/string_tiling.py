@@ -229,3 +229,23 @@ def _arrow(kind: str) -> pa.DataType:
 def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = MIN_COVERAGE, **options) -> DataFrame:
     """The pairs of document and item whose tiles cover at least ``least_coverage`` of the item."""
     return shared_passages(docs, benchmark, **options).where(F.col("coverage") >= least_coverage)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", least: int = MIN_TILE,
+                  least_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item; decided where a row is read."""
+    spark = ready(docs)
+    place = docs.columns.index(text)
+    for items in benchmark_blocks(benchmark, item_col, text, block_bytes):
+        shared = spark.sparkContext.broadcast(Block(items, least))
+
+        def clean(batches, shared=shared):
+            block = shared.value
+            for batch in batches:
+                for lo, hi, data, offsets in text_groups(batch.column(place)):
+                    keep = np.ones(hi - lo, bool)
+                    keep[[row for row, _, size, tiled, _ in block.leaks(data, offsets) if tiled >= least_coverage * size]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
