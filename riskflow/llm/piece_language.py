@@ -31,9 +31,9 @@ TRAIN_DOCS = 2_000
 #: rounds of expectation-maximisation, and the count added to every piece
 ROUNDS, ADDED = 3, 0.05
 MAX_LETTERS = 64
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 #: distinct words that walk the trie together
-WALK_WORDS = 32_768
+WALK_WORDS = 8_192
 #: factor for each letter that keeps products of piece probabilities near one
 SCALE = 24.0
 UNKNOWN = "und"
@@ -143,13 +143,13 @@ def lower() -> np.ndarray:
         for c in range(0x1F000):
             if not 0xD800 <= c < 0xE000 and len(low := chr(c).lower()) == 1:
                 table[c] = ord(low)
-        _LOWER = table
+        _LOWER = table.astype(np.int32)
     return _LOWER
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased code points of the texts, starts and lengths of their words in them, and each word's text."""
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     border = np.searchsorted(at, offsets)
     inside = classes()[points] == LETTER
@@ -169,8 +169,7 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def distinct(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word the number of its distinct word, and for each of these a place where it occurs."""
-    step = np.ascontiguousarray(points.astype("<u4")).view(np.uint8)
-    codes, unique = pd.factorize(slice_hashes(step, 4 * starts, 4 * (starts + lengths)))
+    codes, unique = pd.factorize(slice_hashes(points, starts, starts + lengths))
     place = np.empty(len(unique), np.int64)
     place[codes[::-1]] = np.arange(len(codes))[::-1]
     return codes, place
