@@ -24,14 +24,16 @@ def bce_with_logits(z, y) -> Column:
 
 
 def focal_with_logits(z, y, alpha: float = 0.25, gamma: float = 2.0) -> Column:
-    """I7 per-row focal term: bce * (1 - p_t)^gamma, times alpha_t unless alpha < 0."""
-    yd = _c(y).cast("double")
-    p = sigmoid(z)
-    p_t = p * yd + (1.0 - p) * (1.0 - yd)
-    loss = bce_with_logits(z, y) * F.pow(1.0 - p_t, F.lit(float(gamma)))
-    if alpha >= 0:
-        loss = (F.lit(float(alpha)) * yd + F.lit(1.0 - alpha) * (1.0 - yd)) * loss
-    return loss
+    """I7 per-row focal term from the signed margin ``s = (2y - 1) z``: softplus(-s) * sigmoid(-s)^gamma.
+
+    Rows of class 1 weigh ``alpha`` and rows of class 0 ``1 - alpha``; ``alpha < 0`` leaves them equal. Nothing is
+    subtracted from one, so confident rows keep their digits.
+    """
+    label = _c(y).cast("double")
+    against = (1.0 - 2.0 * label) * _c(z)
+    softplus = F.greatest(against, F.lit(0.0)) + F.log1p(F.exp(-F.abs(against)))
+    weight = F.when(label == 1.0, alpha).otherwise(1.0 - alpha) if alpha >= 0 else F.lit(1.0)
+    return weight * softplus * F.pow(sigmoid(against), F.lit(float(gamma)))
 
 
 def round_half_up(c, d: int) -> Column:

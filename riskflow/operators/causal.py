@@ -47,7 +47,8 @@ def _chunked(df: DataFrame, key: str, order: Sequence[str], hot_rows: int, chunk
     if n_hot == 0:
         return df.withColumn("_chunk", F.lit(0)), 0
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-    flagged = df.join(side.select(key, F.lit(True).alias("_hot")), key, "left")
+    side = side.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
+    flagged = df.join(side, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")   # a null key may be hot too
     cold = flagged.where(F.col("_hot").isNull()).drop("_hot").withColumn("_chunk", F.lit(0))
     n_chunks = min(max(1, math.ceil(n_rows / chunk_rows)), MAX_CHUNKS)
     from ..session import checkpoint_dir
@@ -109,8 +110,10 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
             carry.append(_tail(F.flatten(near), seq_len - 1).alias("_carry_tail"))
         carries = summ.select(key, "_chunk", *carry)
         # at most one row per (card, chunk): a range chunk can hold the tail and head of two cards
+        carries = carries.withColumnsRenamed({key: "_carry_key", "_chunk": "_carry_chunk"})
         side = F.broadcast(carries) if n_chunks <= carry_broadcast_max else carries
-        local = local.join(side, [key, "_chunk"], "left")
+        local = local.join(side, F.col(key).eqNullSafe(F.col("_carry_key")) & (F.col("_chunk") == F.col("_carry_chunk")),
+                           "left").drop("_carry_key", "_carry_chunk")
     else:
         for c in ("_carry_n", "_carry_t", "_carry_sum", "_carry_cnt"):
             local = local.withColumn(c, F.lit(None).cast("long"))

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORICAL, TRAIN
-from .ordering import dense_index
+from ..session import checkpoint_dir
+from .ordering import global_positions
 
 MISSING = "NA"
-FIT_ON_DRIVER_MAX = 100_000  # distinct train (column, value) pairs coded on the driver; above: dense_index
 LITERAL_MAP_MAX = 64         # entries per column inlined as a map literal (a lookup scans the keys); above: join
 
 
@@ -32,32 +32,25 @@ def cat_value(c: str) -> Column:
 def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, split_col: str = "split") -> DataFrame:
     """Codes 1..K for the distinct TRAIN values of each present column, in code-point order.
 
-    NA is an ordinary value here (it gets its own code when train contains nulls). One aggregate
-    finds the distinct (column, value) pairs; when there are at most ``FIT_ON_DRIVER_MAX`` of them
-    the codes are assigned on that small fitted table directly, otherwise each column goes through
-    the bucketed ``dense_index`` so no step holds a column's whole value set in one task.
+    NA is an ordinary value here (it gets its own code when train contains nulls). One aggregate finds the distinct
+    (column, value) pairs; their positions in the global (column, value) order, less those of the columns before,
+    are the codes. Nothing but one row for each column reaches the driver, however many values there are.
     """
     train = df.where(F.col(split_col) == TRAIN)
     present = [c for c in cols if c in df.columns]
     spark = df.sparkSession
-    schema = "column string, value string, code int"
     if not present:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "column string, value string, code int")
+    checkpoint_dir(spark)
     pairs = reduce(DataFrame.unionByName,
-                   [train.select(F.lit(c).alias("column"), cat_value(c).alias("value")) for c in present]).distinct()
-    small = pairs.limit(FIT_ON_DRIVER_MAX + 1).collect()
-    if len(small) <= FIT_ON_DRIVER_MAX:
-        by_col: dict[str, list[str]] = {}
-        for r in small:
-            by_col.setdefault(r["column"], []).append(r["value"])
-        rows = [(c, v, i + 1) for c in present for i, v in enumerate(sorted(by_col.get(c, []), key=_utf8))]
-        return spark.createDataFrame(rows, schema)
-    parts = []
-    for c in present:
-        vals = train.select(cat_value(c).alias("value"))
-        idx = dense_index(vals, "value", "idx")
-        parts.append(idx.select(F.lit(c).alias("column"), "value", (F.col("idx") + 1).cast("int").alias("code")))
-    return reduce(DataFrame.unionByName, parts)
+                   [train.select(F.lit(c).alias("column"), cat_value(c).alias("value")) for c in present]).distinct().checkpoint()
+    placed = global_positions(pairs, ["column", "value"], "_at")
+    first = {r["column"]: int(r["n"]) for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start, total = F.lit(0), 0
+    for c in sorted(first, key=_utf8):
+        start = F.when(F.col("column") == c, total).otherwise(start)
+        total += first[c]
+    return placed.select("column", "value", (F.col("_at") - start + 1).cast("int").alias("code")).checkpoint()
 
 
 def collect_maps(cat_map: DataFrame) -> dict[str, dict[str, int] | None]:

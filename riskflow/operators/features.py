@@ -25,10 +25,12 @@ def causal_features(df: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, key: str =
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """C1-C8 in one windowed pass. Adds the enabled features of ``spec`` as FLOAT columns.
 
-    ``amt`` is cast to FLOAT first (C1); aggregation runs in DOUBLE and is cast back.
+    ``amt`` is cast to FLOAT first (C1); aggregation runs in DOUBLE and is cast back. A NaN amount
+    counts as missing.
     """
     t = order[0]
-    x = df.withColumn("amt", F.col("amt").cast("float"))
+    amt = F.col("amt").cast("float")
+    x = df.withColumn("amt", F.when(~F.isnan(amt), amt))
     if spec.time_deltas or spec.rolling_aggs:
         x = causal_pass(x, key, order, t=t, value="amt" if spec.rolling_aggs else None,
                         hot_rows=hot_rows, chunk_rows=chunk_rows)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.mathcols import round_half_up
 from ..schema import SCORING_COLS, TEST
 from .causal import CHUNK_ROWS, HOT_ROWS, causal_pass
-from .ordering import group_kth
+from .ordering import group_kth, ranked
 
 ORDER = ("unix_time", "tie")
 TOP_CATEGORIES = 3
@@ -33,7 +33,7 @@ def group_median(df: DataFrame, key: str, value: str, out: str = "median",
     (counted first) would make that window one large task; such keys get their two middle ranks
     from ``group_kth`` (distributed counting bisection) instead. No values are collected.
     """
-    vc = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    vc = df.where(ranked(df, value)).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     per = vc.groupBy(key).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
     hot = per.where(F.col("_d") > hot_distinct).select(key, "_n")
     n_hot = hot.count()
@@ -59,8 +59,8 @@ def group_median(df: DataFrame, key: str, value: str, out: str = "median",
 
 
 def top_values(df: DataFrame, key: str, col: str, k: int, out: str) -> DataFrame:
-    """The ``k`` most frequent values per key (count desc, value asc), comma-joined."""
-    c = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
+    """The ``k`` most frequent values per key (count desc, value asc; nulls never count), comma-joined."""
+    c = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col(col).asc())
     top = c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return top.groupBy(key).agg(
@@ -76,7 +76,7 @@ def card_profile(tx: DataFrame) -> DataFrame:
     st = t.where(F.col("state").isNotNull()).groupBy("card_id", "state").agg(F.count(F.lit(1)).alias("_n"))
     sw = Window.partitionBy("card_id").orderBy(F.col("_n").desc(), F.col("state").asc())
     home = st.withColumn("_r", F.row_number().over(sw)).where("_r = 1").select("card_id", F.col("state").alias("home_state"))
-    return (base.join(med, "card_id").join(top, "card_id", "left").join(home, "card_id", "left")
+    return (base.join(med, "card_id", "left").join(top, "card_id", "left").join(home, "card_id", "left")
                 .select("card_id", F.col("tx_count").cast("bigint").alias("tx_count"),
                         round_half_up("median_amt", 2).alias("median_amt"), round_half_up("avg_amt", 2).alias("avg_amt"),
                         F.coalesce("top_categories", F.lit("")).alias("top_categories"), "home_state"))
@@ -164,7 +164,7 @@ def sample_test(tx_split: DataFrame, n: int = 1, seed: int = 0, fraud_only: bool
     pool = test_pool(tx_split, fraud_only)
     if pool.limit(1).count() == 0:
         raise ValueError("no TEST-split transactions match the filter")
-    return pool.orderBy(F.xxhash64(F.col("tie"), F.lit(seed)), F.col("tie")).limit(n)
+    return pool.orderBy(F.md5(F.concat_ws("|", F.col("tie").cast("string"), F.lit(str(seed)))), F.col("tie")).limit(n)
 
 
 def validate_requests(req: DataFrame) -> DataFrame:
@@ -188,6 +188,26 @@ def validate_requests(req: DataFrame) -> DataFrame:
     return req.withColumn("error", err)
 
 
-def label_free(df: DataFrame, cols: Sequence[str] = SCORING_COLS) -> DataFrame:
-    """A2 for serving paths: the label never leaves a lookup."""
-    return df.select(*[c for c in df.columns if c != "is_fraud" and (c in cols or c in ("tie", "card_id"))])
+
+def answer_requests(req: DataFrame, tx: DataFrame) -> DataFrame:
+    """J8 end to end: requests ``(card_id, k, category, state)`` with their ``error`` or the three lookups' answers.
+
+    Good rows get the profile columns, ``recent`` (the card's last ``k`` rows, oldest first) and ``fraud_rate``; of
+    the bad ones these are null. The history is cut to the requested cards before it is aggregated.
+    """
+    checked = validate_requests(req)
+    good = checked.where(F.col("error").isNull())
+    cards = good.select("card_id").distinct()
+    own = tx.withColumn("card_id", card_col(tx)).join(cards, "card_id", "left_semi")
+    most = good.agg(F.max("k")).first()[0] or 0
+    last = recent_transactions(own, int(most))
+    rows = last.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("k", "unix_time", "amt", "category", "state"))).alias("_last"))
+    out = (good.join(profile_requests(cards, card_profile(own)), "card_id", "left").join(rows, "card_id", "left"))
+    out = segment_lookup(out, segment_rates(tx))
+    # the card's rows are numbered oldest first, so the last k of them are the array's tail
+    empty = F.array().cast(rows.schema["_last"].dataType)
+    held = F.coalesce(F.col("_last"), empty)
+    tail = F.slice(held, F.greatest(F.size(held) - F.col("k").cast("int") + 1, F.lit(1)), F.col("k").cast("int"))
+    out = out.withColumn("recent", tail).drop("_last")
+    bad = checked.where(F.col("error").isNotNull())
+    return out.unionByName(bad, allowMissingColumns=True)

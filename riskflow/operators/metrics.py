@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathcols import bce_with_logits, focal_with_logits
+from ..session import checkpoint_dir
 from .ordering import running_totals
 
 NO_THRESHOLD = 0.5
@@ -31,7 +32,8 @@ def score_counts(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame
 
 def pr_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """One row per distinct score with tp, fp, precision, recall, f1 (plus P, N totals)."""
-    counts = score_counts(df, score, y).cache()
+    checkpoint_dir(df.sparkSession)
+    counts = score_counts(df, score, y).checkpoint()
     tot = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     k, P, N = int(tot["k"]), int(tot["P"] or 0), int(tot["N"] or 0)
     cum = running_totals(counts, "threshold", ["pos", "neg"], descending=True, n_rows=k)
@@ -113,13 +115,15 @@ def bce_loss(df: DataFrame, logit: str = "logit", y: str = "y") -> DataFrame:
     return df.agg(F.avg(bce_with_logits(logit, y)).alias("bce_loss"))
 
 
-def build_loss(kind: str, alpha: float = 0.25, gamma: float = 2.0):
-    """I8: loss by name; unknown names are an error."""
-    if kind == "focal":
-        return lambda df, logit="logit", y="y": focal_loss(df, logit, y, alpha, gamma)
-    if kind == "bce":
-        return lambda df, logit="logit", y="y": bce_loss(df, logit, y)
-    raise ValueError(f"unknown loss {kind!r} (expected 'focal' or 'bce')")
+#: I8: mean losses on logits by name
+LOSSES = {"focal": focal_loss, "bce": bce_loss}
+
+
+def mean_loss(df: DataFrame, name: str, **options) -> DataFrame:
+    """I8: the named loss over ``df``; options go to it. Unknown names are an error."""
+    if name not in LOSSES:
+        raise ValueError(f"no loss is called {name!r}; known: {', '.join(sorted(LOSSES))}")
+    return LOSSES[name](df, **options)
 
 
 def latency_summary(df: DataFrame, col: str = "latency_ms") -> DataFrame:

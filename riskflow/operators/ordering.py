@@ -11,9 +11,10 @@ Only small aggregates (counts, one row per bisection target and pass) reach the
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,13 +27,34 @@ TARGETS_BROADCAST_MAX = 1_000_000  # open (key, rank) targets of group_kth sent
 LITERAL_GROUPS_MAX = 64        # grouped quantiles with more groups go through group_kth
 
 
-def group_stats(df: DataFrame, col: str, by: str | None = None) -> dict:
-    """Non-null count, min and max of ``col`` per group (one small aggregate, one row per group)."""
+def ranked(df: DataFrame, col: str) -> Column:
+    """Rows that have a rank by ``col``: not null, and not NaN (which counts as missing)."""
     c = F.col(col)
-    gcol = F.col(by) if by else F.lit(None).cast("string")
-    st = df.where(c.isNotNull()).groupBy(gcol.alias("g")).agg(
-        F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()
-    return {r["g"]: r for r in st}
+    floating = isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType))
+    return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+
+
+def group_stats(df: DataFrame, col: str) -> dict:
+    """Count, min and max of the ranked values of ``col`` under the key ``None``; empty without any."""
+    c = F.col(col)
+    r = df.where(ranked(df, col)).agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+    return {None: r} if r["n"] else {}
+
+
+def bucket_of(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    """Monotone bucket of ``v`` in ``[lo, hi]`` (lo < hi) with lo and hi in different buckets.
+
+    Infinite ends are split off first (-inf, the finite values, +inf). Differences that overflow are taken
+    on halved values, so every pass of a bisection narrows its range, whatever the span.
+    """
+    inf = F.lit(float("inf"))
+    d = [x.cast("double") for x in (v, lo, hi)]
+    split = F.when(d[0] == -inf, 0).when(d[0] == inf, 2).otherwise(1)
+    part = lambda x, y, dx, dy: F.coalesce(F.try_subtract(x, y).cast("double"), dx - dy)
+    width = part(hi, lo, d[2], d[1])
+    share = F.when(width == inf, (d[0] / 2 - d[1] / 2) / (d[2] / 2 - d[1] / 2)).otherwise(part(v, lo, d[0], d[1]) / width)
+    inner = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+    return F.when((d[1] == -inf) | (d[2] == inf), split).otherwise(inner)
 
 
 def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None = None,
@@ -46,10 +68,15 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
     buckets. Map-side partial aggregation makes a hot key or value cost nothing extra; one row per
     target and pass reaches the driver. Suits a modest number of
     targets (groups x ranks); many groups use ``group_kth``.
-    ``stats`` may pass in a ``group_stats`` result the caller already has (saves a scan).
+    ``stats`` may pass in a ``group_stats`` result the caller already has (saves a scan). NaN counts as missing;
+    infinities rank first and last.
     """
     c = F.col(col)
-    stats = stats if stats is not None else group_stats(df, col, by)
+    if stats is None:
+        if by is not None:
+            raise ValueError("grouped targets need the groups' statistics")
+        stats = group_stats(df, col)
+    df = df.where(ranked(df, col))
     state, done = {}, {}
     for i, (g, k) in enumerate(targets):
         r = stats.get(g)
@@ -66,8 +93,8 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
             if by:
                 inside = inside & F.col(by).eqNullSafe(F.lit(targets[i][0]))
             conds.append(inside)
-            pos = F.floor((c - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * F.lit(BISECT_BUCKETS))
-            bucket = F.least(pos, F.lit(BISECT_BUCKETS - 1)).cast("int")
+            kind = df.schema[col].dataType
+            bucket = bucket_of(c, F.lit(lo).cast(kind), F.lit(hi).cast(kind), BISECT_BUCKETS)
             tags.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("b"), c.alias("v"))))
         cond = conds[0]
         for x in conds[1:]:
@@ -93,6 +120,8 @@ def order_stats(df: DataFrame, col: str, targets: list[tuple], by: str | None =
             r = got.get(i)
             if r is None:  # pragma: no cover - counts always reach the rank
                 raise RuntimeError("bisection lost the target rank")
+            if (r["lo"], r["hi"]) == tuple(state[i][:2]):
+                raise RuntimeError("a bisection pass did not narrow its range")
             state[i] = [r["lo"], r["hi"], below + int(r["before"])]
             if r["lo"] == r["hi"]:
                 done[i] = r["lo"]
@@ -113,7 +142,7 @@ def group_kth(df: DataFrame, key: str, value: str, ranks: DataFrame,
     """
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    src = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    src = df.where(ranked(df, value)).select(key, F.col(value).alias("_v"))
     stats = src.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     t = (ranks.select(key, F.col("k").cast("long").alias("k")).join(stats, key)
               .select(key, "k", "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
@@ -125,9 +154,7 @@ def group_kth(df: DataFrame, key: str, value: str, ranks: DataFrame,
             break
         side = F.broadcast(open_) if n_open <= TARGETS_BROADCAST_MAX else open_
         x = src.join(side, key).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        pos = F.floor((F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-                      * F.lit(buckets))
-        counts = (x.groupBy(key, "k", "_below", F.least(pos, F.lit(buckets - 1)).cast("int").alias("_b"))
+        counts = (x.groupBy(key, "k", "_below", bucket_of(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets).alias("_b"))
                    .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
         need = F.col("k") - F.col("_below")
         cum = F.sum("_n").over(Window.partitionBy(key, "k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
@@ -153,18 +180,22 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
 
     Returns one row per group: ``[by,] q_<i>`` columns (as DOUBLE) and ``n``. Up to
     ``LITERAL_GROUPS_MAX`` groups share one bisection with literal targets; with more groups the
-    ranks, values and interpolation all stay in Spark (``group_kth``).
+    ranks, values and interpolation all stay in Spark (``group_kth``). The value (and group) column is
+    cut out of the lineage once, so the passes do not repeat what leads to it.
     """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    df = df.where(ranked(df, col)).select(*([by] if by else []), col).checkpoint()
     if by is not None:
         c = F.col(col)
-        few = (df.where(c.isNotNull()).groupBy(F.col(by).alias("g"))
+        few = (df.groupBy(F.col(by).alias("g"))
                  .agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
                  .limit(LITERAL_GROUPS_MAX + 1).collect())
         if len(few) > LITERAL_GROUPS_MAX:
             return _grouped_quantiles(df, col, qs, by)
         stats = {r["g"]: r for r in few}
     else:
-        stats = group_stats(df, col, by)
+        stats = group_stats(df, col)
     ns = {g: int(r["n"]) for g, r in stats.items()}
     targets, plan = set(), {}
     for g, n in ns.items():
@@ -181,7 +212,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
         for j in range(len(qs)):
             lo, hi, frac = plan[(g, j)]
             a, b = float(got[(g, lo + 1)]), float(got[(g, hi + 1)])
-            vals.append(a + frac * (b - a))
+            vals.append(a if a == b or not frac else a + frac * (b - a))
         rows.append(((g,) if by else ()) + tuple(vals) + (n,))
     fields = ([T.StructField(by, df.schema[by].dataType)] if by else []) + \
         [T.StructField(f"q_{j}", T.DoubleType()) for j in range(len(qs))] + [T.StructField("n", T.LongType())]
@@ -189,8 +220,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = N
 
 
 def _grouped_quantiles(df: DataFrame, col: str, qs: list[float], by: str) -> DataFrame:
-    c = F.col(col)
-    n = df.where(c.isNotNull()).groupBy(by).agg(F.count(c).alias("n"))
+    n = df.groupBy(by).agg(F.count(col).alias("n"))
     plans = []
     for j, q in enumerate(qs):
         h = (F.col("n") - 1) * F.lit(float(q))
@@ -202,8 +232,9 @@ def _grouped_quantiles(df: DataFrame, col: str, qs: list[float], by: str) -> Dat
     kth = group_kth(df, by, col, ranks)
     a = kth.select(by, F.col("k").alias("_klo"), F.col("kth").cast("double").alias("_a"))
     b = kth.select(by, F.col("k").alias("_khi"), F.col("kth").cast("double").alias("_b"))
-    v = plan.join(a, [by, "_klo"]).join(b, [by, "_khi"]).select(
-        by, "n", "_q", (F.col("_a") + F.col("_frac") * (F.col("_b") - F.col("_a"))).alias("_v"))
+    between = F.when((F.col("_a") == F.col("_b")) | (F.col("_frac") == 0), F.col("_a")).otherwise(
+        F.col("_a") + F.col("_frac") * (F.col("_b") - F.col("_a")))
+    v = plan.join(a, [by, "_klo"]).join(b, [by, "_khi"]).select(by, "n", "_q", between.alias("_v"))
     out = v.groupBy(by, "n").agg(*[F.max(F.when(F.col("_q") == j, F.col("_v"))).alias(f"q_{j}") for j in range(len(qs))])
     return out.select(by, *[f"q_{j}" for j in range(len(qs))], F.col("n").cast("long").alias("n"))
 
@@ -250,11 +281,32 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
                         for c in sum_cols])
 
 
+def global_positions(df: DataFrame, order: Sequence[str], position: str, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
+    """0-based position of every row in the global order of ``order`` (a total order; ties are cut at random).
+
+    Rows go once through Spark's range partitioner and are sorted within their range; a row's number in its range
+    plus the rows of the ranges before (one row per range, broadcast below ``OFFSETS_BROADCAST_MAX`` of them) is its
+    position. No window runs over the rows and no second shuffle follows.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    ranges = min(max(1, math.ceil(df.count() / rows_per_range)), MAX_RANGES)
+    placed = (df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+              .withColumn("_range", F.spark_partition_id())
+              .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    side = F.broadcast(offsets) if ranges <= OFFSETS_BROADCAST_MAX else offsets
+    return placed.join(side, "_range").select(*df.columns, (F.col("_before") + F.col("_row")).cast("bigint").alias(position))
+
+
 def dense_index(keys: DataFrame, key: str, index_col: str = "idx") -> DataFrame:
     """0-based contiguous id of each distinct key in ascending (byte-wise) key order.
 
-    A global ``dense_rank()`` would run in one task; this reuses the bucketed running totals.
+    The distinct keys are cut out of the lineage once; their positions in the global order are the ids.
     """
-    d = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    out = running_totals(d, key, ["_one"], prefix="_cum")
-    return out.select(key, (F.col("_cum_one") - 1).cast("bigint").alias(index_col))
+    from ..session import checkpoint_dir
+    checkpoint_dir(keys.sparkSession)
+    d = keys.select(key).where(F.col(key).isNotNull()).distinct().checkpoint()
+    return global_positions(d, [key], index_col)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import exact_quantiles, running_totals
+from ..session import checkpoint_dir
+from .ordering import exact_quantiles, ranked, running_totals
 
 LEAK_AUC = 0.95   # fixed value: single-feature AUC above this is a leakage alarm
 
@@ -44,16 +44,19 @@ def per_card_counts(tx: DataFrame, key: str = "cc_num") -> DataFrame:
 
 
 def describe_counts(tx: DataFrame, key: str = "cc_num") -> DataFrame:
-    """M5: describe() of transactions per card: count, mean, sample std, min, quartiles, max."""
-    per = per_card_counts(tx, key)
-    base = per.agg(F.count(F.lit(1)).alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"),
-                   F.min("n").cast("double").alias("min"), F.max("n").cast("double").alias("max"))
-    q = exact_quantiles(per, "n", [0.25, 0.5, 0.75]).select(
-        F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
-    r1, r2 = base.first(), q.first()  # two 1-row aggregates
-    return tx.sparkSession.createDataFrame(
-        [(int(r1["count"]), r1["mean"], r1["std"], r1["min"], r2["p25"], r2["p50"], r2["p75"], r1["max"])],
-        "count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
+    """M5: describe() of transactions per card: count, mean, sample std, min, quartiles, max.
+
+    Every figure comes from the counts of equal counts (one row per distinct count, at most about the square root
+    of twice the rows), so the fact table is aggregated once.
+    """
+    sizes = per_card_counts(tx, key).groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    n, c = F.col("n").cast("double"), F.col("c").cast("double")
+    total, mean = F.sum(c), F.sum(n * c) / F.sum(c)
+    spread = F.sum(n * n * c) - F.sum(n * c) * F.sum(n * c) / total
+    quartile = lambda q: F.percentile("n", F.lit(q), F.col("c"))
+    return sizes.agg(F.sum("c").alias("count"), mean.alias("mean"), F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1))).alias("std"),
+                     F.min("n").cast("double").alias("min"), quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75"),
+                     F.max("n").cast("double").alias("max"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None, density: bool = False) -> DataFrame:
@@ -64,8 +67,9 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None, densi
     g = [by] if by else []
     rng = df.where(F.col(value).isNotNull()).groupBy(*g).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_N"))
-    if g:
-        j = df.join(F.broadcast(rng), g, "inner")      # one row per group
+    if g:                                              # null is a group too
+        rng = rng.withColumnRenamed(by, "_by")
+        j = df.join(rng, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     else:
         r = rng.first()
         j = df.select("*", F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi"), F.lit(r["_N"]).alias("_N"))
@@ -90,7 +94,8 @@ def boxplot(tx: DataFrame, value: str = "amt", by: str = "is_fraud") -> DataFram
     """M8: quartiles, IQR, whiskers (furthest values within 1.5 IQR of the box) and outlier count."""
     q = exact_quantiles(tx, value, [0.25, 0.5, 0.75], by).select(
         by, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    j = tx.join(F.broadcast(q), by)          # one row per class
+    q = q.withColumnRenamed(by, "_by")       # null is a class too; Spark broadcasts q by its size
+    j = tx.where(ranked(tx, value)).join(q, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = F.col(value)
@@ -120,11 +125,12 @@ def feature_auc(df: DataFrame, cols: Sequence[str], y: str = "is_fraud") -> Data
     Unpivot to (feature, value) -> per-value class counts -> cumulative negatives along
     (feature, value) with the bucketed running totals -> one aggregate per feature.
     """
+    checkpoint_dir(df.sparkSession)
     long = df.select(F.col(y).cast("long").alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_s"))
     counts = (long.where(F.col("_s.value").isNotNull())
                   .groupBy(F.struct(F.col("_s.feature").alias("feature"), F.col("_s.value").alias("value")).alias("key"))
-                  .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))).cache()
+                  .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))).checkpoint()
     cum = running_totals(counts, "key", ["neg"])
     tot = counts.groupBy(F.col("key.feature").alias("feature")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     prev = F.sum("N").over(Window.partitionBy(F.lit(0)).orderBy("feature").rowsBetween(Window.unboundedPreceding, -1))
@@ -140,6 +146,3 @@ def leak_alarm(aucs: DataFrame, limit: float = LEAK_AUC) -> DataFrame:
     """Any single-feature AUC above ``limit``."""
     return aucs.agg(F.max("auc").alias("max_auc"), (F.max("auc") > F.lit(limit)).alias("alarm"))
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

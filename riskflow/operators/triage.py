@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import card_key
 from ..schema import BLOCK_THRESHOLD, REVIEW_THRESHOLD
-from .lookups import card_profile, recent_transactions, segment_rates
+from ..session import checkpoint_dir
+from .lookups import RECENT_K, card_profile, recent_transactions, segment_rates
 
 ACTIONS = ("block", "review", "allow")  # fixed values
 FALLBACK_RATIONALE = "fallback"
+ENRICHED = ["tx_count", "median_amt", "avg_amt", "top_categories", "home_state", "recent", "segment_rate"]
+KEYS_BROADCAST_MAX = 500_000    # alerted cards or segments sent to every task, at most; more are joined by a shuffle
 
 TX_FIELDS = T.StructType([
     T.StructField("cc_num", T.StringType()), T.StructField("user_id", T.StringType()),
@@ -31,6 +35,7 @@ ALERT = T.StructType([
     T.StructField("tx", TX_FIELDS), T.StructField("prob", T.DoubleType()),
     T.StructField("decision", DECISION),
 ])
+_CORRUPT = "_corrupt"      # filled by the JSON reader with text that is not JSON of the schema
 
 
 def alert_payload(scored: DataFrame, prob: str = "prob") -> DataFrame:
@@ -38,7 +43,7 @@ def alert_payload(scored: DataFrame, prob: str = "prob") -> DataFrame:
     tx = F.struct(F.col("cc_num").cast("string").alias("cc_num"), F.col("amt").cast("double").alias("amt"),
                   "category", "state", F.col("unix_time").cast("long").alias("unix_time"),
                   F.col("merch_lat").cast("double").alias("merch_lat"), F.col("merch_long").cast("double").alias("merch_long"))
-    return scored.select(F.col("tie").alias("alert_id"), F.col("cc_num").cast("string").alias("key"),
+    return scored.select(F.col("tie").alias("alert_id"), card_key(scored).alias("key"),
                          F.to_json(F.struct(tx.alias("tx"), F.col(prob).alias("prob"))).alias("value"))
 
 
@@ -48,11 +53,11 @@ def parse_alerts(df: DataFrame, col: str = "value") -> DataFrame:
     Adds ``card_id`` (cc_num, else user_id, else 'unknown'), the typed fields, ``valid`` and
     ``error``; invalid rows are kept for a quarantine sink instead of failing the batch.
     """
-    a = F.from_json(F.col(col), ALERT)
+    a = F.from_json(F.col(col), T.StructType([*ALERT.fields, T.StructField(_CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": _CORRUPT})
     x = df.withColumn("_a", a)
     tx = F.col("_a.tx")
     checks = [
-        (F.col("_a").isNull(), "unparseable alert"),
+        (F.col("_a").isNull() | F.col(f"_a.{_CORRUPT}").isNotNull(), "unparseable alert"),
         (tx.isNull(), "missing tx"),
         (tx["amt"].isNull(), "missing amt"),
         (tx["category"].isNull(), "missing category"),
@@ -97,42 +102,59 @@ def resolve(alerts: DataFrame, key: str = "alert_id", structured: DataFrame | No
     The supplied ``decision`` inside an alert, when present, is used as the structured tier.
     """
     x = alerts
-    tiers = []
+    tiers: list[tuple[str, Column]] = []
     if "supplied_decision" in x.columns:
-        tiers.append(checked_decision(F.col("supplied_decision")))
-    for name, t in (("_t1", structured), ("_t2", extracted)):
+        tiers.append(("supplied", checked_decision(F.col("supplied_decision"))))
+    for name, t in (("structured", structured), ("extracted", extracted)):
         if t is not None:
-            d = t.select(F.col(key), F.struct("action", "rationale", F.col("confidence").cast("double").alias("confidence")).alias(name))
-            d = d.dropDuplicates([key])
+            d = t.select(F.col(key), checked_decision(F.struct("action", "rationale", F.col("confidence").cast("double").alias("confidence"))).alias("_d"))
+            # of several valid decisions for a key, the first by (action, rationale, confidence) counts
+            d = d.where(F.col("_d").isNotNull()).groupBy(key).agg(F.min("_d").alias(f"_{name}"))
             x = x.join(d, key, "left")
-            tiers.append(checked_decision(F.col(name)))
-    dec = F.coalesce(*tiers, fallback_decision(F.col("score"), review, block))
-    tier = F.lit("fallback")
-    for i, t in reversed(list(enumerate(tiers))):
-        tier = F.when(t.isNotNull(), F.lit(f"tier{i + 1}")).otherwise(tier)
-    out = x.withColumn("decision", dec).withColumn("decision_source", tier)
-    return out.drop(*[c for c in ("_t1", "_t2") if c in out.columns])
+            tiers.append((name, F.col(f"_{name}")))
+    dec = F.coalesce(*(t for _, t in tiers), fallback_decision(F.col("score"), review, block))
+    source = F.lit("fallback")
+    for name, t in reversed(tiers):
+        source = F.when(t.isNotNull(), F.lit(name)).otherwise(source)
+    out = x.withColumn("decision", dec).withColumn("decision_source", source)
+    return out.drop("_structured", "_extracted")
 
 
-def enrich(alerts: DataFrame, tx: DataFrame, k: int = 5) -> DataFrame:
+def _only(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``cols`` occur in ``keys``."""
+    checkpoint_dir(df.sparkSession)
+    keys = keys.select(cols).distinct().checkpoint()
+    keys = F.broadcast(keys) if keys.count() <= KEYS_BROADCAST_MAX else keys
+    return df.join(keys, cols, "left_semi")
+
+
+def enrich(alerts: DataFrame, tx: DataFrame, k: int = RECENT_K) -> DataFrame:
     """K2: each alert with what the three lookups return: profile, recent k (``time@cents`` joined
-    by ';', oldest first) and the
-    segment fraud rate (0.0 when unseen). Lookup tables are per card / per segment.
+    by ';', oldest first) and the segment fraud rate (0.0 when unseen).
+
+    The history is first cut to the cards and segments of the alerts, so the lookups cost what was alerted.
     """
-    prof = card_profile(tx)
-    rec = recent_transactions(tx, k)
+    own = _only(tx.withColumn("card_id", F.col("cc_num").cast("string")), alerts, ["card_id"])
+    prof = card_profile(own)
+    rec = recent_transactions(own, k)
     recent = rec.groupBy("card_id").agg(F.concat_ws(";", F.transform(
         F.sort_array(F.collect_list(F.struct("k", "unix_time", "amt"))),
         lambda s: F.concat_ws("@", s["unix_time"].cast("string"),
                               F.round(s["amt"] * 100).cast("long").cast("string")))).alias("recent"))
-    seg = segment_rates(tx).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
+    seg = segment_rates(_only(tx, alerts, ["category", "state"])).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
     return (alerts.join(prof, "card_id", "left").join(recent, "card_id", "left")
                   .join(seg, ["category", "state"], "left")
                   .withColumn("segment_rate", F.coalesce("segment_rate", F.lit(0.0))))
 
 
+def plain_decimal(c: Column) -> Column:
+    """A double in plain decimal notation with at least one digit behind the point (``10000000.0``)."""
+    text = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.coalesce(text, c.cast("string"))
+
+
 def alert_text(df: DataFrame) -> Column:
     """K6: one-line alert summary: card, score (3 dp), amount, category, state, time."""
     return F.format_string("Flagged transaction on card %s (model fraud score %.3f).\nAmount: %s, category: %s, state: %s, unix_time: %d.",
-                           F.col("card_id"), F.col("score"), F.col("amt").cast("string"), F.col("category"),
+                           F.col("card_id"), F.col("score"), plain_decimal(F.col("amt")), F.col("category"),
                            F.col("state"), F.col("unix_time"))

@@ -82,8 +82,10 @@ def q_user_key(spark, sf):
 
 def _feat_query(cols: list[str], hot: bool = False):
     def fn(spark, sf):
-        kw = {"hot_rows": 16, "chunk_rows": 8} if hot else {}
-        f = features_table(tx_events(spark, sf), **kw) if hot else processed(spark, sf).features
+        tx = tx_events(spark, sf)
+        # chunks of a fixed share of the rows, so their number does not follow the table
+        kw = {"hot_rows": 16, "chunk_rows": max(8, tx.count() // 400)} if hot else {}
+        f = features_table(tx, **kw) if hot else processed(spark, sf).features
         return present(f.select("user", "unix_time", "tie", *cols), {c: 4 for c in cols})
     return fn
 
@@ -183,15 +185,14 @@ def _exploded(df: DataFrame) -> DataFrame:
 
 
 def _windows_sql(where: str) -> str:
-    vals = ", ".join(
-        f"{O.RND(f'coalesce(CAST(f.{c if c != 'hour' else chr(34) + 'hour' + chr(34)} AS DOUBLE), 0.0)', 4)} AS {c}"
-        for c in ALL_FEATS)
-    return with_sql(O.SCALED + """,
-rn AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY unix_time, tie) AS pos FROM scaled)""", f"""
+    pack = ", ".join(f'"{c}" := CAST("{c}" AS DOUBLE)' for c in ALL_FEATS)
+    step = f"CASE WHEN s.step >= {SEQ_LEN} - len(l) THEN l[s.step - {SEQ_LEN} + len(l) + 1]"
+    vals = ", ".join(O.RND(f'{step}."{c}" ELSE 0.0 END', 4) + f' AS "{c}"' for c in ALL_FEATS)
+    return with_sql(O.SCALED + f""",
+wl AS (SELECT tie, split, list(struct_pack({pack})) OVER (PARTITION BY "user" ORDER BY unix_time, tie
+              ROWS BETWEEN {SEQ_LEN - 1} PRECEDING AND CURRENT ROW) AS l FROM scaled)""", f"""
 SELECT t.tie, CAST(s.step AS BIGINT) AS step, {vals}
-FROM rn t CROSS JOIN range(0, {SEQ_LEN}) s(step)
-LEFT JOIN rn f ON f."user" = t."user" AND f.pos = t.pos - {SEQ_LEN - 1} + s.step
-WHERE {where}""")
+FROM wl t CROSS JOIN range(0, {SEQ_LEN}) s(step) WHERE {where}""")
 
 
 @register("seq_windows", _windows_sql("true"))
@@ -307,3 +308,4 @@ from . import catalog_report  # noqa: E402,F401
 from . import catalog_serving  # noqa: E402,F401
 from . import catalog_stream  # noqa: E402,F401
 from . import catalog_models  # noqa: E402,F401
+from . import catalog_more  # noqa: E402,F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookups as J
 from ..operators import report as R
-from ..operators.ordering import dense_index, running_totals
+from ..operators.ordering import dense_index, global_positions
 from ..schema import SCORING_COLS
 from ..sources.adapters import tx_events
 from ..sources.tables import read_table
@@ -23,7 +23,7 @@ t AS (SELECT CAST(cc_num AS VARCHAR) AS card_id, * FROM tx)"""
 
 PROFILE = CARD_T + """,
 pbase AS (SELECT card_id, count(*) AS tx_count, avg(amt) AS avg_amt, median(amt) AS median_amt FROM t GROUP BY card_id),
-pcat AS (SELECT card_id, category, count(*) AS n FROM t GROUP BY card_id, category),
+pcat AS (SELECT card_id, category, count(*) AS n FROM t WHERE category IS NOT NULL GROUP BY card_id, category),
 ptop AS (
   SELECT card_id, string_agg(category, ',' ORDER BY r) AS top_categories
   FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY n DESC, category ASC) AS r FROM pcat)
@@ -113,14 +113,22 @@ def q_card_index(spark, sf):
     return present(dense_index(processed(spark, sf).features.select("user"), "user"))
 
 
-@register("firehose", with_sql(O.TX, "SELECT CAST(row_number() OVER (ORDER BY unix_time, tie) - 1 AS BIGINT) AS position, "
-                       "cc_num, " + ", ".join(HIST_COLS) + ", tie FROM tx"))
+FIREHOSE_SQL = with_sql(O.TX, "SELECT CAST(row_number() OVER (ORDER BY unix_time, tie) - 1 AS BIGINT) AS position, "
+                        "cc_num, " + ", ".join(HIST_COLS) + ", tie FROM tx")
+
+
+@register("firehose", FIREHOSE_SQL)
 def q_firehose(spark, sf):
     """Every transaction in global (time, tie) order as a position, label-free."""
     tx = tx_events(spark, sf).select("cc_num", *HIST_COLS, "tie")
-    keyed = tx.withColumn("_k", F.struct("unix_time", "tie")).withColumn("_one", F.lit(1))
-    out = running_totals(keyed, "_k", ["_one"], prefix="_cum")
-    return present(out.select((F.col("_cum_one") - 1).cast("bigint").alias("position"), "cc_num", *HIST_COLS, "tie"))
+    return present(global_positions(tx, ["unix_time", "tie"], "position"))
+
+
+@register("firehose_ranges", FIREHOSE_SQL)
+def q_firehose_ranges(spark, sf):
+    """B4 cut into about 20 ranges at every size, so offsets between ranges always count."""
+    tx = tx_events(spark, sf).select("cc_num", *HIST_COLS, "tie")
+    return present(global_positions(tx, ["unix_time", "tie"], "position", rows_per_range=max(1, tx.count() // 20)))
 
 
 @register("firehose_head", with_sql(O.TX, "SELECT cc_num, " + ", ".join(HIST_COLS) + ", tie FROM tx ORDER BY unix_time, tie LIMIT 1000"))

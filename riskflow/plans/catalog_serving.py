@@ -175,7 +175,8 @@ def q_sample_pool(spark, sf):
     return present(pool.select(*POOL_COLS, F.col("amt_raw").alias("amt")))
 
 
-@register("sample_test")
+@register("sample_test", with_sql(O.SPLIT, "SELECT " + ", ".join(POOL_COLS) + """, amt_raw AS amt FROM sp WHERE split = 2 AND is_fraud = 1
+ORDER BY md5(CAST(tie AS VARCHAR) || '|0'), tie LIMIT 5"""))
 def q_sample_test(spark, sf):
     """A repeatable draw of 5 TEST fraud rows (seeded hash order; the limit is the feature)."""
     s = J.sample_test(processed(spark, sf).features, n=5, seed=0, fraud_only=True)

@@ -16,17 +16,14 @@ from .catalog import _feat_sql, _memo, processed, register, with_sql
 from .catalog_serving import ALERTS_SQL, fallback_sql, tuned_threshold
 from .present import present
 
-REPLAY_FILES = 8
-
-
 def _run(spark, sf, late_every: int = 0):
     def make():
-        src = scratch_path(spark, "replay")
-        info = write_replay(tx_events(spark, sf), src, files=REPLAY_FILES, late_every=late_every)
-        # with out-of-order files (moved rows, or several files per range) the watermark delay
-        # must cover one range's time span
-        delay = info["span"] + 1 if late_every or info["files_per_range"] > 1 else 0
-        return run_stream(spark, src, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=delay)
+        src, tx = scratch_path(spark, "replay"), tx_events(spark, sf)
+        info = write_replay(tx, src, late_every=late_every)
+        # rows moved to the next file wait for at most one file's time span
+        delay = info["span"] + 1 if late_every else 0
+        return run_stream(spark, src, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=delay,
+                          history=None if late_every else tx, metric_delay_seconds=info["span"] + 1)
     return _memo(spark, sf, f"stream-{late_every}", make)
 
 

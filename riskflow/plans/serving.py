@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.encode import apply_categories, apply_scaler
+from ..operators.encode import apply_categories, apply_scaler, assemble
 from ..operators.features import causal_features
-from ..operators.scoring import LINEAR_BIAS, score
-from ..schema import SCORING_COLS, SEQ_LEN
+from ..operators.scoring import score
+from ..schema import SEQ_LEN
 from .build import Processed, feature_columns
 
 TEXT = ("cc_num", "category", "gender", "state")
@@ -34,23 +34,33 @@ def history_requests(tx: DataFrame, keys: DataFrame, seq_len: int = SEQ_LEN) ->
     return keys.join(per, "request_id", "left").select("request_id", F.coalesce("txs", empty).alias("txs"))
 
 
-def score_requests(requests: DataFrame, p: Processed, threshold: float) -> DataFrame:
-    """H4: stateless scoring of inline histories with the train-fit maps and scaler.
-
-    Features come from the supplied rows only (missing text '' and numbers 0.0), the newest row is
-    scored, and an empty history scores an all-zero feature vector.
-    """
+def _request_rows(requests: DataFrame, p: Processed) -> DataFrame:
+    """Every row of the inline histories (one empty row where there is none) with its causal features; missing text
+    is '' and missing numbers are 0.0."""
     rows = requests.select("request_id", F.posexplode_outer("txs").alias("pos", "t"))
     cols = [F.coalesce(F.col(f"t.{c}"), F.lit("")).alias(c) for c in TEXT] + \
            [F.coalesce(F.col(f"t.{c}"), F.lit(0.0)).alias(c) for c in NUMBERS]
     x = rows.select("request_id", "pos", F.col("t").isNull().alias("_empty"),
                     F.coalesce(F.col("t.unix_time"), F.lit(0)).alias("unix_time"), *cols)
-    feats = causal_features(x, p.spec, key="request_id", order=("unix_time", "pos"))
+    return causal_features(x, p.spec, key="request_id", order=("unix_time", "pos"))
+
+
+def _coded(rows: DataFrame, p: Processed) -> DataFrame:
+    return apply_scaler(apply_categories(rows, p.maps, list(p.spec.categorical), p.category_map), p.stats)
+
+
+def score_requests(requests: DataFrame, p: Processed, threshold: float) -> DataFrame:
+    """H4: stateless scoring of inline histories with the train-fit maps and scaler.
+
+    Features come from the supplied rows only, the newest row is scored, and an empty history scores an all-zero
+    feature vector.
+    """
+    feats = _request_rows(requests, p)
     w = Window.partitionBy("request_id").orderBy(F.col("unix_time").desc(), F.col("pos").desc())
     last = (feats.withColumn("_r", F.row_number().over(w))
                  .withColumn("n_rows", F.sum(F.when(F.col("_empty"), 0).otherwise(1)).over(Window.partitionBy("request_id")))
                  .where(F.col("_r") == 1))
-    coded = apply_scaler(apply_categories(last, p.maps, list(p.spec.categorical), p.category_map), p.stats)
+    coded = _coded(last, p)
     fc = feature_columns(p)
     zeroed = coded.select(*[F.when(F.col("_empty"), F.lit(0.0)).otherwise(F.col(c).cast("double")).alias(c)
                             if c in fc else F.col(c) for c in coded.columns])
@@ -58,6 +68,18 @@ def score_requests(requests: DataFrame, p: Processed, threshold: float) -> DataF
     return s.select("request_id", F.col("n_rows").cast("bigint").alias("n_rows"), "logit", "prob", "flag")
 
 
+def request_windows(requests: DataFrame, p: Processed, seq_len: int = SEQ_LEN) -> DataFrame:
+    """``(request_id, window)``: the feature vectors of the last ``seq_len`` rows of each inline history, oldest first,
+    zero vectors in front of shorter ones (all zeros for an empty history)."""
+    fc = feature_columns(p)
+    coded = _coded(_request_rows(requests, p), p)
+    step = F.when(~F.col("_empty"), F.struct("unix_time", "pos", assemble(fc).alias("v")))
+    per = coded.groupBy("request_id").agg(F.sort_array(F.collect_list(step)).alias("_steps"))
+    own = F.transform(F.slice("_steps", F.greatest(F.size("_steps") - seq_len + 1, F.lit(1)), F.lit(seq_len)), lambda s: s["v"])
+    zero = F.array_repeat(F.array(*[F.lit(0.0).cast("float")] * len(fc)), F.greatest(F.lit(seq_len) - F.size("_steps"), F.lit(0)))
+    return per.select("request_id", F.concat(zero, own).alias("window"))
+
+
 def scored_feed(scored: DataFrame, threshold: float) -> DataFrame:
     """A10: card, time, amount, category, state, probability (4 dp), flag, in (time, tie) order."""
     return (scored.select(F.col("cc_num").cast("string").alias("card_id"), "unix_time", F.col("amt_raw").alias("amt"),
@@ -69,10 +91,3 @@ def scored_feed(scored: DataFrame, threshold: float) -> DataFrame:
 def write_feed(feed: DataFrame, path: str) -> None:
     """A10 sink: NDJSON files, globally ordered by (time, tie) through range partitioning."""
     feed.write.mode("overwrite").json(path)
-
-
-def label_free_history(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in SCORING_COLS if c in df.columns])
-
-
-__all__ = ["history_requests", "score_requests", "scored_feed", "write_feed", "LINEAR_BIAS"]

@@ -3,7 +3,7 @@ tables (A3-A5), the scored feed (A10) and run-metric files (A11)."""
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,39 +11,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import RAW_TX, USE_COLS
+from ..session import path_exists
+
+
+def _plain(path: str) -> str:
+    """A path without the scheme and slashes that only the local file system adds."""
+    return re.sub("^file:/+", "/", path).rstrip("/")
 
 
 def read_transactions(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
-    """A1/A2: read every transaction file that exists with an explicit schema, keep the allow-list.
+    """A1/A2: read every transaction file (or folder) that exists, on any file system Spark reaches, with an
+    explicit schema, and keep the allow-list. Raises when none exists.
 
-    Raises when none of the files exists. ``tie`` follows the file list order, then the row order
-    Spark reads within the files (stable for a given set of files).
+    ``tie`` orders rows by the file list, then by place in the file: the byte where the row's block starts plus the
+    row's number in its task. A block has no more rows than bytes, and only the last block of a file ever shares a
+    task with other files, so ties are distinct and their order does not depend on how Spark cuts the files.
     """
-    found = [p for p in paths if os.path.exists(p.replace("file:", ""))]
+    found = [p for p in paths if path_exists(spark, p)]
     if not found:
         raise FileNotFoundError(f"none of the transaction files exists: {list(paths)}")
     schema = T.StructType([f for f in RAW_TX.fields if f.name != "tie"])
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(found) if fmt == "csv" else reader.format(fmt).load(found)
-    order = F.array(*[F.lit(os.path.abspath(p.replace("file:", ""))) for p in found])
-    file_ix = F.array_position(order, F.regexp_replace(F.col("_metadata.file_path"), "^file:", "")).cast("long")
-    tie = file_ix * F.lit(1 << 40) + F.monotonically_increasing_id()
+    own = F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:/+", "/")
+    file_ix = F.lit(len(found))
+    for i, p in reversed(list(enumerate(found))):
+        file_ix = F.when(own.endswith(_plain(p)) | own.contains(_plain(p) + "/"), i).otherwise(file_ix)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tie = file_ix.cast("long") * F.lit(1 << 48) + F.col("_metadata.file_block_start") + row
     return df.select(*[c for c in USE_COLS if c in df.columns], tie.alias("tie"))
 
 
 def write_processed(table: DataFrame, path: str, key: str = "user") -> None:
-    """A3: one table (split is a column), clustered by card so later per-card reads skip row groups."""
-    (table.repartition(key).sortWithinPartitions(key, "unix_time", "tie")
+    """A3: one table (split is a column), clustered by card so later per-card reads skip row groups.
+
+    Ranges over (card, time, tie) hold equal counts of rows, so a hot card spreads over several files.
+    """
+    (table.repartitionByRange(key, "unix_time", "tie").sortWithinPartitions(key, "unix_time", "tie")
           .write.mode("overwrite").parquet(path))
 
 
 def load_processed(spark: SparkSession, path: str, expected: T.StructType | None = None) -> DataFrame:
-    """A5: read the processed table, checking the stored schema when one is expected."""
+    """A5: read the processed table, checking names and types of the stored schema when one is expected."""
     df = spark.read.parquet(path)
     if expected is not None:
-        missing = [f.name for f in expected.fields if f.name not in df.columns]
+        stored = {f.name: f.dataType for f in df.schema.fields}
+        missing = [f.name for f in expected.fields if f.name not in stored]
         if missing:
             raise ValueError(f"processed table lacks columns {missing}")
+        wrong = [f"{f.name}: {stored[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in expected.fields if stored[f.name] != f.dataType]
+        if wrong:
+            raise ValueError(f"processed table has other types: {wrong}")
     return df
 
 

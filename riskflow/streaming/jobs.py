@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import triage as K
@@ -19,7 +19,7 @@ from ..operators.scoring import score
 from ..plans.build import Processed
 from ..session import scratch_path
 from .rate import alert_rate_stream
-from .replay import SENTINEL_CARD, read_stream
+from .replay import SENTINEL_CARD, STREAM_TX, read_stream
 from .stateful import stream_state_features
 
 
@@ -28,6 +28,7 @@ class StreamRun:
     source: str
     features: str
     alerts: str
+    quarantine: str
     metrics: str
     checkpoints: str
     dropped_late: int = 0
@@ -35,44 +36,70 @@ class StreamRun:
 
 def scored_stream(features: DataFrame, p: Processed, threshold: float) -> DataFrame:
     """L2: the batch fit's codes and scaler, then the scorer, on streamed features."""
-    real = features.where(F.col("user") != SENTINEL_CARD)
-    coded = apply_scaler(apply_categories(real, p.maps, list(p.spec.categorical), p.category_map), p.stats)
+    coded = apply_scaler(apply_categories(features, p.maps, list(p.spec.categorical), p.category_map), p.stats)
     return score(coded, threshold)
 
 
-def _alert_batch(out: str):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        """Per micro-batch: alert payload -> parse -> decision, written idempotently per batch."""
-        payload = K.alert_payload(batch)
+def is_real() -> Column:
+    """Rows that are not end markers of a replay."""
+    return F.col("user") != SENTINEL_CARD
+
+
+def alert_batch(alerts: str, quarantine: str, history: DataFrame | None = None, k: int = K.RECENT_K):
+    """Handler of one micro-batch of alert payloads: parse, enrich (K2, with ``history``), decide, write.
+
+    Valid alerts go to ``alerts`` and the others, with their error, to ``quarantine``; a batch has one folder in each,
+    so a repeated batch overwrites itself.
+    """
+    def handle(payload: DataFrame, batch_id: int) -> None:
         parsed = K.parse_alerts(payload)
+        parsed.where("NOT valid").select("alert_id", "key", "value", "error").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
         decided = K.resolve(parsed.where("valid"))
-        (decided.select("alert_id", "key", "value", "card_id", "score", "decision")
-                .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        columns = ["alert_id", "key", "value", "card_id", "score", "decision"]
+        if history is not None:
+            decided = K.enrich(decided, history, k)
+            columns += K.ENRICHED
+        decided.select(columns).write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
+
     return handle
 
 
+def run_alerts(spark: SparkSession, payloads: str, history: DataFrame | None = None) -> StreamRun:
+    """L7 alone: a stream of alert payload files (``alert_id``, ``key``, ``value``) through ``alert_batch`` to its end."""
+    base = scratch_path(spark, "alert-stream")
+    run = StreamRun(payloads, "", f"{base}/alerts", f"{base}/quarantine", "", f"{base}/ckpt")
+    stream = spark.readStream.schema("alert_id long, key string, value string").parquet(payloads)
+    (stream.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, history))
+           .option("checkpointLocation", f"{run.checkpoints}/alerts").trigger(availableNow=True).start()).awaitTermination()
+    return run
+
+
 def run_stream(spark: SparkSession, source: str, p: Processed, threshold: float, delay_seconds: int = 0,
-               max_files: int = 1) -> StreamRun:
-    """Run the scoring stream and the metric stream to completion (``availableNow``)."""
+               max_files: int = 1, history: DataFrame | None = None, metric_delay_seconds: int = 0) -> StreamRun:
+    """Run the feature, alert and metric streams to completion (``availableNow``).
+
+    ``dropped_late`` compares the rows of the source with those of the sink, so it is complete however long
+    the stream ran.
+    """
     base = scratch_path(spark, "stream")
-    run = StreamRun(source, f"{base}/features", f"{base}/alerts", f"{base}/metrics", f"{base}/ckpt")
+    run = StreamRun(source, f"{base}/features", f"{base}/alerts", f"{base}/quarantine", f"{base}/metrics", f"{base}/ckpt")
     stream = read_stream(spark, source, max_files)
     feats_raw = finish_features(stream_state_features(stream, delay_seconds), p.spec)
-    q1 = (feats_raw.writeStream.format("parquet").option("checkpointLocation", f"{run.checkpoints}/features")
-                   .trigger(availableNow=True).start(run.features))
-    q1.awaitTermination()
-    run.dropped_late = sum(int(op.get("numRowsDroppedByWatermark", 0))
-                           for prog in q1.recentProgress for op in prog.get("stateOperators", []))
-    # scoring + alerts read the feature sink as a stream (own checkpoint)
+    (feats_raw.writeStream.format("parquet").option("checkpointLocation", f"{run.checkpoints}/features")
+              .trigger(availableNow=True).start(run.features)).awaitTermination()
+    sent = spark.read.schema(STREAM_TX).option("recursiveFileLookup", True).json(source).where(~F.col("cc_num").eqNullSafe(SENTINEL_CARD)).count()
+    run.dropped_late = sent - spark.read.parquet(run.features).where(is_real()).count()
+    # scoring + alerts and the metric read the feature sink as streams of their own (own checkpoints), side by side
     fstream = spark.readStream.schema(spark.read.parquet(run.features).schema).parquet(run.features)
     scored = scored_stream(fstream, p, threshold)
-    alerts = scored.where("flag").withColumn("amt", F.col("amt_raw"))
-    q2 = (alerts.writeStream.foreachBatch(_alert_batch(run.alerts))
+    alerts = K.alert_payload(scored.where(is_real() & F.col("flag")).withColumn("amt", F.col("amt_raw")))
+    q2 = (alerts.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, history))
                 .option("checkpointLocation", f"{run.checkpoints}/alerts").trigger(availableNow=True).start())
-    q2.awaitTermination()
-    # Metric stream, isolated from scoring
+    # A failure of the metric never stops scoring
     metric_in = scored.withColumn("event_time", F.timestamp_seconds("unix_time"))
-    q3 = (alert_rate_stream(metric_in, "event_time", "flag").writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", f"{run.checkpoints}/metrics").trigger(availableNow=True).start(run.metrics))
+    rates = alert_rate_stream(metric_in, "event_time", "flag", delay=f"{int(metric_delay_seconds)} seconds", real=is_real())
+    q3 = (rates.writeStream.format("parquet").outputMode("append")
+               .option("checkpointLocation", f"{run.checkpoints}/metrics").trigger(availableNow=True).start(run.metrics))
+    q2.awaitTermination()
     q3.awaitTermination()
     return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRIC_SECONDS = 30     # fixed values: metric flush period, alarm period, limit, periods in a row
@@ -22,12 +22,18 @@ def alert_rate(scored: DataFrame, t: str = "unix_time", flag: str = "flag", seco
     ).withColumn("rate", F.col("alerts") / F.col("total"))
 
 
-def alert_rate_stream(scored: DataFrame, ts: str = "event_time", flag: str = "flag",
-                      seconds: int = METRIC_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """L5 on a stream: event-time tumbling windows, appended once the watermark passes them."""
+def alert_rate_stream(scored: DataFrame, ts: str = "event_time", flag: str = "flag", seconds: int = METRIC_SECONDS,
+                      delay: str = "0 seconds", real: Column | None = None) -> DataFrame:
+    """L5 on a stream: event-time tumbling windows, appended once the watermark passes them.
+
+    Rows outside ``real`` (end markers) move the watermark but are not counted; a window of such rows alone is
+    not emitted. A marker a window's length and the delay past the last row brings out the last window.
+    """
+    real = F.lit(True) if real is None else real
     return (scored.withWatermark(ts, delay)
                   .groupBy(F.window(ts, f"{seconds} seconds").alias("w"))
-                  .agg(F.count(F.lit(1)).alias("total"), F.sum(F.col(flag).cast("int")).cast("bigint").alias("alerts"))
+                  .agg(F.count(F.when(real, 1)).alias("total"), F.count(F.when(real & F.col(flag), 1)).alias("alerts"))
+                  .where("total > 0")
                   .select(F.unix_seconds(F.col("w.start")).alias("window_start"), "total", "alerts",
                           (F.col("alerts") / F.col("total")).alias("rate")))
 

@@ -1,88 +1,93 @@
 """Time-ordered backfill (A7) and the file stream source that reads it.
 
-The backfill writes the history as JSON files, one per time range, in time order, so a file
-stream read with ``maxFilesPerTrigger`` replays it as ordered micro-batches. On a cluster the
-same rows would go to a message bus keyed by card; the reader side is unchanged apart from the
-source format.
+The backfill writes the history as JSON files, one per time range, whose modification times follow the time
+ranges, so a file stream read with ``maxFilesPerTrigger`` replays it as ordered micro-batches. The number of
+ranges follows the number of rows. A file system that cannot set modification times needs a watermark delay
+of at least one range (``span`` in the returned facts). On a cluster the same rows would go to a message bus keyed
+by card (``read_bus``); what follows the source is the same.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import group_stats, order_stats
-from ..session import scratch_path
+from ..session import checkpoint_dir
 
 # Label-free stream record (fixed schema, never inferred).
 STREAM_TX = T.StructType([
-    T.StructField("cc_num", T.StringType()), T.StructField("unix_time", T.LongType()),
-    T.StructField("tie", T.LongType()), T.StructField("amt", T.DoubleType()),
+    T.StructField("cc_num", T.StringType()), T.StructField("user_id", T.StringType()),
+    T.StructField("unix_time", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("amt", T.DoubleType()),
     T.StructField("lat", T.DoubleType()), T.StructField("long", T.DoubleType()),
     T.StructField("merch_lat", T.DoubleType()), T.StructField("merch_long", T.DoubleType()),
     T.StructField("category", T.StringType()), T.StructField("gender", T.StringType()),
     T.StructField("state", T.StringType()),
 ])
 SENTINEL_CARD = "__end_of_replay__"
-FILE_ROWS = 1_000_000   # rows per replay file; a time range larger than this is written as several
+FILE_ROWS = 1_000_000   # rows of one replay file, about
+MIN_FILES = 8           # files of a small replay, so that it still has several micro-batches
+AGE_MS = 4 * 86_400_000  # all modification times of a replay lie within this (a stream skips files a week older than its newest)
 
 
-def range_bounds(tx: DataFrame, files: int) -> tuple[int, list[int]]:
-    """Row count and exact time cut points giving ``files`` ranges of about equal row counts."""
-    stats = group_stats(tx, "unix_time")
-    n = int(stats[None]["n"]) if None in stats else 0
-    ks = sorted({max(1, (n * i) // files) for i in range(1, files)})
-    got = order_stats(tx, "unix_time", [(None, k) for k in ks], stats=stats) if ks and n else {}
-    return n, sorted({int(got[(None, k)]) for k in ks})
+def _stamp(spark: SparkSession, path: str, now_ms: int) -> None:
+    """Give the files of ``path/_file=<n>`` modification times in the order of n (one call for each file)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((int(f.getPath().getParent().getName().split("=")[1]), f.getPath().toString())
+                   for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path + "/_file=*/part-*")))
+    step = max(1, min(1000, AGE_MS // max(1, len(found))))
+    for i, (_, name) in enumerate(found):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), now_ms - (len(found) - i) * step, -1)
 
 
-def write_replay(tx: DataFrame, path: str, files: int = 8, limit: int | None = None,
-                 late_every: int = 0, sentinels: bool = True) -> dict:
-    """Write label-free rows ordered by (time, tie) as ``files`` time-range JSON files.
+def write_replay(tx: DataFrame, path: str, files: int | None = None, limit: int | None = None,
+                 late_every: int = 0, late_by: int = 1, sentinels: bool = True, file_rows: int = FILE_ROWS) -> dict:
+    """Write label-free rows as time-range JSON files, each ordered by (time, tie).
 
-    ``limit`` keeps the first N rows in time order (<= 0 or None: all). ``late_every`` > 0 moves
-    every n-th row (by tie) into the next file, a controlled out-of-order copy for the late-data
-    test (L4). ``sentinels`` appends two far-future marker rows in two more files so the
-    watermark passes every real row. Returns the bounds and the largest range span in seconds.
-    A range of more than ``FILE_ROWS`` rows is range-partitioned into several files written in
-    parallel (no range goes through one task); their order inside the range is then up to the
-    reader, a disorder the watermark delay (at least the largest range span) covers.
+    ``files`` ranges of about equal counts (default: as many as ``file_rows`` asks for, ``MIN_FILES`` at least);
+    rows of equal time are in one file. ``limit`` keeps the first N rows in time order (<= 0 or None: all).
+    ``late_every`` > 0 moves every n-th row (by tie) ``late_by`` files on, a controlled out-of-order copy for the
+    late-data test (L4). ``sentinels`` appends two far-future marker rows in two more files so the watermark passes
+    every real row. Returns the number of files and rows, the largest time span of a file and the last time.
     """
-    x = tx.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STREAM_TX.fields])
+    spark = tx.sparkSession
+    checkpoint_dir(spark)
+    x = tx.select(*[(F.col(f.name) if f.name in tx.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STREAM_TX.fields])
     if limit and limit > 0:
         x = x.orderBy("unix_time", "tie").limit(limit)
-    n, bounds = range_bounds(x, files)
-    per_range = max(1, -(-n // (files * FILE_ROWS)))
-    edges = [None, *bounds, None]
-    rng = F.lit(0)
-    for i, b in enumerate(bounds):
-        rng = F.when(F.col("unix_time") > F.lit(b), F.lit(i + 1)).otherwise(rng)
-    x = x.withColumn("_file", rng)
+    n = x.count()
+    files = files or max(MIN_FILES, -(-n // file_rows))
+    # the range partitioner's partition is the file; cut out of the lineage, so every later pass sees the same ranges
+    x = x.repartitionByRange(files, "unix_time").withColumn("_file", F.spark_partition_id()).checkpoint()
     if late_every > 0:
-        late = (F.pmod(F.col("tie"), F.lit(late_every)) == 0) & (F.col("_file") < len(bounds))
-        x = x.withColumn("_file", F.when(late, F.col("_file") + 1).otherwise(F.col("_file")))
-    # stage once, partitioned by range, in the shared folder: each ordered range write below then
-    # reads only its own partition instead of rescanning the source
-    stage = scratch_path(tx.sparkSession, "replay-stage")
-    x.write.partitionBy("_file").parquet(stage)
-    staged = tx.sparkSession.read.parquet(stage)
-    stats = staged.groupBy("_file").agg(F.min("unix_time").alias("lo"), F.max("unix_time").alias("hi")).collect()
-    span = max((r["hi"] - r["lo"] for r in stats), default=0)
-    last_t = max((r["hi"] for r in stats), default=0)
-    for i in range(len(edges) - 1):
-        part = staged.where(F.col("_file") == i).select(*[f.name for f in STREAM_TX.fields])
-        (part.repartitionByRange(per_range, "unix_time", "tie").sortWithinPartitions("unix_time", "tie")
-             .write.mode("append").json(path))
+        moved = F.least(F.col("_file") + late_by, F.lit(files - 1))
+        x = x.withColumn("_file", F.when(F.pmod(F.col("tie"), F.lit(late_every)) == 0, moved).otherwise(F.col("_file")))
+    facts = (x.groupBy("_file").agg(F.min("unix_time").alias("lo"), F.max("unix_time").alias("hi"))
+             .agg(F.max(F.col("hi") - F.col("lo")).alias("span"), F.max("hi").alias("last")).first())
+    span, last_t = int(facts["span"] or 0), int(facts["last"] or 0)
+    (x.repartition("_file").sortWithinPartitions("_file", "unix_time", "tie").write.mode("append").partitionBy("_file").json(path))
     if sentinels:
-        spark = tx.sparkSession
         for j in (1, 2):
-            row = [(SENTINEL_CARD, last_t + (span + 10) * 10 * j, -j) + (None,) * (len(STREAM_TX.fields) - 3)]
-            spark.createDataFrame(row, STREAM_TX).coalesce(1).write.mode("append").json(path)
-    return {"bounds": bounds, "span": int(span), "last_t": int(last_t), "files_per_range": per_range}
+            row = {f.name: None for f in STREAM_TX.fields} | {"cc_num": SENTINEL_CARD, "unix_time": last_t + (span + 10) * 10 * j, "tie": -j}
+            spark.createDataFrame([row], STREAM_TX).coalesce(1).write.mode("append").json(f"{path}/_file={files + j}")
+    _stamp(spark, path, int(time.time() * 1000))
+    return {"files": files, "rows": n, "span": span, "last_t": last_t}
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     """The replay as a stream: explicit schema, bounded files per micro-batch."""
-    return (spark.readStream.schema(STREAM_TX).option("maxFilesPerTrigger", max_files).json(path)
+    return (spark.readStream.schema(STREAM_TX).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).json(path)
                  .withColumn("event_time", F.timestamp_seconds("unix_time")))
+
+
+def read_bus(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None, starting: str = "earliest") -> DataFrame:
+    """A6 from a message bus: JSON values of ``topic`` through Spark's kafka source (its package must be on the cluster)."""
+    reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+              .option("startingOffsets", starting))
+    reader = reader.option("maxOffsetsPerTrigger", max_offsets) if max_offsets else reader
+    rows = reader.load().select(F.from_json(F.col("value").cast("string"), STREAM_TX).alias("r")).select("r.*")
+    return rows.withColumn("event_time", F.timestamp_seconds("unix_time"))

@@ -1,7 +1,7 @@
 """Keyed stream state for causal per-card features (L1) with event-time ordering (L4).
 
-State per card is O(1): rows seen, sum and count of non-null amounts, last time, plus the rows
-still waiting for the watermark. Rows are released in (time, tie) order once the watermark has
+State per card: rows seen, sum and count of non-null amounts, last time, and the rows still waiting for the
+watermark as typed array columns (about one watermark delay of the card's rows, whatever its history). Rows are released in (time, tie) order once the watermark has
 passed them, so the emitted features equal the batch window's; rows that arrive behind the
 watermark are dropped by Spark and reported in the query progress
 (``numRowsDroppedByWatermark``). ``delay = 0`` releases rows as soon as a later batch arrives.
@@ -9,7 +9,6 @@ watermark are dropped by Spark and reported in the query progress
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,21 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.keys import user_key
-from ..schema import USER_KEY_COLS
+from ..functions.keys import card_key
 from .replay import STREAM_TX
 
+TEXT = {"cc_num", "user_id", "category", "gender", "state"}
+INTS = {"unix_time", "tie"}
 PASS = [f.name for f in STREAM_TX.fields if f.name not in ("unix_time", "tie", "amt")]
 OUT_SCHEMA = ("user string, unix_time long, tie long, amt float, amt_raw double, "
-              + ", ".join(f"{c} {'string' if c in ('cc_num', 'category', 'gender', 'state') else 'double'}" for c in PASS)
+              + ", ".join(f"{c} {'string' if c in TEXT else 'double'}" for c in PASS)
               + ", _prior_n long, _prev_t long, _prior_sum double, _prior_cnt long")
-STATE_SCHEMA = "n long, s double, nn long, last_t long, pending string"
 COLS = ["unix_time", "tie", "amt", *PASS]
-
-
-_NONE = "{}"
-TEXT = {"cc_num", "category", "gender", "state"}
-INTS = {"unix_time", "tie"}
+STATE_SCHEMA = ("n long, s double, nn long, last_t long, "
+                + ", ".join(f"wait_{c} array<{'string' if c in TEXT else 'long' if c in INTS else 'double'}>" for c in COLS))
 
 
 def _dtype(c: str):
@@ -47,16 +43,13 @@ def _arrays(pdf: pd.DataFrame) -> dict:
 
 def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     user = key[0]
-    if state.exists:
-        n, s, nn, last_t, pending = state.get
-    else:
-        n, s, nn, last_t, pending = 0, 0.0, 0, None, _NONE
+    none = tuple([] for _ in COLS)
+    n, s, nn, last_t, *held = state.get if state.exists else (0, 0.0, 0, None, *none)
     parts = [] if state.hasTimedOut else [_arrays(p) for p in pdfs if len(p)]
-    if pending != _NONE:
-        held = json.loads(pending)      # column-wise; json keeps NaN
-        parts.insert(0, {c: np.asarray(held[c], dtype=_dtype(c)) for c in COLS})
+    if len(held[0]):
+        parts.insert(0, {c: np.asarray(h, dtype=_dtype(c)) for c, h in zip(COLS, held, strict=True)})
     if not parts:
-        state.update((n, s, nn, last_t, _NONE))
+        state.update((n, s, nn, last_t, *none))
         return
     buf = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in COLS}
     t_all = buf["unix_time"]
@@ -95,20 +88,22 @@ def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         last_t = int(t[-1])
     if k < len(order):
         rest = order[k:]
-        state.update((n, s, nn, last_t, json.dumps({c: buf[c][rest].tolist() for c in COLS})))
+        state.update((n, s, nn, last_t, *(buf[c][rest].tolist() for c in COLS)))
         state.setTimeoutTimestamp(max(int(t_sorted[k]) * 1000, wm_ms + 1))
     else:
-        state.update((n, s, nn, last_t, _NONE))
+        state.update((n, s, nn, last_t, *none))
     if out is not None:
         yield out
 
 
-def stream_state_features(stream: DataFrame, delay_seconds: int = 0,
-                          key_cols=USER_KEY_COLS) -> DataFrame:
-    """L1/L4: per-card causal state columns on a stream (same contract as ``causal_pass``)."""
+def stream_state_features(stream: DataFrame, delay_seconds: int = 0) -> DataFrame:
+    """L1/L4: per-card causal state columns on a stream (same contract as ``causal_pass``).
+
+    B5: a record without ``cc_num`` is keyed by its ``user_id``, else by 'unknown'.
+    """
     from ..session import ship_package
     ship_package(stream.sparkSession)
-    x = stream.withColumn("user", user_key(stream, key_cols))
+    x = stream.withColumn("user", card_key(stream))
     return (x.withWatermark("event_time", f"{int(delay_seconds)} seconds")
              .groupBy("user")
              .applyInPandasWithState(_release, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))

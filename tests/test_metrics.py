@@ -95,7 +95,7 @@ def test_losses(spark):
     assert M.focal_loss(df).first()[0] == pytest.approx((at * bce * (1 - pt) ** 2).mean())
     assert M.focal_loss(df, alpha=-1, gamma=0).first()[0] == pytest.approx(bce.mean())
     with pytest.raises(ValueError):
-        M.build_loss("hinge")
+        M.mean_loss(df, "hinge")
 
 
 def test_latency_summary(spark):

@@ -16,18 +16,34 @@ def test_replay_equals_batch_with_late_rows(spark):
     tx = tx_events(spark, SF)
     p = build_processed(tx, materialize=False)
     batch = causal_features(with_user(tx)).select(*COLS).orderBy("tie").collect()
-    import riskflow.streaming.replay as replay
-    for late, file_rows in ((0, None), (7, None), (0, 60)):
+    for late, file_rows in ((0, 100_000), (7, 100_000), (0, 60)):       # 60: many small files, so many micro-batches
         src = scratch_path(spark, "replay-test")
-        saved = replay.FILE_ROWS
-        replay.FILE_ROWS = file_rows or saved       # 60: every range split into several files
-        try:
-            info = write_replay(tx, src, files=4, late_every=late)
-        finally:
-            replay.FILE_ROWS = saved
-        assert (info["files_per_range"] > 1) == bool(file_rows)
-        disordered = late or info["files_per_range"] > 1
-        run = run_stream(spark, src, p, 0.5, delay_seconds=info["span"] + 1 if disordered else 0)
+        info = write_replay(tx, src, files=4 if file_rows > 60 else None, late_every=late, file_rows=file_rows)
+        assert info["files"] == (4 if file_rows > 60 else -(-tx.count() // 60))
+        run = run_stream(spark, src, p, 0.5, delay_seconds=info["span"] + 1 if late else 0, metric_delay_seconds=info["span"] + 1)
         got = finalize(spark.read.parquet(run.features)).select(*COLS).orderBy("tie").collect()
         assert got == batch
         assert run.dropped_late == 0
+        assert spark.read.parquet(run.metrics).agg({"total": "sum"}).first()[0] == tx.count()     # the last window too
+
+
+def test_late_rows_are_counted(spark):
+    from riskflow.plans.build import build_processed
+    tx = tx_events(spark, SF)
+    src = scratch_path(spark, "replay-test")
+    write_replay(tx, src, files=8, late_every=7, late_by=5)
+    run = run_stream(spark, src, build_processed(tx, materialize=False), 0.5)
+    assert 0 < run.dropped_late == tx.count() - finalize(spark.read.parquet(run.features)).count()
+
+
+def test_missing_card_is_keyed_by_user(spark):
+    from pyspark.sql import functions as F
+    from riskflow.streaming.stateful import stream_state_features
+    from riskflow.streaming.replay import read_stream
+    tx = tx_events(spark, SF).withColumn("user_id", F.concat(F.lit("u"), "cc_num")).withColumn("cc_num", F.when(F.col("tie") % 2 == 0, F.col("cc_num")))
+    src = scratch_path(spark, "replay-test")
+    write_replay(tx, src, files=2)
+    q = (stream_state_features(read_stream(spark, src, 1)).writeStream.format("memory").queryName("b5").trigger(availableNow=True).start())
+    q.awaitTermination()
+    keys = {r["user"] for r in finalize(spark.table("b5")).select("user").distinct().collect()}
+    assert {k[:1] == "u" for k in keys} == {True, False}

@@ -23,8 +23,8 @@ def test_three_tiers(spark):
     t2 = spark.createDataFrame([(1, "block", "extracted", None), (2, "nuke", "bad action", 0.1)],
                                "alert_id long, action string, rationale string, confidence double")
     out = {r["alert_id"]: r for r in K.resolve(a, structured=t1, extracted=t2).collect()}
-    assert out[0]["decision"]["action"] == "allow" and out[0]["decision_source"] == "tier1"
-    assert out[1]["decision"]["action"] == "block" and out[1]["decision_source"] == "tier2"
+    assert out[0]["decision"]["action"] == "allow" and out[0]["decision_source"] == "structured"
+    assert out[1]["decision"]["action"] == "block" and out[1]["decision_source"] == "extracted"
     assert out[2]["decision"]["action"] == "allow" and out[2]["decision_source"] == "fallback"
 
 
