@@ -9,9 +9,11 @@ from ..operators import lookups as J
 from ..operators import metrics as M
 from ..operators import triage as K
 from ..operators.encode import apply_categories_join
-from ..schema import SEQ_LEN
+from ..operators.features import causal_features, with_user
+from ..schema import RAW_TX, SEQ_LEN
 from ..session import scratch_path
 from ..sources.adapters import tx_events
+from ..sources.io import read_transactions
 from ..sources.tables import read_table
 from ..streaming.jobs import run_alerts
 from ..streaming.rate import ALARM_LIMIT, alarm, alert_rate
@@ -95,6 +97,27 @@ def q_triage_tiers(spark, sf):
     return present(r.select("alert_id", "decision.action", "decision.rationale", "decision.confidence", "decision_source"))
 
 
+# ---------------------------------------------------------------- files
+_CSV_FEATS = ", ".join(RND(f'"{c}"', 4) + f' AS "{c}"' for c in O.NUMERIC)
+
+
+@register("csv_roundtrip", with_sql(O.FEAT, f'SELECT "user", unix_time, {_CSV_FEATS} FROM feat'))
+def q_csv_roundtrip(spark, sf):
+    """A1/A2: transactions written as two CSV files in time order and read back by the multi-file reader, whose ties
+    must be distinct; the causal features of what was read."""
+    base = scratch_path(spark, "csv")
+    tx = tx_events(spark, sf)
+    cols = [f.name for f in RAW_TX.fields if f.name in tx.columns and f.name != "tie"]
+    (tx.repartitionByRange(2, "unix_time", "tie").sortWithinPartitions("unix_time", "tie").select(cols)
+       .write.option("header", True).csv(base))
+    found = sorted(r[0] for r in spark.read.text(base).select("_metadata.file_path").distinct().collect())     # two files
+    back = read_transactions(spark, found)
+    facts = back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("tie").alias("ties")).first()
+    if facts["rows"] != facts["ties"]:
+        raise RuntimeError("rows of the CSV files share a tie")
+    return present(causal_features(with_user(back)).select("user", "unix_time", *O.NUMERIC), {c: 4 for c in O.NUMERIC})
+
+
 # ---------------------------------------------------------------- lookups and serving
 LOOKUP_REQ = """
 req AS (SELECT CASE WHEN c.c_custkey % 11 = 0 THEN ' ' ELSE CAST(c.c_custkey AS VARCHAR) END AS card_id, CAST(c.c_nationkey AS BIGINT) AS k,

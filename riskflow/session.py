@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -64,9 +65,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_SCRATCH: list[tuple] = []
+
+
+def _clean_scratch() -> None:
+    """Delete this process's scratch folders; the JVM outlives a stopped session until Python ends."""
+    for target, conf in _SCRATCH:
+        try:
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing can be deleted then
+            return
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique sub-folder of the shared checkpoint folder, deleted when the process ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_clean_scratch)
+    _SCRATCH.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
