@@ -34,7 +34,7 @@ LEXICON_WORDS = 65_536
 #: longer pretokens are never taken into the lexicon
 LEXICON_BYTES = 48
 #: bytes of text counted at a time before counts leave a worker
-COUNT_GROUP_BYTES = 8 << 20
+COUNT_GROUP_BYTES = 2 << 20
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 

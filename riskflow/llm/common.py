@@ -16,11 +16,18 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", list(cols) or ["doc_id", "text"])
 
 
+#: bytes of rows that travel to a Python worker at a time: whole texts, so that long ones do not pile up
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(df: DataFrame) -> SparkSession:
-    """The frame's session, with the package on its workers and the shared folder known."""
+    """The frame's session, with the package on its workers, the shared folder known and Arrow batches small."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
+    if int(str(spark.conf.get(_BATCH_CONF)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return spark
 
 

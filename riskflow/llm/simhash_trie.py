@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -236,17 +235,17 @@ def fingerprint_links(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
                     pa.array(np.repeat(to[:, 0].astype(np.int32), len(mine))), pa.array(np.repeat(to[:, 1].astype(np.int8), len(mine))),
                     pa.array(np.tile(mine, len(to)))], ["pair", "side", "fp"])
 
-    def walk(key, frame):
+    def walk(key, table):
         _, _, pairs = shared.value
-        i, j, bit, spent = pairs[int(key[0])]
-        fps, side = frame["fp"].to_numpy().view(np.uint64), frame["side"].to_numpy()
+        i, j, bit, spent = pairs[key[0].as_py()]
+        fps, side = table["fp"].to_numpy().view(np.uint64), table["side"].to_numpy()
         left = np.sort(fps[side == 0])
         right = None if i == j else np.sort(fps[side == 1])
         a, b = forest_links(left, right, bit, spent, budget)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = distinct.select("fp").mapInArrow(deal, "pair int, side byte, fp long")
-    return dealt.groupBy("pair").applyInPandas(walk, "a long, b long")
+    return dealt.groupBy("pair").applyInArrow(walk, "a long, b long")
 
 
 # ------------------------------------------------------------------ the operator

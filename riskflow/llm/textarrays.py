@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def text_groups(column: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -59,10 +59,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POW: dict[int, np.ndarray] = {}
+#: longest table of powers that is kept; a longer text makes its own
+KEPT_POWERS = 2 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2^64; kept for the next call."""
+    """``base ** 0 .. base ** (n - 1)`` modulo 2^64; a short table is kept for the next call."""
+    if n > KEPT_POWERS:
+        return _powers(base, n)
     have = _POW.get(base)
     if have is None or len(have) < n:
         _POW[base] = have = _powers(base, max(n, 1 << 16))
@@ -77,14 +81,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]``: differences of one running polynomial sum."""
+    """64-bit hashes of ``data[starts[i]:ends[i]]`` (bytes or code points): differences of one running polynomial sum."""
     n = len(data)
     inverse = pow(_BASE, -1, 1 << 64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
     for i in np.flatnonzero(ends - starts > LONG_SLICE):     # a polynomial over many terms has known collisions
-        h[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
+        h[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]].tobytes())
     return h
 
 
