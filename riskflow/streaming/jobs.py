@@ -7,6 +7,7 @@ stream, so a metric failure never stops scoring.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,7 @@ class StreamRun:
     metrics: str
     checkpoints: str
     dropped_late: int = 0
+    feature_seconds: float = 0.0        # wall time of the feature stream alone
 
 
 def scored_stream(features: DataFrame, p: Processed, threshold: float) -> DataFrame:
@@ -85,8 +87,10 @@ def run_stream(spark: SparkSession, source: str, p: Processed, threshold: float,
     run = StreamRun(source, f"{base}/features", f"{base}/alerts", f"{base}/quarantine", f"{base}/metrics", f"{base}/ckpt")
     stream = read_stream(spark, source, max_files)
     feats_raw = finish_features(stream_state_features(stream, delay_seconds), p.spec)
+    began = time.time()
     (feats_raw.writeStream.format("parquet").option("checkpointLocation", f"{run.checkpoints}/features")
               .trigger(availableNow=True).start(run.features)).awaitTermination()
+    run.feature_seconds = time.time() - began
     sent = spark.read.schema(STREAM_TX).option("recursiveFileLookup", True).json(source).where(~F.col("cc_num").eqNullSafe(SENTINEL_CARD)).count()
     run.dropped_late = sent - spark.read.parquet(run.features).where(is_real()).count()
     # scoring + alerts and the metric read the feature sink as streams of their own (own checkpoints), side by side
