@@ -67,6 +67,42 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
 
+def _repetition_sql() -> str:
+    """Counts words in windows and lines with window functions; no hashes."""
+    lengths = sorted({repetition.BASE_WINDOW, *repetition.NGRAM_LIMITS})
+    space = r"[\x20\x09-\x0D]"
+    marks = "".join(f"""
+g{n} AS (SELECT doc_id, i, string_agg(s, ' ') OVER v AS k, count(*) OVER v AS c
+  FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)),
+m{n} AS (SELECT doc_id, i, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS f FROM (
+  SELECT doc_id, i, CASE WHEN c = {n} AND count(*) OVER (PARTITION BY doc_id, k) > 1 THEN 1 ELSE 0 END AS twice FROM g{n})),""" for n in lengths)
+    joins = " ".join(f"JOIN m{n} USING (doc_id, i)" for n in lengths)
+    covers = ", ".join(f"sum(length(s) * m{n}.f) AS chars_{n}" for n in repetition.NGRAM_LIMITS)
+    share = {f"cover_{n}": f"coalesce(a.chars_{n}, 0) / greatest(coalesce(a.word_chars, 0), 1)::DOUBLE" for n in repetition.NGRAM_LIMITS}
+    share["cover_lines"] = "coalesce(x.chars_lines, 0) / greatest(coalesce(a.word_chars, 0), 1)::DOUBLE"
+    limits = {**{f"cover_{n}": v for n, v in repetition.NGRAM_LIMITS.items()}, "cover_lines": repetition.LINE_LIMIT}
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+w AS (SELECT doc_id, unnest(ws) AS s, generate_subscripts(ws, 1) AS i FROM u),{marks}
+a AS (SELECT doc_id, count(*) AS n_words, sum(length(s)) AS word_chars, sum(m{repetition.BASE_WINDOW}.f) AS n_repeat_words, {covers}
+  FROM w {joins} GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+x AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(s, '{space}', '', 'g'))) AS chars_lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS place FROM l WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]'))
+  WHERE place > 1 GROUP BY doc_id),
+c AS (SELECT d.doc_id, coalesce(a.n_words, 0) AS n_words, CAST(coalesce(a.word_chars, 0) AS BIGINT) AS word_chars,
+  length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(x.n_dup_lines, 0) AS n_dup_lines,
+  CAST(coalesce(a.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {", ".join(f"{v} AS {k}" for k, v in share.items())}
+  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)),
+b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.BASE_PERCENT} * n_words AS base_failed FROM c)
+SELECT *, NOT (base_failed OR {" OR ".join(f"{k} > {v}" for k, v in limits.items())}) AS kept FROM b
+"""
+
+
+ORACLE["op3_repetition"] = _repetition_sql()
+
+
 #: fixed rules of the url query: verdict, host, path
 URL_RULES = [
     ("allow", "org", "/"),
