@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, url_trees, warc
+from . import bpe_lexicon, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,11 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's tokens by both vocabularies, cut into groups; links counted over all documents."""
+    import public_tokenizers
+
+    return token_alignment.align_corpus(documents(spark, sf_dir), byte_bpe_path(), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
