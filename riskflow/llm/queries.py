@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
+from . import bpe_lexicon, collocations, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,39 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_alignment.align_corpus(documents(spark, sf_dir), byte_bpe_path(), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words of each language."""
+    return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+#: Restates the contract with arrays and window functions; wide integers for the products.
+ORACLE["op12_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT id, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece, generate_subscripts(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]'), 1) AS no FROM d),
+q AS (SELECT id, lang, no, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT id, lang, no, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM q),
+s AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY id, no ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM s GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM s WHERE w2 IS NOT NULL GROUP BY lang, w1, w2),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM s WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+c AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 b JOIN f1 x ON x.lang = b.lang AND x.w1 = b.w1 JOIN f1 y ON y.lang = b.lang AND y.w1 = b.w2
+  WHERE b.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = b.lang AND t.w1 = b.w1 AND t.w2 = b.w2 AND 100 * t.f >= 50 * b.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = b.lang AND t.w2 = b.w1 AND t.w3 = b.w2 AND 100 * t.f >= 50 * b.f)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3),
+g AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM c),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM g),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM m WHERE cut = 1)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
