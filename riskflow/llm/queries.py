@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
-from . import bpe_lexicon, collocations, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
+from . import bpe_lexicon, collocations, consensus_paths, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +217,10 @@ m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k)
 z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM m WHERE cut = 1)
 SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op11_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, read by the winning paths of its host."""
+    found = consensus_paths.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
