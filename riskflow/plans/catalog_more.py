@@ -118,6 +118,26 @@ def q_csv_roundtrip(spark, sf):
     return present(causal_features(with_user(back)).select("user", "unix_time", *O.NUMERIC), {c: 4 for c in O.NUMERIC})
 
 
+@register("csv_folder", with_sql(O.FEAT, f"""
+SELECT "user", CAST(row_number() OVER (ORDER BY unix_time, tie) - 1 AS BIGINT) AS tie, unix_time, {_CSV_FEATS} FROM feat"""))
+def q_csv_folder(spark, sf):
+    """A1/A2: transactions written as a folder of five CSV files in time order and read back by the folder's name, every file
+    cut into several blocks; ties are the rows' numbers in time order, the causal features are those of the source."""
+    base = scratch_path(spark, "csv-folder")
+    tx = tx_events(spark, sf)
+    cols = [f.name for f in RAW_TX.fields if f.name in tx.columns and f.name != "tie"]
+    (tx.repartitionByRange(5, "unix_time", "tie").sortWithinPartitions("unix_time", "tie").select(cols)
+       .write.option("header", True).csv(base))
+    size = spark.read.format("binaryFile").load(base).agg(F.max("length")).first()[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(1, size // 7)))
+    try:
+        back = read_transactions(spark, [base])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return present(causal_features(with_user(back)).select("user", "tie", "unix_time", *O.NUMERIC), {c: 4 for c in O.NUMERIC})
+
+
 # ---------------------------------------------------------------- lookups and serving
 LOOKUP_REQ = """
 req AS (SELECT CASE WHEN c.c_custkey % 11 = 0 THEN ' ' ELSE CAST(c.c_custkey AS VARCHAR) END AS card_id, CAST(c.c_nationkey AS BIGINT) AS k,

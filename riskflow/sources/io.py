@@ -3,43 +3,57 @@ tables (A3-A5), the scored feed (A10) and run-metric files (A11)."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import running_totals
 from ..schema import RAW_TX, USE_COLS
-from ..session import path_exists
+from ..session import checkpoint_dir, path_exists, scratch_path
 
 
-def _plain(path: str) -> str:
-    """A path without the scheme and slashes that only the local file system adds."""
-    return re.sub("^file:/+", "/", path).rstrip("/")
+#: bytes of the table of file blocks that are sent to every task; a larger one is joined by a shuffle
+BLOCKS_BROADCAST_BYTES = 64 << 20
+_PLACE = ("_entry", "_file", "_block")
 
 
 def read_transactions(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
     """A1/A2: read every transaction file (or folder) that exists, on any file system Spark reaches, with an
     explicit schema, and keep the allow-list. Raises when none exists.
 
-    ``tie`` orders rows by the file list, then by place in the file: the byte where the row's block starts plus the
-    row's number in its task. A block has no more rows than bytes, and only the last block of a file ever shares a
-    task with other files, so ties are distinct and their order does not depend on how Spark cuts the files.
+    ``tie`` numbers the rows 0, 1, 2, ...: by the list of paths, within a folder by the files' names, within a file by place.
+    The files are read once, into a table under ``spark.checkpoint.dir`` in which each row has its file, its block (the
+    part of a file that one task reads) and its number in its task. Rows of a block follow each other, so a row's tie is
+    the number of rows in the blocks before, a running total over the blocks, plus its place in the block. What reads
+    the rows afterwards reads that table, so their ties cannot change when files are cut otherwise or executors are lost.
     """
     found = [p for p in paths if path_exists(spark, p)]
     if not found:
         raise FileNotFoundError(f"none of the transaction files exists: {list(paths)}")
     schema = T.StructType([f for f in RAW_TX.fields if f.name != "tie"])
     reader = spark.read.schema(schema)
-    df = reader.option("header", True).csv(found) if fmt == "csv" else reader.format(fmt).load(found)
-    own = F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:/+", "/")
-    file_ix = F.lit(len(found))
-    for i, p in reversed(list(enumerate(found))):
-        file_ix = F.when(own.endswith(_plain(p)) | own.contains(_plain(p) + "/"), i).otherwise(file_ix)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    tie = file_ix.cast("long") * F.lit(1 << 48) + F.col("_metadata.file_block_start") + row
-    return df.select(*[c for c in USE_COLS if c in df.columns], tie.alias("tie"))
+    columns = [c for c in USE_COLS if c in schema.names]
+    parts = []
+    for entry, path in enumerate(found):
+        one = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+        parts.append(one.select(*columns, F.lit(entry).alias("_entry"), F.col("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")))
+    landed = scratch_path(spark, "transactions")
+    reduce(DataFrame.unionByName, parts).write.parquet(landed)
+    rows = spark.read.parquet(landed)
+    return rows.join(_rows_before(rows), list(_PLACE)).select(*columns, (F.col("_before") + F.col("_row") - F.col("_first")).alias("tie"))
+
+
+def _rows_before(rows: DataFrame) -> DataFrame:
+    """Per file block the rows of all blocks before it, in the order (list entry, file, block), and its first row number."""
+    checkpoint_dir(rows.sparkSession)
+    blocks = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")).withColumn("_place", F.struct(*_PLACE)).checkpoint()
+    size = blocks.agg(F.sum(F.octet_length("_file") + 64)).first()[0] or 0
+    before = running_totals(blocks, "_place", ["_n"], prefix="_upto_").select(*_PLACE, "_first", (F.col("_upto__n") - F.col("_n")).alias("_before"))
+    return F.broadcast(before) if size <= BLOCKS_BROADCAST_BYTES else before
 
 
 def write_processed(table: DataFrame, path: str, key: str = "user") -> None:
