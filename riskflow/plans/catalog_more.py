@@ -15,7 +15,7 @@ from ..session import scratch_path
 from ..sources.adapters import tx_events
 from ..sources.io import read_transactions
 from ..sources.tables import read_table
-from ..streaming.jobs import run_alerts
+from ..streaming.jobs import run_alarm, run_alerts
 from ..streaming.rate import ALARM_LIMIT, alarm, alert_rate
 from . import oracle_sql as O
 from .catalog import ORACLE, processed, register, scored, with_sql
@@ -244,3 +244,11 @@ SELECT period, {RND('avg_rate')} AS avg_rate FROM br b WHERE EXISTS (SELECT 1 FR
 def q_alarm_days(spark, sf):
     """L6 (batch form) on hourly points: days whose mean alert rate exceeded the limit two days running."""
     return present(alarm(alert_rate(flagged(spark, sf), seconds=3600), period=86400, periods=2))
+
+
+@register("stream_alarm", ORACLE["alarm_days"])
+def q_stream_alarm(spark, sf):
+    """L6 on the feature stream's sink: hourly metric windows, chained into days, and a detector of two days in a row."""
+    run = _run(spark, sf)
+    days = run_alarm(spark, run.features, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=run.span + 1, seconds=3600, period=86400, periods=2)
+    return present(days)

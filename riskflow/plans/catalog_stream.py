@@ -22,8 +22,10 @@ def _run(spark, sf, late_every: int = 0):
         info = write_replay(tx, src, late_every=late_every)
         # rows moved to the next file wait for at most one file's time span
         delay = info["span"] + 1 if late_every else 0
-        return run_stream(spark, src, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=delay,
-                          history=None if late_every else tx, metric_delay_seconds=info["span"] + 1)
+        run = run_stream(spark, src, processed(spark, sf), tuned_threshold(spark, sf), delay_seconds=delay,
+                         history=None if late_every else tx, metric_delay_seconds=info["span"] + 1)
+        run.span = info["span"]
+        return run
     return _memo(spark, sf, f"stream-{late_every}", make)
 
 

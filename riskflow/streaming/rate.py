@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 METRIC_SECONDS = 30     # fixed values: metric flush period, alarm period, limit, periods in a row
 ALARM_SECONDS = 60
@@ -29,13 +33,17 @@ def alert_rate_stream(scored: DataFrame, ts: str = "event_time", flag: str = "fl
     Rows outside ``real`` (end markers) move the watermark but are not counted; a window of such rows alone is
     not emitted. A marker a window's length and the delay past the last row brings out the last window.
     """
+    return _rate_windows(scored, ts, flag, seconds, delay, real).select(
+        F.unix_seconds(F.col("w.start")).alias("window_start"), "total", "alerts", "rate")
+
+
+def _rate_windows(scored: DataFrame, ts: str, flag: str, seconds: int, delay: str, real: Column | None) -> DataFrame:
     real = F.lit(True) if real is None else real
     return (scored.withWatermark(ts, delay)
                   .groupBy(F.window(ts, f"{seconds} seconds").alias("w"))
                   .agg(F.count(F.when(real, 1)).alias("total"), F.count(F.when(real & F.col(flag), 1)).alias("alerts"))
                   .where("total > 0")
-                  .select(F.unix_seconds(F.col("w.start")).alias("window_start"), "total", "alerts",
-                          (F.col("alerts") / F.col("total")).alias("rate")))
+                  .withColumn("rate", F.col("alerts") / F.col("total")))
 
 
 def alarm(points: DataFrame, period: int = ALARM_SECONDS, limit: float = ALARM_LIMIT,
@@ -53,3 +61,48 @@ def alarm(points: DataFrame, period: int = ALARM_SECONDS, limit: float = ALARM_L
         prev = breach.select((F.col("period") + F.lit(i * period)).alias("period"))
         out = out.join(prev, "period", "left_semi")
     return out
+
+
+class Breaches(StatefulProcessor):
+    """Periods above the limit that end a row of ``periods`` of them; its state is the last such period and the row's length."""
+
+    def __init__(self, period: int, limit: float, periods: int):
+        self.period, self.limit, self.periods = period, limit, periods
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "period long, length long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows)).sort_values("period")
+        last, length = self.last.get() or (None, 0)
+        out = []
+        for start, rate in zip(found["period"].tolist(), found["avg_rate"].tolist(), strict=True):
+            if rate > self.limit:
+                length = length + 1 if last == start - self.period else 1       # a missing or quiet period breaks the row
+                last = start
+                if length >= self.periods:
+                    out.append((start, rate))
+        if last is not None:
+            self.last.update((int(last), int(length)))
+        yield pd.DataFrame(out, columns=["period", "avg_rate"]).astype({"period": "int64", "avg_rate": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_stream(scored: DataFrame, ts: str = "event_time", flag: str = "flag", seconds: int = METRIC_SECONDS, period: int = ALARM_SECONDS,
+                 limit: float = ALARM_LIMIT, periods: int = ALARM_PERIODS, delay: str = "0 seconds", real: Column | None = None) -> DataFrame:
+    """L6 on a stream: windows of the metric, averaged per period, and the state of one detector: ``period, avg_rate``.
+
+    The watermark closes the metric's windows and, through their end times, the periods; a period's row goes to one
+    detector, one row per period whatever the number of transactions. A period without points has no row and resets it.
+    """
+    from ..session import ship_package
+    from .stateful import STATE_CONF
+    for k, v in STATE_CONF.items():
+        scored.sparkSession.conf.set(k, v)
+    ship_package(scored.sparkSession)
+    points = _rate_windows(scored, ts, flag, seconds, delay, real)
+    per = points.groupBy(F.window(F.window_time("w"), f"{period} seconds").alias("p")).agg(F.avg("rate").alias("avg_rate"))
+    rows = per.select(F.lit(0).alias("detector"), F.unix_seconds(F.col("p.start")).alias("period"), "avg_rate")
+    return rows.groupBy("detector").transformWithStateInPandas(Breaches(period, limit, periods), "period long, avg_rate double", "Append", "None")

@@ -1,10 +1,16 @@
 """Keyed stream state for causal per-card features (L1) with event-time ordering (L4).
 
-State per card: rows seen, sum and count of non-null amounts, last time, and the rows still waiting for the
-watermark as typed array columns (about one watermark delay of the card's rows, whatever its history). Rows are released in (time, tie) order once the watermark has
-passed them, so the emitted features equal the batch window's; rows that arrive behind the
-watermark are dropped by Spark and reported in the query progress
-(``numRowsDroppedByWatermark``). ``delay = 0`` releases rows as soon as a later batch arrives.
+Cards are dealt by hash to shards, and a shard is the key of the state processor, so a call handles the rows of many cards at
+once. A shard's state:
+
+* ``past``: for each card the rows seen, sum and count of non-null amounts, and the last time. It does not grow with the rows;
+* ``runs``: the rows that wait for the watermark. What is left waiting of a batch is one run, sorted by time and filed under
+  its earliest time, so a batch reads only the runs that it releases rows of, whatever else waits;
+* an event-time timer at the earliest waiting time, for shards without new rows.
+
+Rows are released in (time, tie) order once the watermark has passed them, so the emitted features equal the batch window's.
+Rows that arrive behind the watermark are dropped by Spark and reported in the query progress (``numRowsDroppedByWatermark``).
+``delay = 0`` releases rows as soon as a later batch arrives. State lies in RocksDB, with changes uploaded per batch.
 """
 
 from __future__ import annotations
@@ -13,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import card_key
-from .replay import STREAM_TX
+from .replay import SENTINEL_CARD, STREAM_TX
 
 TEXT = {"cc_num", "user_id", "category", "gender", "state"}
 INTS = {"unix_time", "tie"}
@@ -26,90 +33,120 @@ PASS = [f.name for f in STREAM_TX.fields if f.name not in ("unix_time", "tie", "
 OUT_SCHEMA = ("user string, unix_time long, tie long, amt float, amt_raw double, "
               + ", ".join(f"{c} {'string' if c in TEXT else 'double'}" for c in PASS)
               + ", _prior_n long, _prev_t long, _prior_sum double, _prior_cnt long")
-COLS = ["unix_time", "tie", "amt", *PASS]
-STATE_SCHEMA = ("n long, s double, nn long, last_t long, "
-                + ", ".join(f"wait_{c} array<{'string' if c in TEXT else 'long' if c in INTS else 'double'}>" for c in COLS))
-
-
-def _dtype(c: str):
-    return object if c in TEXT else ("int64" if c in INTS else "float64")
-
-
-def _arrays(pdf: pd.DataFrame) -> dict:
-    """One Arrow batch of a card as typed numpy columns (nulls in float columns become NaN)."""
-    return {c: pdf[c].to_numpy(dtype=_dtype(c), **({} if c in TEXT or c in INTS else {"na_value": np.nan}))
-            for c in COLS}
-
-
-def _release(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    user = key[0]
-    none = tuple([] for _ in COLS)
-    n, s, nn, last_t, *held = state.get if state.exists else (0, 0.0, 0, None, *none)
-    parts = [] if state.hasTimedOut else [_arrays(p) for p in pdfs if len(p)]
-    if len(held[0]):
-        parts.insert(0, {c: np.asarray(h, dtype=_dtype(c)) for c, h in zip(COLS, held, strict=True)})
-    if not parts:
-        state.update((n, s, nn, last_t, *none))
-        return
-    buf = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in COLS}
-    t_all = buf["unix_time"]
-    order = np.lexsort((buf["tie"], t_all))                          # by (time, tie)
-    t_sorted = t_all[order]
-    wm_ms = state.getCurrentWatermarkMs()
-    k = int(np.searchsorted(t_sorted * 1000, wm_ms, side="left"))    # ready rows: a sorted prefix
-    out = None
-    if k:
-        ready = order[:k]
-        t = t_sorted[:k]
-        raw = buf["amt"][ready]
+COLS = ["user", "unix_time", "tie", "amt", *PASS]
+RUN = pa.schema([(c, pa.string() if c in TEXT or c == "user" else pa.int64() if c in INTS else pa.float64()) for c in COLS])
+
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _packed(run: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, RUN) as out:
+        out.write_table(run)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
+
+
+class CausalState(StatefulProcessor):
+    """Releases the waiting rows of a shard that the watermark has passed, with their cards' past."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getMapState("past", "user string", "n long, s double, nn long, last_t long")
+        self.runs = handle.getMapState("runs", "start long", "body binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [pa.Table.from_pandas(p[COLS], schema=RUN, preserve_index=False) for p in rows if len(p)]
+        yield from self.released(new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released([], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def released(self, new: list[pa.Table], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        starts = [k[0] for k in self.runs.keys()]
+        due = [s for s in starts if s * 1000 < watermark_ms]
+        for s in due:
+            new.append(_unpacked(bytes(self.runs.getValue((s,))[0])))
+            self.runs.removeKey((s,))
+        waiting = [s for s in starts if s * 1000 >= watermark_ms]
+        ready = None
+        if new:
+            rows = pa.concat_tables(new).sort_by([("unix_time", "ascending")])
+            passed = int(np.searchsorted(rows["unix_time"].to_numpy() * 1000, watermark_ms, side="left"))
+            ready, rest = rows.slice(0, passed), rows.slice(passed)
+            if len(rest):
+                start = rest["unix_time"][0].as_py()
+                if start in waiting:
+                    rest = pa.concat_tables([_unpacked(bytes(self.runs.getValue((start,))[0])), rest]).sort_by([("unix_time", "ascending")])
+                self.runs.updateValue((start,), (_packed(rest),))
+                waiting.append(start)
+        if waiting:
+            at = max(min(waiting) * 1000 + 1, watermark_ms + 1)
+            set_for = self.timer.get()
+            if set_for is None or set_for[0] != at:
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        if ready is not None and len(ready):
+            yield self.with_past(ready)
+
+    def with_past(self, rows: pa.Table) -> pd.DataFrame:
+        """``OUT_SCHEMA`` of released rows; moves their cards' past on."""
+        user, names = pd.factorize(rows["user"].to_numpy(zero_copy_only=False))
+        order = np.lexsort((rows["tie"].to_numpy(), rows["unix_time"].to_numpy(), user))
+        rows, user = rows.take(pa.array(order)), user[order]
+        raw = rows["amt"].to_numpy(zero_copy_only=False).astype("float64")          # null: NaN
         amt = raw.astype("float32")
-        a64 = amt.astype("float64")
-        valid = ~np.isnan(a64)
-        vals = np.where(valid, a64, 0.0)
-        csum = np.cumsum(vals) - vals
-        ccnt = np.cumsum(valid) - valid
-        prev = np.empty(k, dtype="int64")
-        prev[1:] = t[:-1]
-        prev[0] = 0 if last_t is None else last_t
-        no_prev = np.zeros(k, dtype=bool)
-        no_prev[0] = last_t is None
-        cols = {"user": np.full(k, user, dtype=object), "unix_time": t, "tie": buf["tie"][ready],
-                "amt": amt, "amt_raw": raw}
-        for c in PASS:
-            cols[c] = buf[c][ready]
-        cols["_prior_n"] = n + np.arange(k, dtype="int64")
-        cols["_prev_t"] = pd.arrays.IntegerArray(prev, no_prev)
-        cols["_prior_sum"] = s + csum
-        cols["_prior_cnt"] = (nn + ccnt).astype("int64")
-        out = pd.DataFrame(cols)
-        n += k
-        s += float(vals.sum())
-        nn += int(valid.sum())
-        last_t = int(t[-1])
-    if k < len(order):
-        rest = order[k:]
-        state.update((n, s, nn, last_t, *(buf[c][rest].tolist() for c in COLS)))
-        state.setTimeoutTimestamp(max(int(t_sorted[k]) * 1000, wm_ms + 1))
-    else:
-        state.update((n, s, nn, last_t, *none))
-    if out is not None:
-        yield out
-
-
-def stream_state_features(stream: DataFrame, delay_seconds: int = 0) -> DataFrame:
+        valid = ~np.isnan(amt)
+        value = np.where(valid, amt.astype("float64"), 0.0)
+        t = rows["unix_time"].to_numpy()
+        k = len(t)
+        prior_n, prev_t, prior_cnt = (np.empty(k, np.int64) for _ in range(3))
+        prior_sum, first = np.empty(k), np.zeros(k, bool)
+        edges = np.append(np.flatnonzero(np.append(True, user[1:] != user[:-1])), k)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):     # one card each
+            card = (names[user[a]],)
+            past = self.past.getValue(card)
+            n, s, nn, last_t = past if past is not None else (0, 0.0, 0, None)
+            prior_n[a:b] = n + np.arange(b - a)
+            sums, counts = np.cumsum(value[a:b]), np.cumsum(valid[a:b])
+            prior_sum[a:b] = s + (sums - value[a:b])
+            prior_cnt[a:b] = nn + counts - valid[a:b]
+            prev_t[a + 1:b] = t[a:b - 1]
+            prev_t[a], first[a] = (0, True) if last_t is None else (last_t, False)
+            self.past.updateValue(card, (int(n + b - a), float(s + sums[-1]), int(nn + counts[-1]), int(t[b - 1])))
+        out = {"user": rows["user"].to_pandas(), "unix_time": t, "tie": rows["tie"].to_numpy(), "amt": amt, "amt_raw": raw}
+        out |= {c: rows[c].to_pandas() for c in PASS}
+        out |= {"_prior_n": prior_n, "_prev_t": pd.arrays.IntegerArray(prev_t, first), "_prior_sum": prior_sum, "_prior_cnt": prior_cnt}
+        return pd.DataFrame(out)
+
+
+def stream_state_features(stream: DataFrame, delay_seconds: int = 0, shards: int | None = None) -> DataFrame:
     """L1/L4: per-card causal state columns on a stream (same contract as ``causal_pass``).
 
-    B5: a record without ``cc_num`` is keyed by its ``user_id``, else by 'unknown'.
+    B5: a record without ``cc_num`` is keyed by its ``user_id``, else by 'unknown'. ``shards`` keys of state (default: two for
+    each shuffle partition); a query must be restarted with the number it was begun with.
     """
     from ..session import ship_package
-    ship_package(stream.sparkSession)
-    x = stream.withColumn("user", card_key(stream))
-    return (x.withWatermark("event_time", f"{int(delay_seconds)} seconds")
-             .groupBy("user")
-             .applyInPandasWithState(_release, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    spark = stream.sparkSession
+    ship_package(spark)
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = stream.withColumn("user", card_key(stream)).withWatermark("event_time", f"{int(delay_seconds)} seconds")
+    x = x.select(F.pmod(F.hash("user"), F.lit(shards)).alias("shard"), "event_time", *COLS)
+    return x.groupBy("shard").transformWithStateInPandas(CausalState(), OUT_SCHEMA, "Append", "EventTime")
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Drop stream bookkeeping (sentinel cards) from a stream sink read back as a table."""
-    from .replay import SENTINEL_CARD
+    """A stream sink read back as a table, without the end markers of a replay."""
     return df.where(F.col("user") != SENTINEL_CARD)
