@@ -4,12 +4,15 @@ batch, so the oracles are the batch SQL."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.adapters import tx_events
 from ..streaming.jobs import run_stream
-from ..streaming.replay import write_replay
+from ..streaming.replay import STREAM_TX, write_replay
+from ..streaming.shards import read_shards, write_shards
 from ..streaming.stateful import finalize
 from . import oracle_sql as O
 from .catalog import _feat_sql, _memo, processed, register, with_sql
@@ -55,3 +58,29 @@ def q_stream_alerts(spark, sf):
     run = _run(spark, sf)
     a = spark.read.parquet(run.alerts)
     return present(a.select("alert_id", "card_id", "score", F.col("decision.action").alias("action")))
+
+
+SHARD_ROWS = 2000       # records of a shard in the query below, about: 20 polls at any size
+
+
+@register("shard_stream", with_sql(O.TX, "SELECT " + ", ".join(f.name if f.name != "user_id" else "NULL AS user_id" for f in STREAM_TX.fields) + " FROM tx"))
+def q_shard_stream(spark, sf):
+    """Transactions written as shards and polled to their ends, at most 100 records of a shard at a time; the query is
+    stopped after some polls and started again from its checkpoint, and no record is lost or read twice."""
+    base, tx = scratch_path(spark, "shards"), tx_events(spark, sf)
+    write_shards(tx, f"{base}/in", max(4, -(-tx.count() // SHARD_ROWS)))
+
+    def start():
+        rows = read_shards(spark, f"{base}/in", starting="earliest").drop("event_time")
+        return rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").start(f"{base}/out")
+
+    first = start()
+    while first.isActive and (first.lastProgress is None or first.lastProgress.batchId < 3):
+        time.sleep(0.1)
+    first.stop()
+    again = start()
+    again.processAllAvailable()
+    again.stop()
+    if again.lastProgress is None or again.lastProgress.batchId <= 3:
+        raise RuntimeError("the second query did not go on from the first one's checkpoint")
+    return spark.read.parquet(f"{base}/out").withColumn("user_id", F.col("user_id").cast("int"))

@@ -47,3 +47,100 @@ def test_missing_card_is_keyed_by_user(spark):
     q.awaitTermination()
     keys = {r["user"] for r in finalize(spark.table("b5")).select("user").distinct().collect()}
     assert {k[:1] == "u" for k in keys} == {True, False}
+
+
+def test_alerts_are_written_while_the_stream_runs(spark):
+    """Alerts of a feature batch are there before the batch after the next one is begun."""
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from riskflow.plans.build import build_processed
+    tx = tx_events(spark, SF)
+    src = scratch_path(spark, "replay-test")
+    info = write_replay(tx, src, files=5)
+    run = run_stream(spark, src, build_processed(tx, materialize=False), 0.02, metric_delay_seconds=info["span"] + 1, pace_seconds=8.0, shards=8)
+    starts = sorted(datetime.fromisoformat(b["start"].replace("Z", "+00:00")).timestamp() for b in run.batches if b["rows"])
+    stamp = F.unix_millis("_metadata.file_modification_time") / 1000.0
+    written = spark.read.parquet(run.features).select("tie", stamp.alias("feature_at"))
+    alerts = spark.read.parquet(run.alerts).select(F.col("alert_id").alias("tie"), stamp.alias("alert_at"))
+    rows = alerts.join(written, "tie").collect()
+    assert len(rows) == alerts.count() > 50
+    batches = set()
+    for r in rows:
+        batch = sum(s <= r["feature_at"] for s in starts) - 1
+        batches.add(batch)
+        if batch + 2 < len(starts):
+            assert r["alert_at"] < starts[batch + 2]
+    assert len(batches) >= 3
+
+
+def test_state_of_hot_cards_ties_and_long_waits(spark):
+    """A card with most rows, equal times, null amounts and rows that wait over several batches, in few and in many shards."""
+    from pyspark.sql import functions as F
+
+    from riskflow.operators.features import finish_features
+    from riskflow.streaming.replay import read_stream
+    from riskflow.streaming.stateful import stream_state_features
+    tx = (tx_events(spark, SF).withColumn("cc_num", F.when(F.col("tie") % 3 == 0, F.lit("hot")).otherwise(F.col("cc_num")))
+          .withColumn("unix_time", (F.col("unix_time") / 5000).cast("long") * 5000).withColumn("amt", F.when(F.col("tie") % 7 != 0, F.col("amt"))))
+    want = causal_features(with_user(tx)).select(*COLS).orderBy("tie").collect()
+    for shards, late in ((1, 0), (50, 4)):
+        src = scratch_path(spark, "replay-test")
+        info = write_replay(tx, src, files=6, late_every=late, late_by=2)
+        feats = finish_features(stream_state_features(read_stream(spark, src, 1), (3 * info["span"] + 1) if late else 0, shards))
+        name = f"state{shards}"
+        (feats.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start()).awaitTermination()
+        assert finalize(spark.table(name)).select(*COLS).orderBy("tie").collect() == want
+
+
+def test_alarm_stream_equals_batch(spark):
+    """Quiet and missing periods break a row of breaches; the stream sees several batches."""
+    from pyspark.sql import functions as F
+
+    from riskflow.streaming.rate import alarm, alarm_stream, alert_rate
+    flags = {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1, 11: 1, 20: 1}       # period 7 and 12-19 have no points
+    rows = [(60 * p + s, bool(f) and s != 7) for p, f in flags.items() for s in (0, 7, 29, 31, 59)]
+    path = scratch_path(spark, "alarm-test")
+    for i in range(4):
+        part = [r for r in rows if r[0] // 400 == i] + ([(10_000, False), (20_000, False)][i - 2:i - 1] if i > 1 else [])
+        spark.createDataFrame(part, "unix_time long, flag boolean").coalesce(1).write.mode("append").parquet(path)
+    read = spark.readStream.schema("unix_time long, flag boolean").option("maxFilesPerTrigger", 1).parquet(path)
+    found = alarm_stream(read.withColumn("event_time", F.timestamp_seconds("unix_time")), real=F.col("unix_time") < 5000)
+    (found.writeStream.format("memory").queryName("alarms").option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start()).awaitTermination()
+    batch = alarm(alert_rate(spark.createDataFrame(rows, "unix_time long, flag boolean")))
+    assert sorted(tuple(r) for r in spark.table("alarms").collect()) == sorted(tuple(r) for r in batch.collect())
+    assert sorted(r["period"] for r in batch.collect()) == [120, 180, 600, 660]
+
+
+def test_shards_start_at_their_ends_and_take_few_records(spark, tmp_path):
+    import json
+
+    from riskflow.streaming.shards import read_shards
+
+    def add(shard, numbers, end="\n"):
+        with open(tmp_path / "in" / shard, "a") as f:
+            f.write("\n".join(json.dumps({"cc_num": shard, "unix_time": n, "tie": n, "amt": 1.5}) for n in numbers) + end)
+
+    (tmp_path / "in").mkdir()
+    add("a.json", range(50))
+    add("_mark", range(9))
+
+    def start():
+        return (read_shards(spark, str(tmp_path / "in"), records=10).writeStream.format("parquet")
+                .option("checkpointLocation", str(tmp_path / "ckpt")).start(str(tmp_path / "out")))
+
+    q = start()
+    q.processAllAvailable()                             # nothing: a new query starts at the ends
+    add("a.json", range(50, 75))
+    add("b.json", range(100, 117), end="")              # its last line has no end yet
+    q.processAllAvailable()
+    assert max(p.numInputRows for p in q.recentProgress) == 20
+    q.stop()
+    add("b.json", [], end="\n")
+    add("b.json", range(117, 130))
+    q = start()
+    q.processAllAvailable()
+    q.stop()
+    got = [r["tie"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [*range(50, 75), *range(100, 130)]
