@@ -27,7 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 HOT_ROWS = 2_000_000        # a card above this many rows is split into range chunks
 CHUNK_ROWS = 500_000        # target rows per chunk of a hot card
@@ -65,15 +65,29 @@ def _tail(arr: Column, n: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - F.lit(n - 1), F.lit(1)), F.lit(n))
 
 
+def near_targets(x: DataFrame, w: WindowSpec, targets: Column, seq_len: int) -> DataFrame:
+    """The rows that the windows of target rows reach: those with a target among themselves and the next ``seq_len - 1`` rows.
+
+    The look-ahead runs over the partitions and order of the windows to come, so it adds neither a shuffle nor a sort. The
+    last rows of a hot key's chunk stay, as the targets that they belong to may be in the next chunk.
+    """
+    ahead = F.max(F.coalesce(targets, F.lit(False))).over(w.rowsBetween(0, seq_len - 1))
+    last_of_chunk = (F.col("_chunk") > 0) & (F.count(F.lit(1)).over(w.rowsBetween(0, seq_len - 1)) < seq_len)
+    return x.withColumn("_near", ahead | last_of_chunk).where("_near").drop("_near")
+
+
 def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_time",
                 value: str | None = None, vec: str | None = None, seq_len: int | None = None,
                 hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
-                carry_broadcast_max: int = CARRY_BROADCAST_MAX) -> DataFrame:
+                carry_broadcast_max: int = CARRY_BROADCAST_MAX, targets: Column | None = None) -> DataFrame:
     """Add causal per-key columns, each computed from strictly earlier rows of the same key:
 
     ``_prior_n`` rows before, ``_prev_t`` previous time (null on the first row),
     with ``value``: ``_prior_sum`` / ``_prior_cnt`` over non-null values before,
     with ``vec`` and ``seq_len``: ``_win``, the last ``seq_len`` vectors ending at the row.
+
+    With ``targets`` (a condition on rows) only target rows are returned, with ``_win`` alone: ``near_targets`` cuts the rows
+    before the windows are collected.
     """
     x, n_chunks = _chunked(df, key, order, hot_rows, chunk_rows)
     has_hot = n_chunks > 0
@@ -84,7 +98,7 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
         cols += [F.sum(value).over(before).alias("_lsum"), F.count(value).over(before).alias("_lcnt")]
     if vec:
         cols.append(F.collect_list(vec).over(w.rowsBetween(-(seq_len - 1), 0)).alias("_lwin"))
-    local = x.select("*", *cols)
+    local = (x if targets is None else near_targets(x, w, targets, seq_len)).select("*", *cols)
 
     if has_hot:
         # chunk summaries read the hot rows only (not the windowed table, which would repeat
@@ -137,4 +151,7 @@ def causal_pass(df: DataFrame, key: str, order: Sequence[str], t: str = "unix_ti
         out = out.withColumn("_win", F.col("_lwin"))
     drop = [c for c in ("_rn", "_lprev_t", "_lsum", "_lcnt", "_lwin", "_follow", "_chunk",
                         "_carry_n", "_carry_t", "_carry_sum", "_carry_cnt", "_carry_tail") if c in out.columns]
+    if targets is not None:                                     # counts and sums over the cut rows mean nothing
+        out = out.where(targets)
+        drop += [c for c in ("_prior_n", "_prev_t", "_prior_sum", "_prior_cnt") if c in out.columns]
     return out.drop(*drop)

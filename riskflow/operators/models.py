@@ -119,19 +119,52 @@ def train_logreg(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: st
     return lr.fit(data)
 
 
+def logreg_gradient(df: DataFrame, cols: Sequence[str], coefficients: Sequence[float], intercept: float, y: str = "y",
+                    split_col: str = "split") -> DataFrame:
+    """H6's optimality: ``feature, at_zero, at_fit``, the partial derivatives of the weighted objective on TRAIN.
+
+    The objective is the mean of the balanced log losses plus ``|b|^2 / (2 n)``; its derivatives vanish at the fit. One
+    aggregate over the rows; the intercept's row is named ``(intercept)``.
+    """
+    train = df.where(F.col(split_col) == TRAIN)
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")).first()
+    n, pos = int(size["n"]), int(size["pos"] or 0)
+    label = F.col(y).cast("double")
+    weight = F.when(F.col(y) == 1, F.lit(n / (2.0 * max(pos, 1)))).otherwise(F.lit(n / (2.0 * max(n - pos, 1))))
+    z = F.lit(float(intercept))
+    for c, b in zip(cols, coefficients, strict=True):
+        z = z + F.lit(float(b)) * F.col(c).cast("double")
+    terms = [*((c, F.col(c).cast("double"), float(b)) for c, b in zip(cols, coefficients, strict=True)), ("(intercept)", F.lit(1.0), 0.0)]
+    aggs = []
+    for i, (_, x, b) in enumerate(terms):
+        aggs += [(F.sum(weight * (F.lit(0.5) - label) * x) / n).alias(f"zero{i}"),
+                 ((F.sum(weight * (1 / (1 + F.exp(-z)) - label) * x) + b) / n).alias(f"fit{i}")]
+    stack = ", ".join(f"'{name}', zero{i}, fit{i}" for i, (name, _, _) in enumerate(terms))
+    return train.agg(*aggs).selectExpr(f"stack({len(terms)}, {stack}) as (feature, at_zero, at_fit)")
+
+
+def staged_losses(model, df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split") -> list[float]:
+    """H7's progress: the weighted mean log loss on TRAIN after each tree of a fitted model, one number per tree."""
+    train = _gbt_data(df, cols, y, split_col)
+    return list(model.evaluateEachIteration(train))
+
+
 def train_gbt(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split", trees: int = 400,
               depth: int = 6, rate: float = 0.05, seed: int = 42):
     """H7: boosted trees with positives weighted by negatives / max(positives, 1), fit on TRAIN."""
     from pyspark.ml.classification import GBTClassifier
+    gbt = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_w", maxIter=trees, maxDepth=depth,
+                        stepSize=rate, seed=seed)
+    return gbt.fit(_gbt_data(df, cols, y, split_col))
+
+
+def _gbt_data(df: DataFrame, cols: Sequence[str], y: str, split_col: str) -> DataFrame:
     train = df.where(F.col(split_col) == TRAIN)
     c = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")).first()
     n, pos = int(c["n"]), int(c["pos"] or 0)
     spw = (n - pos) / max(pos, 1)
-    data = _assembled(train.withColumn("_w", F.when(F.col(y) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
+    return _assembled(train.withColumn("_w", F.when(F.col(y) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
                            .withColumn("_label", F.col(y).cast("double")), cols)
-    gbt = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_w", maxIter=trees, maxDepth=depth,
-                        stepSize=rate, seed=seed)
-    return gbt.fit(data)
 
 
 def model_scores(model, df: DataFrame, cols: Sequence[str]) -> DataFrame:

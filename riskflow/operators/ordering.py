@@ -175,6 +175,39 @@ def exact_kth(df: DataFrame, col: str, ks) -> tuple[int, list]:
     return n, [got[(None, k)] for k in ks]
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` first rows by ``order`` (numbers; ascending, nulls first, NaN last), without sorting the rows or passing them through one task.
+
+    The n-th row's values are found column by column: the k-th smallest of the first column by counting bisection, then,
+    among the rows that share it, the k-th of the next with what is left of n. A filter keeps what lies before or at that
+    row. ``order`` must tell all rows apart; rows equal in all of it stay or go together.
+    """
+    if n <= 0:
+        return df.limit(0)
+    same, rest, before = F.lit(True), n, F.lit(False)
+    for name in order:
+        c = F.col(name)
+        real = ranked(df, name)
+        among = df.where(same)
+        size = among.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(c.isNull(), 1)).alias("null"), F.count(F.when(real, 1)).alias("real")).first()
+        if rest >= size["n"]:                                   # only before the first column is through: all rows there are
+            return df.where(before | same)
+        if rest <= size["null"]:
+            at = c.isNull()
+        elif rest <= size["null"] + size["real"]:
+            value = order_stats(among, name, [(None, rest - size["null"])])[(None, rest - size["null"])]
+            at = c.eqNullSafe(F.lit(value).cast(df.schema[name].dataType))
+            lower = c.isNull() | (real & (c < F.lit(value)))
+            before = before | (same & lower)
+            rest -= among.where(lower).count()
+        else:
+            at = c.isNotNull() & ~real
+            before = before | (same & (c.isNull() | real))
+            rest -= size["null"] + size["real"]
+        same = same & at
+    return df.where(before | same)
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles (numpy 'linear', Spark ``percentile``) computed exactly.
 

@@ -1,14 +1,14 @@
 """Class-conditioned triple PCA fitted on TRAIN rows only.
 
-One aggregate pass over train computes, per class, n, the feature sums and the sums of pairwise
-products (d + d(d+1)/2 numbers); the "all" subset adds the two classes' moments. Only these
-moments reach the driver, where the d x d covariance of each subset is diagonalised; the
+One pass over train computes, per class, the merged centred co-moments of all feature pairs; the "all" subset merges the two
+classes' moments. Only these moments reach the driver, where the d x d covariance of each subset is diagonalised; the
 projection of every row is a set of column expressions with literal loadings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schema import TRAIN
 from .encode import apply_scaler, collect_scaler, fit_scaler
+from .moments import CoMoments, co_moments
 
 EPS = 1e-8          # fixed value: added to the train std before standardising
 VARIANCE = 0.9      # fixed value: cumulative explained variance kept per subspace
@@ -30,32 +31,15 @@ def standardise(df: DataFrame, cols: Sequence[str], split_col: str = "split") ->
 
 
 def subset_moments(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split") -> dict:
-    """per-subset (n, mean vector, sample covariance) from one grouped aggregate over train."""
-    xs = [f"xs_{c}" for c in cols]
-    d = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(xs)]
-    aggs += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    rows = df.where(F.col(split_col) == TRAIN).groupBy(F.col(y).cast("int").alias("_y")).agg(*aggs).collect()
-    raw = {}
-    for r in rows:
-        s = np.array([r[f"s{i}"] for i in range(d)], dtype=float)
-        p = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                p[i, j] = p[j, i] = r[f"p{i}_{j}"]
-        raw[int(r["_y"])] = (int(r["n"]), s, p)
-    parts = {"legit": [raw[0]] if 0 in raw else [], "fraud": [raw[1]] if 1 in raw else [],
-             "all": list(raw.values())}
+    """per-subset (n, mean vector, sample covariance) from one pass over train."""
+    found = co_moments(df.where(F.col(split_col) == TRAIN), [f"xs_{c}" for c in cols], y)
+    parts = {"legit": [found[0]] if 0 in found else [], "fraud": [found[1]] if 1 in found else [], "all": list(found.values())}
     out = {}
-    for tag, ms in parts.items():
-        n = sum(m[0] for m in ms)
-        if n < 2:
-            raise ValueError(f"PCA subset {tag!r} needs at least 2 train rows, has {n}")
-        s = sum(m[1] for m in ms)
-        p = sum(m[2] for m in ms)
-        mean = s / n
-        cov = (p - n * np.outer(mean, mean)) / (n - 1)
-        out[tag] = (n, mean, cov)
+    for tag, states in parts.items():
+        if sum(int(s.n.max()) for s in states) < 2:
+            raise ValueError(f"PCA subset {tag!r} needs at least 2 train rows")
+        s = reduce(CoMoments.merged, states)
+        out[tag] = (int(s.n.max()), np.diag(s.mean).copy(), s.covariance())
     return out
 
 
@@ -64,6 +48,11 @@ def components(cov: np.ndarray, variance: float = VARIANCE) -> np.ndarray:
 
     The sign of each component is fixed so its largest-magnitude loading is positive.
     """
+    return eigenpairs(cov, variance)[1]
+
+
+def eigenpairs(cov: np.ndarray, variance: float = VARIANCE) -> tuple[np.ndarray, np.ndarray]:
+    """All eigenvalues, largest first, and ``components``."""
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0.0, None), vecs[:, order]
@@ -74,7 +63,7 @@ def components(cov: np.ndarray, variance: float = VARIANCE) -> np.ndarray:
     for i in range(k):
         if comp[i, np.argmax(np.abs(comp[i]))] < 0:
             comp[i] = -comp[i]
-    return comp
+    return vals, comp
 
 
 def triple_pca(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split",
@@ -105,3 +94,30 @@ def moments_table(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: s
     rows = [(tag, cols[i], cols[j], float(mom[tag][2][i, j]))
             for tag in SUBSETS for i in range(len(cols)) for j in range(i, len(cols))]
     return df.sparkSession.createDataFrame(rows, "subset string, f1 string, f2 string, cov double")
+
+
+def eigen_check(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split", variance: float = VARIANCE) -> DataFrame:
+    """F3/F4 held against their definitions, one row per subset.
+
+    ``p1, p2, p3``: sums of the eigenvalues, their squares and cubes (the traces of the covariance's powers). ``residual``: the
+    largest entry of C v - lambda v. ``skew``: the largest entry of V V' - 1. ``enough``: the kept components explain more than
+    ``variance``; ``least``: one fewer do not. ``projected``: every projection's sample variance over the subset's train
+    rows, taken from the projected table, is its eigenvalue to four digits.
+    """
+    x, _ = standardise(df, cols, split_col)
+    moments = subset_moments(x, cols, y, split_col)
+    table, _ = triple_pca(df, cols, y, split_col, variance)
+    pairs = {tag: eigenpairs(moments[tag][2], variance) for tag in SUBSETS}
+    own = {"legit": F.col(y) == 0, "fraud": F.col(y) == 1, "all": F.lit(True)}
+    spread = table.where(F.col(split_col) == TRAIN).agg(*[F.var_samp(F.when(own[tag], F.col(f"pca_{tag}_{i}").cast("double"))).alias(f"{tag}_{i}")
+                                                          for tag, (_, comp) in pairs.items() for i in range(len(comp))]).first()
+    rows = []
+    for tag, (vals, comp) in pairs.items():
+        cov, k = moments[tag][2], len(comp)
+        share = np.cumsum(vals) / vals.sum()
+        residual = np.abs(cov @ comp.T - comp.T * vals[:k]).max()
+        skew = np.abs(comp @ comp.T - np.eye(k)).max()
+        near = all(abs(spread[f"{tag}_{i}"] - vals[i]) <= 1e-4 * vals[i] for i in range(k))
+        rows.append((tag, *(float((vals ** p).sum()) for p in (1, 2, 3)), float(residual), float(skew), bool(share[k - 1] > variance),
+                     bool(k == 1 or share[k - 2] <= variance), near))
+    return df.sparkSession.createDataFrame(rows, "subset string, p1 double, p2 double, p3 double, residual double, skew double, enough boolean, least boolean, projected boolean")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
+from .moments import co_moments
 from .ordering import exact_quantiles, ranked, running_totals
 
 LEAK_AUC = 0.95   # fixed value: single-feature AUC above this is a leakage alarm
@@ -112,11 +114,14 @@ def rate_by(tx: DataFrame, key, name: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every feature pair in one aggregate, long form (f1, f2, r)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
-    return row.selectExpr(f"stack({len(pairs)}, {stack}) as (f1, f2, r)")
+    """Pearson correlation of every feature pair from one pass of merged co-moments, long form (f1, f2, r).
+
+    A pair counts the rows in which both are present; r is null where a column does not vary.
+    """
+    states = co_moments(df, cols)
+    r = states[None].correlation() if states else np.full((len(cols), len(cols)), np.nan)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
 
 
 def feature_auc(df: DataFrame, cols: Sequence[str], y: str = "is_fraud") -> DataFrame:

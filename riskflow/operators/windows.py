@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SPLIT_CODE
@@ -16,31 +16,31 @@ ORDER = ("unix_time", "tie")
 
 def seq_windows(df: DataFrame, feature_cols: Sequence[str], seq_len: int, key: str = "user",
                 order: Sequence[str] = ORDER, out: str = "window", hot_rows: int = HOT_ROWS,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, targets: Column | None = None) -> DataFrame:
     """G1: the ``seq_len`` rows of the same card ending at each row, oldest first, zero-padded left.
 
     Vectors are assembled before collecting, so a null feature never drops a step
-    (``collect_list`` skips null elements, not arrays holding nulls).
+    (``collect_list`` skips null elements, not arrays holding nulls). ``targets``: windows of the rows that meet it alone.
     """
     if seq_len < 1:
         raise ValueError("seq_len must be >= 1")
     x = df.withColumn("_vec", assemble(feature_cols))
     y = causal_pass(x, key, order, t=order[0], vec="_vec", seq_len=seq_len,
-                    hot_rows=hot_rows, chunk_rows=chunk_rows)
+                    hot_rows=hot_rows, chunk_rows=chunk_rows, targets=targets)
     zero = F.array(*[F.lit(0.0).cast("float") for _ in feature_cols])
     pad = F.array_repeat(zero, F.lit(seq_len) - F.size("_win"))
     return y.withColumn(out, F.concat(pad, F.col("_win"))).drop("_vec", "_win", "_prior_n", "_prev_t")
 
 
 def split_windows(df: DataFrame, which: str, feature_cols: Sequence[str], seq_len: int, **kw) -> DataFrame:
-    """G3 (and G2): windows are built over the full table, then targets are filtered.
+    """G3 (and G2): windows of one split's rows, with context from the full table.
 
-    A val/test window may reach back into earlier train rows of its card; the filter stays above
-    the Window node, which is the intended meaning.
+    A val/test window may reach back into earlier train rows of its card. Rows that no target's window reaches are
+    dropped by a look-ahead before the windows are collected.
     """
     if which not in SPLIT_CODE:
         raise ValueError(f"which must be one of {list(SPLIT_CODE)}, got {which!r}")
-    return seq_windows(df, feature_cols, seq_len, **kw).where(F.col("split") == SPLIT_CODE[which])
+    return seq_windows(df, feature_cols, seq_len, targets=F.col("split") == SPLIT_CODE[which], **kw)
 
 
 def pos_weight(df: DataFrame, y: str = "y") -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..operators.models import model_scores, sequence_scores, tcn_init, train_gbt, train_logreg
-from ..operators.pca import moments_table, triple_pca
+from ..operators.models import logreg_gradient, model_scores, sequence_scores, staged_losses, tcn_init, train_gbt, train_logreg
+from ..operators.pca import eigen_check, moments_table, triple_pca
 from ..operators.scoring import score
-from ..operators.windows import split_windows
+from ..operators.windows import seq_windows, split_windows
 from ..schema import SEQ_LEN
 from ..session import scratch_path
 from ..sources.adapters import tx_events
-from ..sources.io import RUN_METRICS, load_processed, read_fitted, read_run_metrics, write_fitted, write_processed
+from ..sources.io import RUN_METRICS, load_processed, read_fitted, read_run_metrics, write_bucketed, write_fitted, write_processed
 from . import oracle_sql as O
 from .build import build_processed, feature_columns
-from .catalog import _memo, processed, register, with_sql
+from .catalog import ORACLE, _exploded, _memo, processed, register, with_sql
 from .present import present
 
 RND = O.RND
@@ -55,6 +58,26 @@ def q_pca_projection(spark, sf):
     return present(out.select("tie", "split", *names), {c: 4 for c in names})
 
 
+def _eigen_sql() -> str:
+    cov = ORACLE["pca_moments"].rsplit("SELECT subset, '", len(O.NUMERIC) * (len(O.NUMERIC) + 1) // 2)[0]
+    sel = "\nUNION ALL ".join(f"SELECT subset, {i} AS i, {j} AS j, covar_samp(x_{a}, x_{b}) AS c FROM subs GROUP BY subset"
+                              for i, a in enumerate(O.NUMERIC) for j, b in enumerate(O.NUMERIC))
+    return f"""{cov.rstrip()},
+m AS ({sel})
+SELECT a.subset, a.p1, b.p2, c.p3, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS skew, true AS enough, true AS least, true AS projected FROM
+  (SELECT subset, {RND('sum(c)', 4)} AS p1 FROM m WHERE i = j GROUP BY subset) a
+  JOIN (SELECT subset, {RND('sum(c * c)', 4)} AS p2 FROM m GROUP BY subset) b USING (subset)
+  JOIN (SELECT x.subset, {RND('sum(x.c * y.c * z.c)', 4)} AS p3 FROM m x JOIN m y ON x.subset = y.subset AND x.j = y.i
+        JOIN m z ON y.subset = z.subset AND y.j = z.i AND z.j = x.i GROUP BY x.subset) c USING (subset)"""
+
+
+@register("pca_residuals", _eigen_sql())
+def q_pca_residuals(spark, sf):
+    """eigenvalues against the traces of the covariance's powers, and what must hold of vectors and projections."""
+    found = eigen_check(processed(spark, sf).features, O.NUMERIC)
+    return present(found, {c: 4 for c in ("p1", "p2", "p3")})
+
+
 SCALED_COLS = ["tie", "split", *O.NUMERIC, *O.CODES]
 
 
@@ -76,6 +99,26 @@ def q_table_roundtrip(spark, sf):
     return present(t.select(*SCALED_COLS), {c: 4 for c in O.NUMERIC})
 
 
+BUCKET_ROWS = 2_000_000     # rows of a bucket, about
+
+
+def bucketed(spark, sf):
+    """The processed table in buckets by card, as a table of the catalog."""
+    def make():
+        p = processed(spark, sf)
+        name = f"processed_{uuid.uuid4().hex[:12]}"
+        buckets = max(8, -(-p.table.count() // BUCKET_ROWS))
+        write_bucketed(p.table.select("user", "unix_time", *SCALED_COLS), name, scratch_path(spark, "bucketed"), buckets)
+        return spark.table(name)
+    return _memo(spark, sf, "bucketed", make)
+
+
+@register("bucketed_windows", ORACLE["seq_windows"])
+def q_bucketed_windows(spark, sf):
+    """A3 + G1: windows over the processed table in buckets by card; the read path has no exchange."""
+    return _exploded(seq_windows(bucketed(spark, sf), feature_columns(processed(spark, sf)), SEQ_LEN))
+
+
 def _logreg(spark, sf, representation: str = "raw"):
     def make():
         p = processed(spark, sf) if representation == "raw" else _pca_processed(spark, sf)
@@ -101,12 +144,45 @@ def q_logreg_metrics(spark, sf):
 def q_gbt_metrics(spark, sf):
     """H7: boosted trees (400 x depth 6, rate 0.05, positives weighted neg/pos) on TRAIN; VAL-tuned
     threshold, metrics on TEST."""
-    p = processed(spark, sf)
-    cols = feature_columns(p)
-    model = train_gbt(p.table, cols)
+    p, cols, model = _gbt(spark, sf)
     return present(M.tune_and_report(model_scores(model, p.table, cols)))
 
 
+def _gbt(spark, sf):
+    def make():
+        p = processed(spark, sf)
+        cols = feature_columns(p)
+        return p, cols, train_gbt(p.table, cols)
+    return _memo(spark, sf, "gbt", make)
+
+
+def _gradient_sql() -> str:
+    cols = [*((c, q(c)) for c in O.NUMERIC + O.CODES), ("(intercept)", "1.0")]
+    parts = "\nUNION ALL ".join(
+        f"SELECT '{name}' AS feature, {RND(f'sum(w * (0.5 - y) * CAST({x} AS DOUBLE)) / count(*)', 4)} AS at_zero, CAST(0 AS DOUBLE) AS at_fit FROM wt"
+        for name, x in cols)
+    return with_sql(O.SCALED + """,
+wt AS (SELECT *, is_fraud AS y, CASE WHEN is_fraud = 1 THEN n / (2.0::DOUBLE * pos) ELSE n / (2.0::DOUBLE * (n - pos)) END AS w
+       FROM scaled, (SELECT count(*) AS n, sum(is_fraud) AS pos FROM scaled WHERE split = 0) WHERE split = 0)""", parts)
+
+
+@register("logreg_gradient", _gradient_sql())
+def q_logreg_gradient(spark, sf):
+    """H6: derivatives of the balanced, penalised objective on TRAIN at zero coefficients and at the fit, where they vanish."""
+    p, cols, model = _logreg(spark, sf)
+    g = logreg_gradient(p.table, cols, list(model.coefficients), model.intercept)
+    return present(g, {"at_zero": 4, "at_fit": 3})
+
+
+@register("gbt_staged_loss", "SELECT CAST(400 AS BIGINT) AS trees, CAST(0 AS BIGINT) AS rises, true AS better_than_none")
+def q_gbt_staged_loss(spark, sf):
+    """H7: the weighted training loss after each of the 400 trees never rises, and ends below that of no tree (2 ln 2)."""
+    p, cols, model = _gbt(spark, sf)
+    losses = staged_losses(model, p.table, cols)
+    rises = sum(b > a + 1e-12 for a, b in zip(losses, losses[1:], strict=False))
+    return spark.createDataFrame([(len(losses), rises, losses[-1] < 2 * math.log(2))], "trees long, rises long, better_than_none boolean")
+
+
 @register("udf_scores")
 def q_udf_scores(spark, sf):
     """H5: sequence-model forward pass (causal dilated convolutions, 64-64-64, kernel 3) over every

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookups as J
 from ..operators import report as R
-from ..operators.ordering import dense_index, global_positions
+from ..operators.ordering import dense_index, first_rows, global_positions
 from ..schema import SCORING_COLS
 from ..sources.adapters import tx_events
 from ..sources.tables import read_table
@@ -138,6 +138,13 @@ def q_firehose_head(spark, sf):
     return present(tx.orderBy("unix_time", "tie").limit(1000))
 
 
+@register("firehose_first", with_sql(O.TX, "SELECT cc_num, " + ", ".join(HIST_COLS) + ", tie FROM tx ORDER BY unix_time, tie LIMIT (SELECT count(*) // 2 FROM tx)"))
+def q_firehose_first(spark, sf):
+    """B4/A7 with a first-N limit of half the table: the N-th (time, tie) by bisection, then a filter; no task holds N rows."""
+    tx = tx_events(spark, sf).select("cc_num", *HIST_COLS, "tie")
+    return present(first_rows(tx, ["unix_time", "tie"], tx.count() // 2))
+
+
 # ---------------------------------------------------------------- report
 @register("overview", with_sql(O.TX, f"""
 SELECT count(*) AS rows, count(DISTINCT cc_num) AS cards, {RND('avg(CAST(is_fraud AS DOUBLE))')} AS fraud_rate FROM tx"""))

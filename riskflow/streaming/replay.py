@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import first_rows
 from ..session import checkpoint_dir
 
 # Label-free stream record (fixed schema, never inferred).
@@ -58,7 +59,7 @@ def write_replay(tx: DataFrame, path: str, files: int | None = None, limit: int
     checkpoint_dir(spark)
     x = tx.select(*[(F.col(f.name) if f.name in tx.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STREAM_TX.fields])
     if limit and limit > 0:
-        x = x.orderBy("unix_time", "tie").limit(limit)
+        x = first_rows(x, ("unix_time", "tie"), limit)
     n = x.count()
     files = files or max(MIN_FILES, -(-n // file_rows))
     # the range partitioner's partition is the file; cut out of the lineage, so every later pass sees the same ranges
