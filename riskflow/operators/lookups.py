@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +10,15 @@ from pyspark.sql.window import Window
 
 from ..functions.mathcols import round_half_up
 from ..schema import SCORING_COLS, TEST
+from ..session import checkpoint_dir
 from .causal import CHUNK_ROWS, HOT_ROWS, causal_pass
 from .ordering import group_kth, ranked
 
 ORDER = ("unix_time", "tie")
 TOP_CATEGORIES = 3
 RECENT_K = 5
+MAX_RECENT = 10_000                # rows of a card that one request may ask for; more is an error value
+K_STEP = 16                        # requests are answered in classes of k: up to 16, 256, 4096, ...
 HOT_DISTINCT = 2_000_000          # distinct values per key above which a median leaves the per-key window
 HOT_KEYS_BROADCAST_MAX = 1_000_000
 
@@ -58,39 +61,71 @@ def group_median(df: DataFrame, key: str, value: str, out: str = "median",
     return agg.select(key, ((F.col("_x1").cast("double") + F.col("_x2").cast("double")) / 2.0).alias(out))
 
 
-def top_values(df: DataFrame, key: str, col: str, k: int, out: str) -> DataFrame:
-    """The ``k`` most frequent values per key (count desc, value asc; nulls never count), comma-joined."""
-    c = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col(col).asc())
-    top = c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return top.groupBy(key).agg(
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_r", col))), lambda s: s[col])).alias(out))
+def card_profile(tx: DataFrame, hot_distinct: int = HOT_DISTINCT) -> DataFrame:
+    """Tx count, median / mean amount (2 dp), top-3 categories (an array), home state (mode, smallest on ties).
 
-
-def card_profile(tx: DataFrame) -> DataFrame:
-    """Tx count, median / mean amount (2 dp), top-3 categories, home state (mode, smallest on ties)."""
-    t = tx.withColumn("card_id", card_col(tx))
-    base = t.groupBy("card_id").agg(F.count(F.lit(1)).alias("tx_count"), F.avg("amt").alias("avg_amt"))
-    med = group_median(t, "card_id", "amt", "median_amt")
-    top = top_values(t, "card_id", "category", TOP_CATEGORIES, "top_categories")
-    st = t.where(F.col("state").isNotNull()).groupBy("card_id", "state").agg(F.count(F.lit(1)).alias("_n"))
-    sw = Window.partitionBy("card_id").orderBy(F.col("_n").desc(), F.col("state").asc())
-    home = st.withColumn("_r", F.row_number().over(sw)).where("_r = 1").select("card_id", F.col("state").alias("home_state"))
-    return (base.join(med, "card_id", "left").join(top, "card_id", "left").join(home, "card_id", "left")
-                .select("card_id", F.col("tx_count").cast("bigint").alias("tx_count"),
-                        round_half_up("median_amt", 2).alias("median_amt"), round_half_up("avg_amt", 2).alias("avg_amt"),
-                        F.coalesce("top_categories", F.lit("")).alias("top_categories"), "home_state"))
+    One aggregation over the grouping sets (card, amount), (card, category) and (card, state) counts all three at once,
+    partially before its shuffle, so a card costs one row per distinct value of each. Running counts and ranks over those
+    rows give the median, the top categories and the state. Amounts of a card with more than ``hot_distinct`` distinct ones
+    leave that window: their middle ranks come from ``group_kth``. A NaN amount counts as missing.
+    """
+    checkpoint_dir(tx.sparkSession)
+    amount = F.col("amt").cast("double")
+    x = tx.select(card_col(tx).alias("card_id"), F.when(~F.isnan(amount), amount).alias("amt"), "category", "state")
+    sets = x.groupingSets([["card_id", "amt"], ["card_id", "category"], ["card_id", "state"]], "card_id", "amt", "category", "state")
+    counted = sets.agg(F.count(F.lit(1)).alias("n"), F.grouping("amt").alias("_a"), F.grouping("category").alias("_c"))
+    kind = F.when(F.col("_a") == 0, 0).when(F.col("_c") == 0, 1).otherwise(2)
+    # cut out of the lineage: the check for hot cards and the profiles read the counts, not the rows
+    counted = counted.select("card_id", kind.alias("kind"), "amt", F.coalesce("category", "state").alias("text"), "n").checkpoint()
+    real_amount = (F.col("kind") == 0) & F.col("amt").isNotNull()
+    hot = counted.where(real_amount).groupBy("card_id").agg(F.count(F.lit(1)).alias("_d"), F.sum("n").alias("_n")).where(F.col("_d") > hot_distinct)
+    n_hot = hot.count()
+    rest = counted
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST_MAX else hot
+        rest = counted.where(~real_amount).unionByName(counted.where(real_amount).join(side.select("card_id"), "card_id", "left_anti"))
+    out = _profile_parts(rest)
+    if n_hot:
+        ranks = hot.select("card_id", F.explode(F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)).alias("k")).distinct()
+        kth = group_kth(x.join(side.select("card_id"), "card_id", "left_semi"), "card_id", "amt", ranks)
+        middle = kth.groupBy("card_id").agg(F.min("kth").alias("_x1"), F.max("kth").alias("_x2"))
+        sums = counted.where(F.col("kind") == 0).join(side.select("card_id"), "card_id", "left_semi").groupBy("card_id").agg(
+            F.sum("n").alias("_tx_count"), (F.sum(F.col("amt") * F.col("n")) / F.sum(F.when(real_amount, F.col("n")))).alias("_mean"))
+        out = out.join(middle.join(sums, "card_id"), "card_id", "left")
+        out = out.select("card_id", "tops", "home_state", *[F.coalesce(f"_{c}", c).alias(c) for c in ("x1", "x2", "tx_count", "mean")])
+    return out.select(
+        "card_id", F.col("tx_count").cast("bigint").alias("tx_count"), round_half_up((F.col("x1") + F.col("x2")) / 2.0, 2).alias("median_amt"),
+        round_half_up("mean", 2).alias("avg_amt"), F.transform("tops", lambda v: v["text"]).alias("top_categories"), "home_state")
+
+
+def _profile_parts(counted: DataFrame) -> DataFrame:
+    """Per card of ``(card_id, kind, amt, text, n)`` rows, one per distinct value: sums, middle amounts, top texts."""
+    # amounts in their order and texts by count; nulls last, where neither a middle nor a rank is looked for
+    one = Window.partitionBy("card_id", "kind")
+    along = one.orderBy(F.col("amt").asc_nulls_last(), F.col("text").isNull(), F.desc("n"), F.asc("text"))
+    amount = (F.col("kind") == 0) & F.col("amt").isNotNull()
+    real = F.when(amount, F.col("n")).otherwise(0)
+    x = counted.repartition("card_id").select(
+        "*", F.row_number().over(along).alias("rank"), F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(real).over(one).alias("real"))
+    low, high = F.floor((F.col("real") + 1) / 2), F.floor(F.col("real") / 2) + 1
+    named = F.col("text").isNotNull()
+    top = F.when((F.col("kind") == 1) & named & (F.col("rank") <= TOP_CATEGORIES), F.struct("rank", "text"))
+    return x.groupBy("card_id").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("tx_count"),
+        (F.sum(F.when(amount, F.col("amt") * F.col("n"))) / F.max(F.when(amount, F.col("real")))).alias("mean"),
+        F.min(F.when(amount & (F.col("upto") >= low), F.col("amt"))).alias("x1"), F.min(F.when(amount & (F.col("upto") >= high), F.col("amt"))).alias("x2"),
+        F.array_sort(F.collect_list(top)).alias("tops"), F.max(F.when((F.col("kind") == 2) & named & (F.col("rank") == 1), F.col("text"))).alias("home_state"))
 
 
 def profile_requests(requests: DataFrame, profiles: DataFrame, key: str = "card_id") -> DataFrame:
-    """Profile for each requested id; unknown ids get zeros, empty list and null state."""
+    """Profile for each requested id; unknown ids get zeros, an empty array and a null state."""
     r = requests.select(F.col(key).cast("string").alias("card_id")).distinct()
     j = r.join(profiles, "card_id", "left")
     return j.select("card_id",
                     F.coalesce("tx_count", F.lit(0)).cast("bigint").alias("tx_count"),
                     F.coalesce("median_amt", F.lit(0.0)).alias("median_amt"),
                     F.coalesce("avg_amt", F.lit(0.0)).alias("avg_amt"),
-                    F.coalesce("top_categories", F.lit("")).alias("top_categories"),
+                    F.coalesce("top_categories", F.array().cast("array<string>")).alias("top_categories"),
                     "home_state")
 
 
@@ -170,7 +205,8 @@ def sample_test(tx_split: DataFrame, n: int = 1, seed: int = 0, fraud_only: bool
 def validate_requests(req: DataFrame) -> DataFrame:
     """An ``error`` value per lookup request instead of a failure.
 
-    Columns used when present: card_id, k, category, state. Rows with an error skip the lookups.
+    Columns used when present: card_id, k, category, state. Rows with an error skip the lookups. The texts are fixed
+    values but for the one on ``MAX_RECENT``, a bound of ours.
     """
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     err = F.lit(None).cast("string")
@@ -179,6 +215,7 @@ def validate_requests(req: DataFrame) -> DataFrame:
         checks.append((blank("card_id"), "card_id must be a non-empty string."))
     if "k" in req.columns:
         checks.append((F.col("k").isNull() | (F.col("k") <= 0), "k must be a positive integer."))
+        checks.append((F.col("k") > MAX_RECENT, f"k must be at most {MAX_RECENT}."))
     if "category" in req.columns:
         checks.append((blank("category"), "category must be a non-empty string."))
     if "state" in req.columns:
@@ -188,26 +225,49 @@ def validate_requests(req: DataFrame) -> DataFrame:
     return req.withColumn("error", err)
 
 
+def recent_arrays(tx: DataFrame, asked: DataFrame, *fields: str) -> DataFrame:
+    """``card_id, recent``: each asked card's last ``k`` rows (``asked``: card_id, k, one row per card), oldest first.
+
+    Cards are taken in classes of k, so that every task keeps at most ``K_STEP`` times the rows that a card was asked
+    for, whatever the largest k. A row is a struct of its number (1..k), ``unix_time``, ``amt`` (2 dp) and ``fields``.
+    """
+    classes = [r[0] for r in asked.select(F.ceil(F.log(float(K_STEP), F.greatest("k", F.lit(2)))).alias("c")).distinct().orderBy("c").collect()]
+    w = Window.partitionBy("card_id").orderBy(*[F.col(c).desc() for c in ORDER])
+    parts = []
+    for c in classes:
+        of_class = asked.where(F.ceil(F.log(float(K_STEP), F.greatest("k", F.lit(2)))) == c)
+        own = tx.join(of_class.select("card_id"), "card_id", "left_semi")
+        last = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(K_STEP ** int(c), MAX_RECENT))
+        parts.append(last.join(of_class, "card_id").where(F.col("_r") <= F.col("k")))
+    if not parts:
+        parts = [tx.limit(0).withColumn("_r", F.lit(0)).withColumn("k", F.lit(0))]
+    rows = reduce(DataFrame.unionByName, [p.select("card_id", "_r", *ORDER, "amt", *fields) for p in parts])
+    item = F.struct(*ORDER, "amt", *fields)
+    held = rows.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    return held.select("card_id", F.transform("_rows", lambda v, i: F.struct(
+        (i + 1).cast("long").alias("k"), v["unix_time"].alias("unix_time"), round_half_up(v["amt"], 2).alias("amt"), *[v[f].alias(f) for f in fields])).alias("recent"))
+
 
 def answer_requests(req: DataFrame, tx: DataFrame) -> DataFrame:
     """J8 end to end: requests ``(card_id, k, category, state)`` with their ``error`` or the three lookups' answers.
 
     Good rows get the profile columns, ``recent`` (the card's last ``k`` rows, oldest first) and ``fraud_rate``; of
-    the bad ones these are null. The history is cut to the requested cards before it is aggregated.
+    the bad ones these are null. The history is cut to the requested cards before it is aggregated; a card's rows are
+    collected once, as many as its largest request asks for.
     """
     checked = validate_requests(req)
     good = checked.where(F.col("error").isNull())
-    cards = good.select("card_id").distinct()
-    own = tx.withColumn("card_id", card_col(tx)).join(cards, "card_id", "left_semi")
-    most = good.agg(F.max("k")).first()[0] or 0
-    last = recent_transactions(own, int(most))
-    rows = last.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("k", "unix_time", "amt", "category", "state"))).alias("_last"))
-    out = (good.join(profile_requests(cards, card_profile(own)), "card_id", "left").join(rows, "card_id", "left"))
+    asked = good.groupBy("card_id").agg(F.max("k").cast("long").alias("k"))
+    own = tx.withColumn("card_id", card_col(tx)).join(asked.select("card_id"), "card_id", "left_semi")
+    rows = recent_arrays(own, asked, "category", "state").withColumnRenamed("recent", "_last")
+    out = (good.join(profile_requests(asked, card_profile(own)), "card_id", "left").join(rows, "card_id", "left"))
     out = segment_lookup(out, segment_rates(tx))
-    # the card's rows are numbered oldest first, so the last k of them are the array's tail
     empty = F.array().cast(rows.schema["_last"].dataType)
     held = F.coalesce(F.col("_last"), empty)
-    tail = F.slice(held, F.greatest(F.size(held) - F.col("k").cast("int") + 1, F.lit(1)), F.col("k").cast("int"))
-    out = out.withColumn("recent", tail).drop("_last")
+    k = F.col("k").cast("int")
+    tail = F.slice(held, F.greatest(F.size(held) - k + 1, F.lit(1)), k)
+    first = F.greatest(F.size(held) - k, F.lit(0))
+    # a smaller request of the card gets the end of its rows, numbered from 1
+    out = out.withColumn("recent", F.transform(tail, lambda v: v.withField("k", v["k"] - first))).drop("_last")
     bad = checked.where(F.col("error").isNotNull())
     return out.unionByName(bad, allowMissingColumns=True)

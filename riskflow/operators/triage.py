@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.keys import card_key
 from ..schema import BLOCK_THRESHOLD, REVIEW_THRESHOLD
 from ..session import checkpoint_dir
-from .lookups import RECENT_K, card_profile, recent_transactions, segment_rates
+from .lookups import RECENT_K, card_profile, recent_arrays, segment_rates
 
 ACTIONS = ("block", "review", "allow")  # fixed values
 FALLBACK_RATIONALE = "fallback"
@@ -120,29 +120,22 @@ def resolve(alerts: DataFrame, key: str = "alert_id", structured: DataFrame | No
     return out.drop("_structured", "_extracted")
 
 
-def _only(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
-    """The rows of ``df`` whose ``cols`` occur in ``keys``."""
-    checkpoint_dir(df.sparkSession)
-    keys = keys.select(cols).distinct().checkpoint()
-    keys = F.broadcast(keys) if keys.count() <= KEYS_BROADCAST_MAX else keys
-    return df.join(keys, cols, "left_semi")
-
-
 def enrich(alerts: DataFrame, tx: DataFrame, k: int = RECENT_K) -> DataFrame:
     """K2: each alert with what the three lookups return: profile, recent k (``time@cents`` joined
     by ';', oldest first) and the segment fraud rate (0.0 when unseen).
 
     The history is first cut to the cards and segments of the alerts, so the lookups cost what was alerted.
     """
-    own = _only(tx.withColumn("card_id", F.col("cc_num").cast("string")), alerts, ["card_id"])
-    prof = card_profile(own)
-    rec = recent_transactions(own, k)
-    recent = rec.groupBy("card_id").agg(F.concat_ws(";", F.transform(
-        F.sort_array(F.collect_list(F.struct("k", "unix_time", "amt"))),
-        lambda s: F.concat_ws("@", s["unix_time"].cast("string"),
-                              F.round(s["amt"] * 100).cast("long").cast("string")))).alias("recent"))
-    seg = segment_rates(_only(tx, alerts, ["category", "state"])).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
-    return (alerts.join(prof, "card_id", "left").join(recent, "card_id", "left")
+    checkpoint_dir(tx.sparkSession)
+    keys = alerts.select("card_id", "category", "state").distinct().checkpoint()
+    few = keys.count() <= KEYS_BROADCAST_MAX
+    cards, segments = keys.select("card_id").distinct(), keys.select("category", "state").distinct()
+    own = tx.withColumn("card_id", F.col("cc_num").cast("string")).join(F.broadcast(cards) if few else cards, "card_id", "left_semi")
+    recent = recent_arrays(own, cards.withColumn("k", F.lit(k).cast("long"))).select("card_id", F.concat_ws(";", F.transform(
+        "recent", lambda v: F.concat_ws("@", v["unix_time"].cast("string"), F.round(v["amt"] * 100).cast("long").cast("string")))).alias("recent"))
+    seg = segment_rates(tx.join(F.broadcast(segments) if few else segments, ["category", "state"], "left_semi"))
+    seg = seg.select("category", "state", F.col("fraud_rate").alias("segment_rate"))
+    return (alerts.join(card_profile(own), "card_id", "left").join(recent, "card_id", "left")
                   .join(seg, ["category", "state"], "left")
                   .withColumn("segment_rate", F.coalesce("segment_rate", F.lit(0.0))))
 

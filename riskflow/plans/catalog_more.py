@@ -19,7 +19,7 @@ from ..streaming.jobs import run_alarm, run_alerts
 from ..streaming.rate import ALARM_LIMIT, alarm, alert_rate
 from . import oracle_sql as O
 from .catalog import ORACLE, processed, register, scored, with_sql
-from .catalog_report import PROFILE
+from .catalog_report import PROFILE, top_as_text
 from .catalog_serving import ALERTS_SQL, THR, TUNED, fallback_sql, flagged, parsed_alerts, tuned_threshold
 from .catalog_stream import _run
 from .present import present
@@ -61,7 +61,7 @@ def q_stream_quarantine(spark, sf):
 @register("stream_enriched", ORACLE["alert_enrich"])
 def q_stream_enriched(spark, sf):
     """L7 + K2: the streamed alerts, each micro-batch enriched with profile, last 5 transactions and segment rate."""
-    return present(spark.read.parquet(_run(spark, sf).alerts).select("alert_id", "card_id", *K.ENRICHED))
+    return present(top_as_text(spark.read.parquet(_run(spark, sf).alerts)).select("alert_id", "card_id", *K.ENRICHED))
 
 
 @register("stream_metrics", ORACLE["alert_rate"])
@@ -151,11 +151,13 @@ chk AS (SELECT *, CASE WHEN trim(coalesce(card_id, '')) = '' THEN 'card_id must
 
 @register("lookup_requests", with_sql(PROFILE + "," + LOOKUP_REQ + f""",
 segs AS (SELECT category, state, {RND('avg(CAST(is_fraud AS DOUBLE))', 4)} AS fraud_rate FROM tx WHERE category IS NOT NULL AND state IS NOT NULL GROUP BY 1, 2),
-cnt AS (SELECT cc_num, count(*) AS n FROM tx GROUP BY cc_num)""", """
+last AS (SELECT cc_num, unix_time, tie, amt, category, state, row_number() OVER (PARTITION BY cc_num ORDER BY unix_time DESC, tie DESC) AS r FROM tx),
+rows_of AS (SELECT q.request_id, string_agg(CAST(l.unix_time AS VARCHAR) || '@' || CAST(CAST(round({RND('amt', 2)} * 100) AS BIGINT) AS VARCHAR) || '@' || l.category || '@' || l.state, ';'
+              ORDER BY l.unix_time, l.tie) AS recent FROM chk q JOIN last l ON l.cc_num = q.card_id AND l.r <= q.k WHERE q.error IS NULL GROUP BY q.request_id)""", """
 SELECT q.request_id, q.error, CASE WHEN q.error IS NULL THEN coalesce(p.tx_count, 0) END AS tx_count,
   CASE WHEN q.error IS NULL THEN coalesce(p.median_amt, 0.0) END AS median_amt,
-  CASE WHEN q.error IS NULL THEN least(coalesce(c.n, 0), q.k) END AS recent_rows, CASE WHEN q.error IS NULL THEN coalesce(s.fraud_rate, 0.0) END AS fraud_rate
-FROM chk q LEFT JOIN profile p ON p.card_id = q.card_id LEFT JOIN cnt c ON c.cc_num = q.card_id LEFT JOIN segs s ON s.category = q.category AND s.state = q.state"""))
+  CASE WHEN q.error IS NULL THEN coalesce(c.recent, '') END AS recent, CASE WHEN q.error IS NULL THEN coalesce(s.fraud_rate, 0.0) END AS fraud_rate
+FROM chk q LEFT JOIN profile p ON p.card_id = q.card_id LEFT JOIN rows_of c ON c.request_id = q.request_id LEFT JOIN segs s ON s.category = q.category AND s.state = q.state"""))
 def q_lookup_requests(spark, sf):
     """J8 end to end: requests of every customer, good ones answered by the three lookups, bad ones with their error."""
     c = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
@@ -167,8 +169,10 @@ def q_lookup_requests(spark, sf):
            .select(key.alias("request_id"), F.when(key % 11 == 0, " ").otherwise(key.cast("string")).alias("card_id"), F.col("c_nationkey").cast("long").alias("k"),
                    F.when(key % 13 != 0, F.coalesce("_category", F.lit("none"))).alias("category"), F.when(key % 17 == 0, "").otherwise(F.col("n_name")).alias("state")))
     out = J.answer_requests(req, tx)
-    rows = F.when(F.col("recent").isNotNull(), F.size("recent").cast("long"))
-    return present(out.select("request_id", "error", "tx_count", "median_amt", rows.alias("recent_rows"), "fraud_rate"))
+    cents = lambda v: F.round(v["amt"] * 100).cast("long").cast("string")
+    rows = F.when(F.col("recent").isNotNull(), F.concat_ws(";", F.transform(
+        "recent", lambda v: F.concat_ws("@", v["unix_time"].cast("string"), cents(v), v["category"], v["state"]))))
+    return present(out.select("request_id", "error", "tx_count", "median_amt", rows.alias("recent"), "fraud_rate"))
 
 
 @register("feed_sink", with_sql(TUNED, f"""

@@ -25,7 +25,7 @@ PROFILE = CARD_T + """,
 pbase AS (SELECT card_id, count(*) AS tx_count, avg(amt) AS avg_amt, median(amt) AS median_amt FROM t GROUP BY card_id),
 pcat AS (SELECT card_id, category, count(*) AS n FROM t WHERE category IS NOT NULL GROUP BY card_id, category),
 ptop AS (
-  SELECT card_id, string_agg(category, ',' ORDER BY r) AS top_categories
+  SELECT card_id, CAST(to_json(list(category ORDER BY r)) AS VARCHAR) AS top_categories
   FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY n DESC, category ASC) AS r FROM pcat)
   WHERE r <= 3 GROUP BY card_id),
 pst AS (
@@ -34,25 +34,30 @@ pst AS (
     FROM t WHERE state IS NOT NULL GROUP BY card_id, state) WHERE r = 1),
 profile AS (
   SELECT b.card_id, CAST(b.tx_count AS BIGINT) AS tx_count, """ + RND("b.median_amt", 2) + """ AS median_amt,
-         """ + RND("b.avg_amt", 2) + """ AS avg_amt, coalesce(p.top_categories, '') AS top_categories, s.home_state
+         """ + RND("b.avg_amt", 2) + """ AS avg_amt, coalesce(p.top_categories, '[]') AS top_categories, s.home_state
   FROM pbase b LEFT JOIN ptop p ON p.card_id = b.card_id LEFT JOIN pst s ON s.card_id = b.card_id)"""
 
 
 @register("card_profile", with_sql(PROFILE, "SELECT * FROM profile"))
 def q_card_profile(spark, sf):
     """J1 for every card."""
-    return present(J.card_profile(tx_events(spark, sf)))
+    return present(top_as_text(J.card_profile(tx_events(spark, sf))))
+
+
+def top_as_text(df):
+    """The array of top categories as JSON text, which both engines write alike."""
+    return df.withColumn("top_categories", F.to_json("top_categories"))
 
 
 @register("card_profile_requests", with_sql(PROFILE, """
 SELECT r.card_id, coalesce(p.tx_count, 0) AS tx_count, coalesce(p.median_amt, 0.0) AS median_amt,
-       coalesce(p.avg_amt, 0.0) AS avg_amt, coalesce(p.top_categories, '') AS top_categories, p.home_state
+       coalesce(p.avg_amt, 0.0) AS avg_amt, coalesce(p.top_categories, '[]') AS top_categories, p.home_state
 FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS card_id FROM customer) r
 LEFT JOIN profile p ON p.card_id = r.card_id"""))
 def q_card_profile_requests(spark, sf):
     """Profiles requested for every customer key; customers without transactions are unknown cards."""
     req = read_table(spark, sf, "customer", ["c_custkey"]).select(F.col("c_custkey").cast("string").alias("card_id"))
-    return present(J.profile_requests(req, J.card_profile(tx_events(spark, sf))))
+    return present(top_as_text(J.profile_requests(req, J.card_profile(tx_events(spark, sf)))))
 
 
 @register("card_ids", with_sql(CARD_T, """

@@ -15,7 +15,7 @@ from ..sources.tables import read_table
 from ..streaming.rate import ALARM_LIMIT, ALARM_SECONDS, METRIC_SECONDS, alarm, alert_rate
 from . import oracle_sql as O
 from .catalog import _memo, processed, register, scored, with_sql
-from .catalog_report import PROFILE
+from .catalog_report import PROFILE, top_as_text
 from .present import present
 from .serving import history_requests, score_requests, scored_feed
 
@@ -136,8 +136,8 @@ LEFT JOIN seg s ON s.category = a.category AND s.state = a.state WHERE a.error I
 def q_alert_enrich(spark, sf):
     """K2: each valid alert with card profile, last 5 transactions and segment fraud rate."""
     e = K.enrich(parsed_alerts(spark, sf).where("valid"), tx_events(spark, sf), 5)
-    return present(e.select("alert_id", "card_id", "tx_count", "median_amt", "avg_amt", "top_categories",
-                            "home_state", "recent", "segment_rate"))
+    return present(top_as_text(e).select("alert_id", "card_id", "tx_count", "median_amt", "avg_amt", "top_categories",
+                                         "home_state", "recent", "segment_rate"))
 
 
 @register("alert_text", with_sql(ALERTS_SQL, """

@@ -88,7 +88,7 @@ def test_profile_ignores_null_categories_and_keeps_null_amounts(spark):
     rows = [("1", 1.0, None), ("1", 2.0, None), ("1", 3.0, None), ("1", 1.0, "a"), ("1", 1.0, "a"), ("1", 1.0, "b"), ("1", 1.0, "c"), ("2", None, "x"), ("3", NAN, "y")]
     tx = spark.createDataFrame(rows, "cc_num string, amt double, category string").withColumn("state", F.lit("s"))
     out = {r["card_id"]: r for r in card_profile(tx).collect()}
-    assert out["1"]["top_categories"] == "a,b,c" and out["2"]["tx_count"] == 1 and out["2"]["median_amt"] is None
+    assert out["1"]["top_categories"] == ["a", "b", "c"] and out["2"]["tx_count"] == 1 and out["2"]["median_amt"] is None
     assert group_median(tx, "cc_num", "amt").count() == 1
 
 
