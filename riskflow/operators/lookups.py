@@ -225,12 +225,16 @@ def validate_requests(req: DataFrame) -> DataFrame:
     return req.withColumn("error", err)
 
 
-def recent_arrays(tx: DataFrame, asked: DataFrame, *fields: str) -> DataFrame:
-    """``card_id, recent``: each asked card's last ``k`` rows (``asked``: card_id, k, one row per card), oldest first.
+def recent_arrays(tx: DataFrame, asked: DataFrame, *fields: str, k: int | None = None) -> DataFrame:
+    """``card_id, recent``: each asked card's last ``k`` rows (``asked``: one row per card, with its k or all with ``k``), oldest first.
 
     Cards are taken in classes of k, so that every task keeps at most ``K_STEP`` times the rows that a card was asked
     for, whatever the largest k. A row is a struct of its number (1..k), ``unix_time``, ``amt`` (2 dp) and ``fields``.
     """
+    if k is not None:
+        w = Window.partitionBy("card_id").orderBy(*[F.col(c).desc() for c in ORDER])
+        rows = tx.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(max(k, 0), MAX_RECENT))
+        return _recent_rows(rows, fields)
     classes = [r[0] for r in asked.select(F.ceil(F.log(float(K_STEP), F.greatest("k", F.lit(2)))).alias("c")).distinct().orderBy("c").collect()]
     w = Window.partitionBy("card_id").orderBy(*[F.col(c).desc() for c in ORDER])
     parts = []
@@ -241,7 +245,10 @@ def recent_arrays(tx: DataFrame, asked: DataFrame, *fields: str) -> DataFrame:
         parts.append(last.join(of_class, "card_id").where(F.col("_r") <= F.col("k")))
     if not parts:
         parts = [tx.limit(0).withColumn("_r", F.lit(0)).withColumn("k", F.lit(0))]
-    rows = reduce(DataFrame.unionByName, [p.select("card_id", "_r", *ORDER, "amt", *fields) for p in parts])
+    return _recent_rows(reduce(DataFrame.unionByName, [p.select("card_id", *ORDER, "amt", *fields) for p in parts]), fields)
+
+
+def _recent_rows(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     item = F.struct(*ORDER, "amt", *fields)
     held = rows.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     return held.select("card_id", F.transform("_rows", lambda v, i: F.struct(

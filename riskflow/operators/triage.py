@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import card_key
 from ..schema import BLOCK_THRESHOLD, REVIEW_THRESHOLD
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
 from .lookups import RECENT_K, card_profile, recent_arrays, segment_rates
 
 ACTIONS = ("block", "review", "allow")  # fixed values
@@ -124,17 +124,24 @@ def enrich(alerts: DataFrame, tx: DataFrame, k: int = RECENT_K) -> DataFrame:
     """K2: each alert with what the three lookups return: profile, recent k (``time@cents`` joined
     by ';', oldest first) and the segment fraud rate (0.0 when unseen).
 
-    The history is first cut to the cards and segments of the alerts, so the lookups cost what was alerted.
+    The alerts are computed once. The history is cut in one pass to the rows of their cards and segments, written to the
+    shared folder; the lookups read their columns of that, so they cost what was alerted.
     """
-    checkpoint_dir(tx.sparkSession)
-    keys = alerts.select("card_id", "category", "state").distinct().checkpoint()
-    few = keys.count() <= KEYS_BROADCAST_MAX
-    cards, segments = keys.select("card_id").distinct(), keys.select("category", "state").distinct()
-    own = tx.withColumn("card_id", F.col("cc_num").cast("string")).join(F.broadcast(cards) if few else cards, "card_id", "left_semi")
-    recent = recent_arrays(own, cards.withColumn("k", F.lit(k).cast("long"))).select("card_id", F.concat_ws(";", F.transform(
+    spark = tx.sparkSession
+    checkpoint_dir(spark)
+    alerts = alerts.checkpoint()
+    small = F.broadcast if alerts.count() <= KEYS_BROADCAST_MAX else (lambda df: df)
+    cards = alerts.select("card_id").distinct()
+    segments = alerts.select("category", "state").distinct()
+    x = tx.select(F.col("cc_num").cast("string").alias("card_id"), "unix_time", "tie", "amt", "category", "state", "is_fraud")
+    x = x.join(small(cards.withColumn("_own", F.lit(True))), "card_id", "left").join(small(segments.withColumn("_seg", F.lit(True))), ["category", "state"], "left")
+    path = scratch_path(spark, "alerted")
+    x.where("_own OR _seg").write.parquet(path)
+    near = spark.read.parquet(path)
+    own = near.where("_own").withColumn("cc_num", F.col("card_id"))
+    recent = recent_arrays(own, cards, k=k).select("card_id", F.concat_ws(";", F.transform(
         "recent", lambda v: F.concat_ws("@", v["unix_time"].cast("string"), F.round(v["amt"] * 100).cast("long").cast("string")))).alias("recent"))
-    seg = segment_rates(tx.join(F.broadcast(segments) if few else segments, ["category", "state"], "left_semi"))
-    seg = seg.select("category", "state", F.col("fraud_rate").alias("segment_rate"))
+    seg = segment_rates(near.where("_seg")).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
     return (alerts.join(card_profile(own), "card_id", "left").join(recent, "card_id", "left")
                   .join(seg, ["category", "state"], "left")
                   .withColumn("segment_rate", F.coalesce("segment_rate", F.lit(0.0))))
