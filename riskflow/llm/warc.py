@@ -6,7 +6,8 @@ are committed whole and a lost task leaves nothing behind. A file holds ``FILE_R
 
 Reading: archives are read as binary files and cut by Content-Length, whatever the payload holds. Request and
 metadata records name their response in WARC-Concurrent-To (or the response names them, or one names another that
-does); joins on record identifiers bring the records of one transaction together into one nested row.
+does); joins on record identifiers bring the records of one transaction together into one nested row; further requests and
+metadata, other record types and records without a capture are kept in it or in rows of their own.
 A revisit carries no payload: its digest is in its header, its length comes from the response with that digest.
 
 Defined results: null or empty html: empty payload, always a response. Null url: empty target. Null page_id: kept
@@ -131,6 +132,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 rows, held = [], 0
                 for headers, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     one = lambda name: (headers.get(name) or [None])[0]  # noqa: B023, E731
+                    if one("warc-record-id") is None:
+                        raise ValueError("a record has no identifier")
                     kind = one("warc-type")
                     payload, fields = None, None
                     if kind == "response":
@@ -158,24 +161,35 @@ MAIN = ("response", "revisit", "resource")
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``main`` with its ``request`` and ``metadata`` records (null where there is none).
+    """One nested row per capture: ``main`` with its ``request`` and ``metadata`` records, and all ``others``. No record is lost.
 
-    A record belongs to the main record it names, that names it, or that a record it names belongs to by either rule.
+    A record belongs to the main record it names, that names it, or that a record it names belongs to by either rule (of
+    several, the smallest identifier). Of several requests or metadata records the one with the smallest identifier is in
+    the column of its kind (null where there is none), the rest are in ``others``, as are records of other types and
+    repeats of a main record, ordered by kind and identifier. A record that belongs to no capture is a row of its own
+    with null ``main`` and itself in ``others``.
     """
-    main = F.col("type").isin(*MAIN)
-    links = records.select("record_id", F.explode("concurrent_to").alias("to"), main.alias("is_main"))
-    ids = records.where(main).select(F.col("record_id").alias("main_id"))
+    is_main = F.col("type").isin(*MAIN)
+    links = records.select("record_id", F.explode("concurrent_to").alias("to"), is_main.alias("is_main"))
+    ids = records.where(is_main).select(F.col("record_id").alias("main_id")).distinct()
     named = links.where(~F.col("is_main")).select("record_id", "to")
     direct = named.join(ids, F.col("to") == F.col("main_id")).select("record_id", "main_id")
     back = links.where("is_main").select(F.col("to").alias("record_id"), F.col("record_id").alias("main_id"))
     owned = direct.unionByName(back)
     through = named.join(owned.select(F.col("record_id").alias("to"), "main_id"), "to").select("record_id", "main_id")
     owner = owned.unionByName(through).groupBy("record_id").agg(F.min("main_id").alias("main_id"))
-    nested = F.struct(*[c for c in records.columns if c != "concurrent_to"])
-    placed = (records.where(~main).join(owner, "record_id").select("main_id", "type", nested.alias("r"))
-              .unionByName(records.where(main).select(F.col("record_id").alias("main_id"), F.lit("main").alias("type"), nested.alias("r"))))
-    part = lambda kind: F.min(F.when(F.col("type") == kind, F.col("r"))).alias(kind)
-    return placed.groupBy("main_id").agg(part("main"), part("request"), part("metadata")).where("main is not null").select("main", "request", "metadata")
+    kind = F.when(is_main, 0).when(F.col("type") == "request", 1).when(F.col("type") == "metadata", 2).otherwise(3)
+    item = F.struct(kind.alias("kind"), F.struct(*[c for c in records.columns if c != "concurrent_to"]).alias("r")).alias("item")
+    placed = (records.where(~F.coalesce(is_main, F.lit(False))).join(owner, "record_id", "left")
+              .select("main_id", F.when(F.col("main_id").isNull(), F.col("record_id")).alias("own_id"), item)
+              .unionByName(records.where(is_main).select(F.col("record_id").alias("main_id"), F.lit(None).cast("string").alias("own_id"), item)))
+    grouped = placed.groupBy("main_id", "own_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    here = F.col("main_id").isNotNull()
+    first = lambda k: F.when(here, F.get(F.filter("items", lambda x: x["kind"] == k), F.lit(0)))
+    # items are sorted by kind: what follows one of its own kind, or is of kind 3, is none of the three
+    rest = F.filter("items", lambda x, i: ~here | (x["kind"] == 3) | ((i > 0) & (F.get("items", i - 1)["kind"] == x["kind"])))
+    return grouped.select(first(0)["r"].alias("main"), first(1)["r"].alias("request"), first(2)["r"].alias("metadata"),
+                          F.transform(rest, lambda x: x["r"]).alias("others"))
 
 
 def resolved(captures: DataFrame) -> DataFrame:
@@ -183,7 +197,7 @@ def resolved(captures: DataFrame) -> DataFrame:
 
     A revisit takes its length and ``refers_to`` from the responses with its payload digest.
     """
-    flat = captures.select(F.regexp_extract(F.col("metadata.fields"), "page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
+    flat = captures.where("main is not null").select(F.regexp_extract(F.col("metadata.fields"), "page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
                            F.col("main.type").alias("record_type"), F.col("main.payload_bytes").alias("payload_bytes"),
                            F.coalesce("main.payload_digest", "main.digest").alias("payload_digest")).checkpoint()
     revisits, others = flat.where("record_type = 'revisit'"), flat.where("record_type <> 'revisit'")

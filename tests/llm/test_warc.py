@@ -58,8 +58,31 @@ def test_links_in_any_direction(spark):
             record("m3", "revisit", []), record("q3", "request", ["m3"]), record("d3", "metadata", ["q3"]),
             record("m4", "resource", []), record("lost", "request", ["gone"]), record("q5", "request", [])]
     out = W.assemble(spark.createDataFrame(rows, W.RECORD_SCHEMA).repartition(3)).collect()
-    got = {c["main"]["record_id"]: tuple(c[k] and c[k]["record_id"] for k in ("request", "metadata")) for c in out}
+    got = {c["main"]["record_id"]: tuple(c[k] and c[k]["record_id"] for k in ("request", "metadata")) for c in out if c["main"]}
     assert got == {"m1": ("q1", "d1"), "m2": ("q2", "d2"), "m3": ("q3", "d3"), "m4": (None, None)}
+    assert sorted(x["record_id"] for c in out if not c["main"] for x in c["others"]) == ["lost", "q5"]
+
+
+def test_no_record_is_lost(spark):
+    """Two requests, several metadata records, other types, repeated main records, records without a capture, shared links."""
+    import random
+
+    def record(i, kind, to):
+        return (i, kind, to, f"u{i}", None, None, None, None, None)
+
+    rows = [record("m1", "response", []), record("q1", "request", ["m1"]), record("q0", "request", ["m1"]), record("d1", "metadata", ["q1"]), record("d0", "metadata", ["m1"]),
+            record("c1", "conversion", ["m1"]), record("m1", "response", []), record("w", "warcinfo", []), record("m2", "revisit", ["q0"]), record("d9", "metadata", ["none"])]
+    rng = random.Random(2)
+    for i in range(60):
+        rows.append(record(f"x{i}", rng.choice(["response", "request", "metadata", "conversion", "resource", None]), [f"x{rng.randrange(80)}" for _ in range(rng.randrange(3))]))
+    out = W.assemble(spark.createDataFrame(rows, W.RECORD_SCHEMA).repartition(4)).collect()
+    found = [x["record_id"] for c in out for x in [c["main"], c["request"], c["metadata"], *c["others"]] if x]
+    assert sorted(found) == sorted(r[0] for r in rows)
+    one = next(c for c in out if c["main"] and c["main"]["record_id"] == "m1")
+    assert (one["request"]["record_id"], one["metadata"]["record_id"]) == ("q0", "d0")
+    assert [x["record_id"] for x in one["others"]] == ["m1", "q1", "d1", "c1"]
+    alone = [c for c in out if not c["main"]]
+    assert {"w", "d9"} <= {c["others"][0]["record_id"] for c in alone} and all(len(c["others"]) == 1 and not c["request"] and not c["metadata"] for c in alone)
 
 
 def test_damaged_payload_is_an_error():
