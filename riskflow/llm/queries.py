@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import remove_path, scratch_path
 from ..sources.tables import read_table
 from . import bpe_lexicon, collocations, consensus_paths, line_runs, pii_labelers, piece_language, repetition, secret_automaton, simhash_trie, string_tiling, token_alignment, url_trees, warc
-from .common import documents
+from .common import documents, stashed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,7 +160,9 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     try:
         warc.write_warc(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
-        return warc.resolved(warc.assemble(warc.read_records(spark, path, with_payload=False)))
+        # headers and digests are read once; the joins go over that table, not over the archives again
+        with stashed(warc.read_records(spark, path, with_payload=False), "warc-records") as records:
+            return warc.resolved(warc.assemble(records))
     finally:
         remove_path(spark, path)
 
