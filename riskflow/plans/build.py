@@ -28,7 +28,8 @@ class Processed:
     scaler: DataFrame
     maps: dict
     stats: dict
-    spec: FeatureSpec
+    spec: FeatureSpec                # what the raw features are made by, and the categories
+    representation: str = "raw"      # "triple_pca": the numeric block (the keys of ``stats``) is the projections
 
 
 def features_table(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, hot_rows: int = HOT_ROWS,
@@ -66,8 +67,7 @@ def build_processed(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, test_size:
     stats = collect_scaler(scaler)
     coded = apply_categories(feats, maps, [c for c in spec.categorical if c in feats.columns], cat_map)
     table = apply_scaler(coded, stats)
-    return Processed(table, feats, cut, cat_map, scaler, maps, stats,
-                     FeatureSpec(**{**spec.__dict__}) if representation == "raw" else spec)
+    return Processed(table, feats, cut, cat_map, scaler, maps, stats, spec, representation)
 
 
 def feature_columns(p: Processed, num: list[str] | None = None) -> list[str]:

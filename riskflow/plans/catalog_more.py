@@ -10,7 +10,8 @@ from ..operators import metrics as M
 from ..operators import triage as K
 from ..operators.encode import apply_categories_join
 from ..operators.features import causal_features, with_user
-from ..schema import RAW_TX, SEQ_LEN
+from ..functions.keys import card_key
+from ..schema import RAW_TX, SEQ_LEN, FeatureSpec
 from ..session import scratch_path
 from ..sources.adapters import tx_events
 from ..sources.io import read_transactions
@@ -18,6 +19,7 @@ from ..sources.tables import read_table
 from ..streaming.jobs import run_alarm, run_alerts
 from ..streaming.rate import ALARM_LIMIT, alarm, alert_rate
 from . import oracle_sql as O
+from .build import features_table
 from .catalog import ORACLE, processed, register, scored, with_sql
 from .catalog_report import PROFILE, top_as_text
 from .catalog_serving import ALERTS_SQL, THR, TUNED, fallback_sql, flagged, parsed_alerts, tuned_threshold
@@ -215,6 +217,42 @@ def q_request_windows(spark, sf):
                             *[F.col("v")[i].cast("double").alias(c) for i, c in enumerate(cols)]), {c: 4 for c in cols})
 
 
+# ---------------------------------------------------------------- keys and toggles
+@register("card_key_fallback", with_sql(O.TX, """
+SELECT tie, CASE WHEN tie % 3 <> 0 THEN cc_num WHEN tie % 2 = 0 THEN 'u' || cc_num ELSE 'unknown' END AS card FROM tx"""))
+def q_card_key_fallback(spark, sf):
+    """B5 on records of which a third have no card number, and half of those no user either."""
+    tx = tx_events(spark, sf).withColumn("user_id", F.when(F.col("tie") % 2 == 0, F.concat(F.lit("u"), "cc_num")))
+    tx = tx.withColumn("cc_num", F.when(F.col("tie") % 3 != 0, F.col("cc_num")))
+    return tx.select("tie", card_key(tx).alias("card"))
+
+
+#: Two settings of the toggles and the columns that they leave, in the fixed order
+TOGGLED = {
+    "few": (FeatureSpec(amount_log=False, rolling_aggs=False, time_features=False), ["amt", "dt", "geo_dist"]),
+    "stateless": (FeatureSpec(time_deltas=False, rolling_aggs=False), ["amt", "amt_log", "geo_dist", "hour", "dow"]),
+}
+
+
+def _toggled_sql() -> str:
+    parts = [f"SELECT '{name}' AS spec, tie, {i} AS place, '{c}' AS feature, {RND(f'CAST(\"{c}\" AS DOUBLE)', 4)} AS value FROM feat"
+             for name, (_, cols) in TOGGLED.items() for i, c in enumerate(cols)]
+    return with_sql(O.FEAT, "\nUNION ALL ".join(parts))
+
+
+@register("features_toggled", _toggled_sql())
+def q_features_toggled(spark, sf):
+    """Features with groups off, in long form with the place of each column in the emitted order."""
+    tx, parts = tx_events(spark, sf), []
+    for name, (spec, _) in TOGGLED.items():
+        f = features_table(tx, spec)
+        emitted = [c for c in f.columns if c in O.NUMERIC]
+        emitted.sort(key=spec.numeric().index)
+        items = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(emitted)])
+        parts.append(f.select(F.lit(name).alias("spec"), "tie", F.inline(items)))
+    return present(parts[0].unionByName(parts[1]), {"value": 4})
+
+
 # ---------------------------------------------------------------- metrics and codes
 @register("latency_summary", f"""
 SELECT {RND('quantile_cont(l_extendedprice, 0.5)')} AS p50, {RND('quantile_cont(l_extendedprice, 0.99)')} AS p99, count(l_extendedprice) AS n FROM lineitem""")
