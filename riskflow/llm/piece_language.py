@@ -7,7 +7,8 @@ expectation-maximisation (forward-backward over all segmentations) on a bounded
 ``TRAIN_DOCS`` for each language, taken by hash. The expected counts are summed by Spark; the driver holds one
 number for each piece and language.
 
-Words are maximal runs of letters, lower-cased. Stretches of over ``MAX_LETTERS`` letters are cut into such pieces.
+Words are maximal runs of letters, lower-cased, of any length. Those of over ``MAX_LETTERS`` letters are walked on their own, in
+logarithms and in blocks of letters that hand on the sums of what reaches into the next block; the sums are the same.
 
 Defined results: null or empty text, or no letter: ``und`` with score 0. Null language: not learnt from. Null doc_id:
 not held out, not learnt from. Equal scores: the alphabetically first language. No labelled text: all ``und``.
@@ -30,7 +31,9 @@ from .textarrays import IntTable, ragged, slice_hashes, text_groups
 TRAIN_DOCS = 2_000
 #: rounds of expectation-maximisation, and the count added to every piece
 ROUNDS, ADDED = 3, 0.05
+#: letters of the words that walk together; longer ones are walked on their own, ``BLOCK_LETTERS`` starts at a time
 MAX_LETTERS = 64
+BLOCK_LETTERS = 1 << 14
 GROUP_BYTES = 3 << 20
 #: distinct words that walk the trie together
 WALK_WORDS = 8_192
@@ -107,6 +110,68 @@ class Pieces:
                 keep.append(arc)
         return out
 
+    def block_arcs(self, letters: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs of one word that start at ``lo .. hi - 1``: ends and pieces in the order of their starts, and where each start's begin."""
+        starts, ends, pieces = [], [], []
+        rows, node, depth = np.arange(lo, hi), np.zeros(hi - lo, np.int64), 0
+        alone = np.ones(hi - lo, bool)
+        while len(rows):
+            node = self.arcs.get(node << 21 | letters[rows + depth])
+            rows, node = rows[node >= 0], node[node >= 0]
+            depth += 1
+            found = self.piece[node] >= 0
+            starts.append(rows[found])
+            ends.append(rows[found] + depth)
+            pieces.append(self.piece[node[found]])
+            if depth == 1:
+                alone[rows[found] - lo] = False
+            more = rows + depth < len(letters)
+            rows, node = rows[more], node[more]
+        rest = np.flatnonzero(alone) + lo
+        start = np.concatenate([*starts, rest])
+        order = np.argsort(start, kind="stable")
+        end = np.concatenate([*ends, rest + 1])[order]
+        piece = np.concatenate([*pieces, np.full(len(rest), len(self.sizes) - 1)])[order]
+        return end, piece, np.searchsorted(start[order], np.arange(lo, hi + 1))
+
+    def unscaled_logs(self, scaled: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(scaled, 1e-300)) - self.sizes[:, None] * np.log(SCALE)
+
+    def long_forward(self, letters: np.ndarray, logs: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+        """Logarithm of a long word's probability; ``kept`` gets those of all its beginnings."""
+        reach = int(self.sizes.max()) + 1
+        sums = np.full((BLOCK_LETTERS + reach, logs.shape[1]), -np.inf)
+        sums[0] = 0.0
+        for lo in range(0, len(letters), BLOCK_LETTERS):
+            hi = min(lo + BLOCK_LETTERS, len(letters))
+            end, piece, first = self.block_arcs(letters, lo, hi)
+            end = end - lo
+            for i in range(hi - lo):
+                a, b = first[i], first[i + 1]
+                at = end[a:b]
+                sums[at] = np.logaddexp(sums[at], sums[i] + logs[piece[a:b]])
+            if kept is not None:
+                kept[lo:hi] = sums[:hi - lo]
+            left = sums[hi - lo:hi - lo + reach].copy()          # what reaches into the next block
+            sums[:] = -np.inf
+            sums[:len(left)] = left
+        return sums[0]
+
+    def add_long_counts(self, letters: np.ndarray, logs: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """Adds a long word's expected uses of each piece and language to ``total``."""
+        before = np.zeros((len(letters), logs.shape[1]))
+        whole = self.long_forward(letters, logs, before)
+        after = np.full((len(letters) + 1, logs.shape[1]), -np.inf)
+        after[-1] = 0.0
+        for lo in reversed(range(0, len(letters), BLOCK_LETTERS)):
+            hi = min(lo + BLOCK_LETTERS, len(letters))
+            end, piece, first = self.block_arcs(letters, lo, hi)
+            for i in reversed(range(hi - lo)):
+                a, b = first[i], first[i + 1]
+                tail = logs[piece[a:b]] + after[end[a:b]]
+                after[lo + i] = np.logaddexp.reduce(tail, axis=0)
+                total[piece[a:b]] += weight * np.exp(before[lo + i] + tail - whole)
+
     def scaled(self, p: np.ndarray) -> np.ndarray:
         return p * SCALE ** self.sizes[:, None]
 
@@ -159,11 +224,6 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(inside & (cut[1:] | np.append(~inside[1:], True)[:len(points)])) + 1
     lengths = ends - starts
-    if (lengths > MAX_LETTERS).any():
-        parts = -(-lengths // MAX_LETTERS)
-        k = ragged(np.zeros(len(parts), np.int64), parts)
-        starts = np.repeat(starts, parts) + k * MAX_LETTERS
-        lengths = np.minimum(np.repeat(ends, parts) - starts, MAX_LETTERS)
     return lower()[points], starts, lengths, np.searchsorted(border[1:], starts, "right")
 
 
@@ -176,8 +236,9 @@ def distinct(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
 
 
 def matrices(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-    """Yield ``(which, letters, lengths)`` of words of similar length, the sign for a word's start before each."""
+    """Yield ``(which, letters, lengths)`` of words of similar length, the sign for a word's start before each; no long words."""
     order = np.argsort(lengths, kind="stable")
+    order = order[:int((lengths <= MAX_LETTERS).sum())]
     for lo in range(0, len(order), WALK_WORDS):
         which = order[lo:lo + WALK_WORDS]
         n = lengths[which]
@@ -188,6 +249,12 @@ def matrices(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         yield which, letters, n + 1
 
 
+def long_words(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    """Yield ``(which, letters)`` of the words that ``matrices`` leaves out, the sign for a word's start before each."""
+    for k in np.flatnonzero(lengths > MAX_LETTERS).tolist():
+        yield k, np.append(_MARK, points[starts[k]:starts[k] + lengths[k]]).astype(np.int64)
+
+
 # ------------------------------------------------------------------ Spark jobs
 
 def _held_out(id_col: str):
@@ -248,6 +315,8 @@ def fit(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str = "te
                 weight[np.arange(len(text)), [number[x] for x in batch.column(0).to_pylist()]] = np.asarray(batch.column(2))
                 for which, letters, n in matrices(points, np.cumsum(lengths) - lengths, lengths):
                     total += own.expected_counts(letters, n, scaled, weight[which])
+                for k, letters in long_words(points, np.cumsum(lengths) - lengths, lengths):
+                    own.add_long_counts(letters, own.unscaled_logs(scaled), weight[k], total)
             piece, g = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(g, pa.int32()), pa.array(total[piece, g])], ["piece", "g", "n"])
 
@@ -276,6 +345,8 @@ def predict(docs: DataFrame, pieces: Pieces, p: np.ndarray, langs: list[str], id
                     logs = np.zeros((len(place), len(langs)))
                     for which, letters, n in matrices(points, starts[place], lengths[place]):
                         logs[which] = own.log_probabilities(letters, n, scaled)
+                    for k, letters in long_words(points, starts[place], lengths[place]):
+                        logs[k] = own.long_forward(letters, own.unscaled_logs(scaled))
                     for g in range(len(langs)):
                         total[:, g] = np.bincount(doc, logs[codes, g], hi - lo)
                 some = np.bincount(doc, minlength=hi - lo) > 0

@@ -36,6 +36,46 @@ def test_forward_sums_all_segmentations():
             assert np.allclose(row, total)
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Blocks of any size, a 10,000-letter word against a plain sum, and expected counts that agree with the short words' way."""
+    texts = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab", "abab"]
+    pieces = L.Pieces(texts)
+    number = {t: i for i, t in enumerate(texts)}
+    rng = np.random.default_rng(4)
+    p = rng.random((len(pieces.sizes), 3)) / 3
+    logs = pieces.unscaled_logs(pieces.scaled(p))
+    assert np.allclose(logs, np.log(p))
+    for size, block in ((7, 3), (90, 4), (90, 1000), (10_000, 64), (10_000, 1 << 14)):
+        monkeypatch.setattr(L, "BLOCK_LETTERS", block)
+        word = "▁" + "".join(rng.choice(list("abx"), size, p=[0.45, 0.45, 0.1]))
+        plain = np.full((len(word) + 1, 3), -np.inf)
+        plain[0] = 0
+        for i in range(len(word)):
+            here = [(j, number[word[i:j]]) for j in range(i + 1, min(i + 5, len(word)) + 1) if word[i:j] in number]
+            for j, k in here + ([] if any(j == i + 1 for j, _ in here) else [(i + 1, len(number))]):
+                plain[j] = np.logaddexp(plain[j], plain[i] + np.log(p[k]))
+        letters = np.array(list(map(ord, word)))
+        assert np.allclose(pieces.long_forward(letters, logs), plain[-1])
+        if size < 100:
+            weight = rng.random(3)
+            total = np.zeros_like(p)
+            pieces.add_long_counts(letters, logs, weight, total)
+            want = pieces.expected_counts(letters[None, :], np.array([len(letters)]), pieces.scaled(p), weight[None, :])
+            assert np.allclose(total, want)
+
+
+def test_long_runs_are_one_word(spark, frame, monkeypatch):
+    words = {"aa": "lomitrasenpol", "bb": "gurvekdoshbrim"}
+    docs = [(i, words[lang] * (1 + i % 40), lang) for i, lang in enumerate(["aa", "bb"] * 60)] + [(900, "lomi" * 30_000, None)]
+    data = np.frombuffer(("x" * 500 + " y").encode(), np.uint8)
+    assert L.letter_words(data, np.array([0, len(data)]))[2].tolist() == [500, 1]
+    want = sorted(map(str, L.identify(frame(docs), MODEL).collect()))
+    assert sum("lang_pred='aa'" in r for r in want) == 61
+    monkeypatch.setattr(L, "MAX_LETTERS", 200)          # which words are long does not matter
+    got = L.identify(frame(docs[:-1]), MODEL).collect()
+    assert [r["lang_pred"] for r in sorted(got)] == [lang for _, _, lang in docs[:-1]]
+
+
 def sample(n):
     words = {"aa": "lo mi tra sen pol".split(), "bb": "gur vek dosh brim yat".split()}
     rng = np.random.default_rng(7)
