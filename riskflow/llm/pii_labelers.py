@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ready
 
@@ -281,20 +282,33 @@ def classified(c: Column, bias: float, weights: list[list[float]]) -> Column:
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col`` and ``found``: array of ``(start, kind, end, base)``, base spans and those the classifier adds."""
     ready(docs)
-    marked = candidates(docs, id_col, text).checkpoint()
+    marked = candidates(docs, id_col, text).withColumn("__row", F.monotonically_increasing_id()).checkpoint()
     each = marked.select(F.explode("found").alias("c"))
     patterns = [(r[0], tuple(r[1:-1]), r[-1]) for r in each.groupBy("c.kind", *(f"c.{v}" for v in LABELERS)).count().collect()]
     prior, table = estimate(patterns)
     sums = each.withColumn("p", posterior(F.col("c"), prior, table)).groupBy(*(f"c.{f}" for f in FEATURES)).agg(F.sum("p").alias("p"), F.count("*").alias("n"))
     bias, weights = train(sorted((tuple(r[:-2]), float(r[-2]), float(r[-1])) for r in sums.collect()))
 
-    def pruned(s: Column) -> Column:
-        base = F.filter(s["found"], lambda c: c["base"])
-        added = F.filter(s["found"], lambda c: (c["kind"] >= len(BASE_KINDS)) & classified(c, bias, weights))
-        return let({"base": base, "added": added}, lambda t: F.array_sort(F.concat(t["base"], F.filter(t["added"], lambda c: ~F.exists(t["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))))
-
-    found = F.transform(let({"found": F.col("found")}, pruned), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"]))
-    return marked.select(id_col, found.alias("found"))
+    shown = lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"])
+    added = F.filter("found", lambda c: (c["kind"] >= len(BASE_KINDS)) & classified(c, bias, weights))
+    split = marked.select(id_col, "__row", F.transform(F.filter("found", lambda c: c["base"]), shown).alias("base"), F.transform(added, shown).alias("added"))
+    plain = split.where(F.size("added") == 0).select(id_col, F.col("base").alias("found"))
+    return plain.unionByName(_without_overlaps(split.where(F.size("added") > 0), id_col))
+
+
+def _without_overlaps(split: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, found`` of texts that have added spans: base spans, and added ones that meet no base span.
+
+    Running ends of the base spans before a span and starts of those after it, in a sort of a text's spans each way.
+    """
+    each = split.select("__row", F.col(id_col).alias("__id"), F.explode(F.concat("base", "added")).alias("c"))
+    along = Window.partitionBy("__row").orderBy("c.start", "c.end", "c.kind")
+    before = F.max(F.when(F.col("c.base"), F.col("c.end"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("__row").orderBy(F.desc("c.start"), F.desc("c.end"), F.desc("c.kind"))     # a frame to the end would be quadratic
+    after = F.min(F.when(F.col("c.base"), F.col("c.start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    meets = F.coalesce(before > F.col("c.start"), F.lit(False)) | F.coalesce(after < F.col("c.end"), F.lit(False))
+    kept = each.withColumn("__meets", meets).where(F.col("c.base") | ~F.col("__meets"))
+    return kept.groupBy("__row", "__id").agg(F.array_sort(F.collect_list("c")).alias("found")).select(F.col("__id").alias(id_col), "found")
 
 
 def joined(spans: Column) -> Column:
