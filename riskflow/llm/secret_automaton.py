@@ -1,12 +1,13 @@
 """Secret scan by one combined deterministic automaton (operator 8).
 
-Every rule is a small expression over byte sets. All rules together, unanchored, become one nondeterministic
-automaton; subset construction and partition refinement turn it into minimal transition arrays over byte classes.
-A group of texts is scanned in one pass over its bytes: the bytes are dealt to equal lanes that step through the
-arrays together, and a lane that did not begin at rest is stepped again from its true state until both traces
-agree. No rule crosses a line, so each line the pass marks for a rule is then read by that rule's own automaton:
-leftmost start, longest end, next search from there. Matches that fail a rule's length test are dropped and not
-retried.
+Every rule is a regular expression. All rules together, unanchored, become one nondeterministic automaton; subset
+construction and partition refinement turn it into minimal transition arrays over byte classes. A group of texts is
+scanned in one pass over its bytes: the bytes are dealt to equal lanes that step through the arrays together, and a
+lane that did not begin at rest is stepped again from its true state until both traces agree. No rule crosses a line,
+so spans are needed only in the lines that the pass marks for a rule. There the automaton of the reversed rule, run
+the same way from the lines' ends, marks every byte at which a match begins; from the first of these the rule's own
+automaton reads to the longest end, and the next is sought behind it. Bytes are read again only within matches, so the
+work is linear in a line of any length. Matches that fail a rule's length test are dropped and not retried.
 
 Spans are code points, end exclusive. Base kinds are ``assign``, ``access`` and ``hex``; the others add spans.
 
@@ -18,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -86,11 +88,66 @@ def word(text: str, fold: bool = False) -> Node:
     return seq(*(Node("set", bytes=frozenset({ord(c.lower()), ord(c.upper())} if fold else {ord(c)})) for c in text))
 
 
-# ------------------------------------------------------------------ rules
+def backwards(node: Node) -> Node:
+    """The expression of the reversed matches."""
+    parts = tuple(backwards(p) for p in node.parts)
+    return Node(node.kind, parts[::-1] if node.kind == "seq" else parts, node.bytes)
+
+
+_TOKEN = re.compile(r"\[(?:\\.|[^\]\\])+\]|\(\?i:|\(\?:|\(|\\x[0-9A-Fa-f]{2}|\\.|\{[0-9]+(?:,)?\}|.", re.S)
+_ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(\W)")
+
+
+def _plain(token: str) -> str:
+    """``token`` with its escapes (``\\x20``, ``\\.``) replaced by what they stand for."""
+    out = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[2], token)
+    if not out.isascii() or re.search(r"\\[A-Za-z0-9]", token.replace("\\x", "")):
+        raise ValueError(f"{token} is not supported")
+    return out
+
+
+def parse(pattern: str) -> Node:
+    """The expression of a regex: ASCII characters, sets, groups, ``(?i:``, ``|``, ``?``, ``*``, ``+``, ``{n}`` and ``{n,}``."""
+    tokens, at = _TOKEN.findall(pattern), 0
+
+    def branches(fold: bool) -> Node:
+        nonlocal at
+        out, parts = [], []
+        while at < len(tokens) and tokens[at] != ")":
+            token = tokens[at]
+            at += 1
+            if token == "|":
+                out, parts = [*out, seq(*parts)], []
+            elif token in "?*+":
+                parts.append({"?": opt, "*": star, "+": plus}[token](parts.pop()))
+            elif token[0] == "{" and len(token) > 1:
+                part, n = parts.pop(), int(token.strip("{,}"))
+                more = [star(part)] if n == 0 else [times(part, n - 1), plus(part)]
+                parts.append(seq(*more) if "," in token else times(part, n))
+            elif token in ("(", "(?:", "(?i:"):
+                parts.append(branches(fold or token == "(?i:"))
+                if at == len(tokens):
+                    raise ValueError(f"{pattern}: a group is open")
+                at += 1
+            elif token[0] == "[" and len(token) > 2:
+                if token[1] == "^":
+                    raise ValueError(f"{token} is not supported")
+                found = chars(_plain(token[1:-1])).bytes
+                parts.append(Node("set", bytes=found | frozenset(ord(chr(b).swapcase()) for b in found if fold)))
+            elif token in ".^$[]{}":
+                raise ValueError(f"{token} is not supported")
+            else:
+                parts.append(word(_plain(token), fold))
+        return alt(*out, seq(*parts)) if out else seq(*parts)
 
-VALUE = "A-Za-z0-9+/_.=-"
+    node = branches(False)
+    if at < len(tokens):
+        raise ValueError(f"{pattern}: a group is closed twice")
+    return node
 
 
+# ------------------------------------------------------------------ rules
+
 def _assign_ok(match: bytes) -> bool:
     """The value behind the separator has six characters or more."""
     at = min(i for i in (match.find(b":"), match.find(b"=")) if i >= 0) + 1
@@ -101,7 +158,7 @@ def _assign_ok(match: bytes) -> bool:
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    pattern: Node
+    pattern: str
     accepts: Callable[[bytes], bool]
 
 
@@ -109,21 +166,17 @@ def at_least(n: int) -> Callable[[bytes], bool]:
     return lambda match: len(match) >= n
 
 
-_QUOTE, _BLANKS = opt(chars("\"'")), star(chars(" "))
-
 #: fixed patterns of the base kinds, then the kinds this method adds
 RULES = (
-    Rule("assign", seq(alt(word("password", True), word("passwd", True), word("secret", True), word("token", True),
-                           seq(word("api", True), opt(chars("_")), word("key", True))),
-                       _QUOTE, _BLANKS, chars(":="), _BLANKS, _QUOTE, plus(chars(VALUE))), _assign_ok),
-    Rule("access", seq(word("AKIA"), plus(chars("A-Z0-9"))), at_least(20)),
-    Rule("hex", seq(times(chars("0-9a-f"), 23), plus(chars("0-9a-f"))), at_least(24)),
-    Rule("key_block", seq(word("-----BEGIN "), star(chars("A-Z0-9 ")), word("PRIVATE KEY-----")), at_least(1)),
-    Rule("code_host", seq(word("gh"), chars("pousr"), word("_"), plus(chars("A-Za-z0-9"))), at_least(40)),
-    Rule("chat", seq(word("xox"), chars("abprs"), word("-"), plus(chars("A-Za-z0-9-"))), at_least(20)),
-    Rule("payment", seq(chars("rs"), word("k_live_"), plus(chars("A-Za-z0-9"))), at_least(24)),
-    Rule("maps", seq(word("AIza"), plus(chars("A-Za-z0-9_-"))), at_least(39)),
-    Rule("web_token", seq(word("eyJ"), plus(chars("A-Za-z0-9_-")), word("."), plus(chars("A-Za-z0-9_-")), word("."), plus(chars("A-Za-z0-9_-"))), at_least(36)),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", _assign_ok),
+    Rule("access", "AKIA[A-Z0-9]+", at_least(20)),
+    Rule("hex", "[0-9a-f]{24,}", at_least(24)),
+    Rule("key_block", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", at_least(1)),
+    Rule("code_host", "gh[pousr]_[A-Za-z0-9]+", at_least(40)),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", at_least(20)),
+    Rule("payment", "[rs]k_live_[A-Za-z0-9]+", at_least(24)),
+    Rule("maps", "AIza[A-Za-z0-9_-]+", at_least(39)),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", at_least(36)),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -196,11 +249,11 @@ class Automaton:
         return self.step.tolist(), self.byte_class.tolist(), self.accept.tolist()
 
 
-def compile_rules(patterns: list[Node], search: bool) -> Automaton:
+def compile_rules(patterns: list[Node], search: bool, every: bool = False) -> Automaton:
     """Subset construction and minimisation; ``search``: a match may begin at every byte.
 
     A search needs one mark for each rule and line, so a rule that has just ended is forgotten until it begins
-    anew; this keeps the arrays small.
+    anew; this keeps the arrays small. ``every``: all ends are marked.
     """
     graph = _Graph()
     root = graph.state()
@@ -224,7 +277,9 @@ def compile_rules(patterns: list[Node], search: bool) -> Automaton:
         for byte in sample.tolist():
             to = {t for s in states for accepted, t in graph.edges[s] if byte in accepted}
             target = graph.closure(to)
-            if search:
+            if search and every:
+                target |= first
+            elif search:
                 over = {ends[t] for t in target if t in ends}
                 target = frozenset(t for t in target if t in ends or owner[t] not in over) | first
             if target not in known:
@@ -277,44 +332,51 @@ def trace(machine: Automaton, data: np.ndarray) -> np.ndarray:
     return states.T.reshape(-1)[:n]
 
 
-def longest(machine: Automaton, line: bytes, start: int) -> int:
-    """End of the longest match at ``start``, or -1."""
+def longest(machine: Automaton, line: bytes, start: int, stuck: set[tuple[int, int]]) -> int:
+    """End of the longest match at ``start``, or -1.
+
+    ``stuck`` collects places and states beyond a match's end from which no later end was reached; a later call stops
+    there, so that no byte is read more than once in a state.
+    """
     step, byte_class, accept = machine.lists
-    c, dead, state, best = machine.classes, machine.dead, 0, -1
+    c, dead, state, best, beyond = machine.classes, machine.dead, 0, -1, []
     for i in range(start, len(line)):
         state = step[state * c + byte_class[line[i]]]
-        if state == dead:
+        if state == dead or (stuck and (i, state) in stuck):
             break
         if accept[state]:
-            best = i + 1
+            best, beyond = i + 1, []
+        else:
+            beyond.append((i, state))
+    stuck.update(beyond)
     return best
 
 
 class Scanner:
-    """The combined automaton with each rule's own."""
+    """The combined automaton with each rule's own, forwards and backwards."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.all = compile_rules([r.pattern for r in rules], True)
-        self.each = [compile_rules([r.pattern], False) for r in rules]
+        nodes = [parse(r.pattern) for r in rules]
+        self.all = compile_rules(nodes, True)
+        self.each = [compile_rules([n], False) for n in nodes]
+        self.back = [compile_rules([backwards(n)], True, True) for n in nodes]
         for r, m in zip(rules, self.each, strict=True):
-            if any(m.step[int(m.byte_class[10]) + s * m.classes] != m.dead for s in range(len(m.accept))):
-                raise ValueError(f"rule {r.kind} crosses a line")
-
-    def line_spans(self, line: bytes, k: int) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping byte spans of rule ``k`` in one line."""
-        machine, rule, out, at = self.each[k], self.rules[k], [], 0
-        first = [bool(machine.step[c] != machine.dead) for c in range(machine.classes)]
-        opens = [first[c] for c in machine.byte_class.tolist()]
-        while at < len(line):
-            end = longest(machine, line, at) if opens[line[at]] else -1
-            if end < 0:
-                at += 1
-                continue
-            if rule.accepts(line[at:end]):
-                out.append((at, end))
-            at = end
-        return out
+            if m.accept[0] or any(m.step[int(m.byte_class[10]) + s * m.classes] != m.dead for s in range(len(m.accept))):
+                raise ValueError(f"rule {r.kind} crosses a line or matches nothing")
+
+    def rule_spans(self, text: bytes, k: int) -> tuple[list[int], list[int]]:
+        """Starts and ends of the leftmost, longest, non-overlapping matches of rule ``k`` in ``text`` (lines)."""
+        turned = np.frombuffer(text, np.uint8)[::-1]
+        begins = np.flatnonzero(self.back[k].accept[trace(self.back[k], turned)][::-1])
+        accepts, starts, ends, at, stuck = self.rules[k].accepts, [], [], 0, set()
+        for begin in begins.tolist():
+            if begin >= at:
+                at = longest(self.each[k], text, begin, stuck)
+                if accepts(text[begin:at]):
+                    starts.append(begin)
+                    ends.append(at)
+        return starts, ends
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each text with a match: ``(start, rule, end)`` in code points of the text, sorted."""
@@ -322,7 +384,7 @@ class Scanner:
         if not len(data):
             return out
         # A search automaton marks every match, wherever it began, so texts may lie end to end; a mark that
-        # reaches over a border is not confirmed below.
+        # reaches over a border finds no span below.
         marks = self.all.accept[trace(self.all, data)]
         hit = np.flatnonzero(marks)
         if not len(hit):
@@ -333,16 +395,22 @@ class Scanner:
         cut[offsets] = True
         cuts = np.flatnonzero(cut)                             # where lines start, and the end
         line = np.searchsorted(cuts, hit, "right") - 1
-        head = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-        doc = np.searchsorted(offsets, cuts[line[head]], "right") - 1
-        for at, mask, d in zip(line[head].tolist(), np.bitwise_or.reduceat(marks[hit], head).tolist(), doc.tolist(), strict=True):
-            lo = int(cuts[at])
-            part = raw[lo:int(cuts[at + 1])]
-            for k in range(len(self.rules)):
-                if mask >> k & 1 and (found := self.line_spans(part, k)):
-                    base = int(points[offsets[d]])
-                    out.setdefault(d, []).extend((int(points[lo + a]) - base, k, int(points[lo + b]) - base) for a, b in found)
+        for k in range(len(self.rules)):
+            own = np.unique(line[marks[hit] >> k & 1 > 0])
+            if not len(own):
+                continue
+            first, last = cuts[own], cuts[own + 1]
+            starts, ends = self.rule_spans(b"".join(raw[a:b] + b"\n" for a, b in zip(first.tolist(), last.tolist(), strict=True)), k)
+            size = last - first + 1                            # with the line end that parts it from the next
+            begin = np.cumsum(size) - size
+            starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
+            at = np.searchsorted(begin, starts, "right") - 1
+            shift = first[at] - begin[at]
+            text = np.searchsorted(offsets, starts + shift, "right") - 1
+            base = points[offsets[text]]
+            for d, a, b in zip(text.tolist(), (points[starts + shift] - base).tolist(), (points[ends + shift] - base).tolist(), strict=True):
+                out.setdefault(d, []).append((a, k, b))
         return {d: sorted(spans) for d, spans in out.items()}
 
 
@@ -364,14 +432,11 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``id_col`` and ``found``: all spans of a text by start, then kind as listed."""
     ready(docs)
-    made = scanner(rules)
-    arrays = [made.all, *made.each]                            # compiled once, on the driver
+    scan = scanner(rules)                                      # compiled once, on the driver
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     kinds = [r.kind for r in rules]
 
     def run(batches):
-        scan = Scanner.__new__(Scanner)
-        scan.rules, scan.all, scan.each = rules, arrays[0], arrays[1:]
         for batch in batches:
             for lo, hi, data, offsets in text_groups(batch.column(1)):
                 found = scan.spans(data, offsets)

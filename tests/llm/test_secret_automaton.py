@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from riskflow.llm import secret_automaton as S
 from riskflow.llm.textarrays import text_groups
@@ -66,3 +68,32 @@ def test_query_digest(spark, frame):
         joined = ",".join(f"{S.BASE_KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in S.BASE_KINDS] == [sum(x == k for _, x, _ in spans) for k in range(3)]
+
+
+def one_text(scan, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return scan.spans(data, np.array([0, len(data)])).get(0, [])
+
+
+def test_regexes_are_compiled_from_their_text():
+    rng = random.Random(3)
+    for pattern in (r"a(?:b|cd)*e", r"[a-c]{2}d{3,}", r"(?i:ab|c)[x-]\x20?e", r"a+\.b|[\]b]c", r"(a|b{0,}c)d"):
+        scan = S.Scanner((S.Rule("one", pattern, S.at_least(1)),))
+        for _ in range(80):
+            text = "".join(rng.choice("abcdeABCx-. ]\n") for _ in range(40)) + rng.choice(["abcdcde", "aaddd", "Abx e", "bcd"])
+            assert one_text(scan, text) == [(m.start(), 0, m.end()) for m in re.finditer(pattern, text)]
+    for wrong in ("a.b", "(ab", "ab)", "[^a]", r"\d", "é", "a*"):
+        with pytest.raises(ValueError):
+            S.Scanner((S.Rule("one", wrong, S.at_least(1)),))
+
+
+def test_long_lines_are_read_once():
+    scan = S.scanner(S.RULES)
+    begin = time.monotonic()
+    assert one_text(scan, "eyJ" * 400_000 + " eyJa.b." + "_" * 40)[0] == (1_200_001, 8, 1_200_048)
+    assert one_text(scan, "-----BEGIN " * 100_000 + "PRIVATE KEY-----") == [(1_099_989, 3, 1_100_016)]
+    assert one_text(scan, ("f" * 23 + " ") * 40_000 + "f" * 24) == [(960_000, 2, 960_024)]
+    assert one_text(scan, "token=" * 200_000) == [(0, 0, 1_200_000)]
+    tail = S.Scanner((S.Rule("tail", "a([ab]*c)?", S.at_least(1)),))      # every match reads to the end of the line in vain
+    assert len(one_text(tail, "ab" * 100_000)) == 100_000
+    assert time.monotonic() - begin < 30
