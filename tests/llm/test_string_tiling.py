@@ -1,7 +1,11 @@
 """Operator 7 against a plain greedy string tiling."""
 
+import decimal
 import random
 import re
+import time
+
+import numpy as np
 
 from riskflow.llm import string_tiling as S
 
@@ -56,7 +60,7 @@ def test_against_plain_tiling(spark, frame, vocabulary, odd_texts):
         if len(text or "") > 50_000:
             continue
         for i, item in items:
-            covered = plain_tiles(words(item), words(text), 5)
+            covered = plain_tiles(words(item), words(text), min(5, len(words(item)) or 5))
             if covered:
                 want[d, i] = covered
     for block_bytes in (1 << 20, 200):                         # one block, and many
@@ -84,3 +88,45 @@ def test_empty_tables(spark, frame):
     assert S.leaks(frame([(1, "a b c d e f")]), bench).count() == 0
     assert S.without_leaks(frame([(1, "a b c d e f")]), bench).count() == 1
     assert S.leaks(frame([]), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
+
+
+def test_bounds_lose_no_leak(vocabulary):
+    rng = random.Random(21)
+    few = vocabulary[:9]                                       # many windows are shared by many items
+    items = [(i, " ".join(rng.choice(few) for _ in range(rng.randint(1, 25)))) for i in range(60)]
+    texts = []
+    for _ in range(40):
+        w = rng.choice(items)[1].split()
+        cut = rng.randint(0, len(w))
+        texts.append(" ".join([*w[cut:], *(rng.choice(few) for _ in range(rng.randint(0, 12))), *w[:cut]]))
+    for coverage in (0.0, 0.5, 0.8, 1.0):
+        block = S.Block(items, 5, coverage)
+        for text in texts:
+            data = np.frombuffer(text.encode(), np.uint8)
+            got = {i: tiled for _, i, _, tiled, _ in block.leaks(data, np.array([0, len(data)]))}
+            want = {i: plain_tiles(words(item), words(text), min(5, len(words(item)))) for i, item in items}
+            assert got == {i: n for i, n in want.items() if n and n >= coverage * len(words(items[i][1]))}
+
+
+def test_phrase_of_all_items_costs_no_tiling(vocabulary):
+    rng = random.Random(4)
+    phrase = "choose the best answer below"
+    items = [(i, " ".join([phrase, *(f"{rng.choice(vocabulary)}{rng.randrange(10**9)}" for _ in range(30))])) for i in range(2000)]
+    block = S.Block(items, 5, 0.8)
+    text = f"{phrase} and then {phrase}. " * 20
+    data = np.frombuffer((text + items[7][1]).encode(), np.uint8)
+    begin = time.monotonic()
+    found = block.leaks(data, np.array([0, len(text), len(data)]))
+    assert time.monotonic() - begin < 0.5
+    assert [(t, i, n, m) for t, i, n, m, _ in found] == [(1, 7, 35, 35)]
+
+
+def test_short_items_any_ids_and_one_stage(spark, frame):
+    docs = frame([(1, "So: Forty-Two!"), (2, "forty"), (3, "two forty"), (4, None)])
+    bench = spark.createDataFrame([(decimal.Decimal("1.50"), "forty two"), (None, "forty two")], "item_id decimal(9,2), text string")
+    got = S.leaks(docs, bench, block_bytes=8)                  # a block for each item or so
+    assert sorted((r["doc_id"], str(r["item_id"]), r["coverage"], r["spans"][0]["start"]) for r in got.collect()) == [(1, "1.50", 1.0, 4), (1, "None", 1.0, 4)]
+    clean = S.without_leaks(docs, bench, block_bytes=8)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4]
+    for frame_ in (got, clean):
+        assert frame_._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
