@@ -2,8 +2,10 @@
 
 Features of a URL: lengths of its parts, path depth, digit ratio, character entropy, parameter counts, separators,
 and statistics of its suffix: how many URLs share the host's last label, and the smoothed share of blocked ones
-among the labelled URLs of that label, and of that label with the first path segment. Trees are Spark ML's, trained
-on at most ``TRAIN_ROWS`` labelled URLs taken by hash; counts and shares cover all URLs.
+among the labelled URLs of that label, and of that label with the first path segment. A labelled URL's shares leave
+out the labels of its own fold (``FOLDS`` by hash of the URL), so no tree learns from a share that holds the row's own
+label. Trees are Spark ML's, trained on at most ``TRAIN_ROWS`` labelled URLs taken by hash; counts and shares cover all
+URLs.
 
 Defined results: null url or no ``://``: empty host and path, features of an empty URL. Repeated rows: each row on
 its own. Equally long rules that fit: the one listed first. Labels of one class only: that class; no labels: allow.
@@ -12,16 +14,12 @@ Empty table: empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ready
 
@@ -30,6 +28,8 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH = 10, 4
 #: weight of the overall share in a suffix's share, and fewest labelled URLs of a suffix with its own share
 SMOOTHING, MIN_LABELLED = 20.0, 20
+#: parts of the labelled URLs whose shares are taken from the other parts
+FOLDS = 5
 #: suffixes whose statistics are sent to every task, at most; more are joined by a shuffle
 BROADCAST_SUFFIXES = 100_000
 
@@ -61,14 +61,21 @@ def matching_rule(rules: list[tuple[str, str, str]], host: Column, path: Column)
     return pick([h + p for _, h, p in ordered]), pick([v for v, _, _ in ordered])
 
 
-@F.pandas_udf(T.DoubleType())
-def entropy(urls: pd.Series) -> pd.Series:
-    """Bits per character."""
-    def one(u: str) -> float:
-        n = len(u)
-        return -sum(k / n * math.log2(k / n) for k in Counter(u).values()) if n else 0.0
+def entropy(text: Column) -> Column:
+    """Bits per character, from the runs of the sorted characters; 0 for an empty text."""
+    n = F.length(text)
 
-    return urls.map(one)
+    def bits(run: Column) -> Column:
+        return F.when(run > 1, run * F.log2(run)).otherwise(0.0)
+
+    def add(state: Column, char: Column) -> Column:
+        same = char == state["char"]
+        return F.struct(char.alias("char"), F.when(same, state["run"] + 1).otherwise(1.0).alias("run"),
+                        F.when(same, state["total"]).otherwise(state["total"] + bits(state["run"])).alias("total"))
+
+    start = F.struct(F.lit("").alias("char"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+    total = F.aggregate(F.array_sort(F.split(text, "")), start, add, lambda state: state["total"] + bits(state["run"]))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -103,16 +110,27 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_SUFFIXES else table
 
 
-def with_suffix_statistics(featured: DataFrame) -> DataFrame:
+def _by_fold(counts: DataFrame, key: str) -> DataFrame:
+    """``urls``, and ``labelled`` and ``blocked`` without the fold's own, of each ``key`` and fold; fold -1: of all."""
+    own = counts.groupBy(key, "fold").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    whole = own.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("urls", "labelled", "blocked")))
+    folds = whole.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))))
+    own = own.select(key, "fold", F.col("labelled").alias("own_labelled"), F.col("blocked").alias("own_blocked"))
+    return folds.join(own, [key, "fold"], "left").select(
+        key, "fold", "urls", *((F.coalesce(c, F.lit(0)) - F.coalesce("own_" + c, F.lit(0))).alias(c) for c in ("labelled", "blocked")))
+
+
+def with_suffix_statistics(featured: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``SUFFIX`` from all rows; ``label`` is 1 (block), 0 (allow) or null."""
-    by_segment = featured.groupBy("suffix", "segment").agg(F.count("*").alias("urls"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")).checkpoint()
-    overall = by_segment.agg((F.sum("blocked") / F.sum("labelled")).alias("share")).first()["share"]
+    fold = F.when(F.col("label").isNull(), -1).otherwise(F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int"))
+    featured = featured.withColumn("fold", fold)
+    counts = featured.groupBy("suffix", "segment", "fold").agg(F.count("*").alias("urls"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")).checkpoint()
+    overall = counts.agg((F.sum("blocked") / F.sum("labelled")).alias("share")).first()["share"]
     overall = 0.5 if overall is None else float(overall)
-    rate = lambda prior: (F.coalesce("blocked", F.lit(0)) + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)
-    suffixes = (by_segment.groupBy("suffix").agg(F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-                .select("suffix", F.log1p("urls").alias("suffix_urls"), rate(F.lit(overall)).alias("suffix_blocked")))
-    segments = by_segment.where(F.col("labelled") >= MIN_LABELLED).select("segment", rate(F.lit(overall)).alias("segment_blocked"))
-    return (featured.join(_small(suffixes), "suffix", "left").join(_small(segments), "segment", "left")
+    rate = (F.col("blocked") + SMOOTHING * overall) / (F.col("labelled") + SMOOTHING)
+    suffixes = _by_fold(counts, "suffix").select("suffix", "fold", F.log1p("urls").alias("suffix_urls"), rate.alias("suffix_blocked"))
+    segments = _by_fold(counts, "segment").where(F.col("labelled") >= MIN_LABELLED).select("segment", "fold", rate.alias("segment_blocked"))
+    return (featured.join(_small(suffixes), ["suffix", "fold"], "left").join(_small(segments), ["segment", "fold"], "left")
             .withColumn("segment_blocked", F.coalesce("segment_blocked", F.lit(overall))))
 
 

@@ -1,6 +1,8 @@
 """Operator 4: host and path by hand, rules by brute force, and held-out accuracy of the trees."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +67,29 @@ def test_held_out_accuracy(spark):
     model = U.train(featured.where("id % 4 <> 0"))
     out = model.transform(U.assembler().transform(featured.where("id % 4 = 0")))
     assert out.where("prediction = y").count() / out.count() > 0.95
+
+
+def test_entropy_is_bits_per_character(spark):
+    rng = random.Random(8)
+    texts = ["", "a", "aaaa", "ab", "é😀é😀ab"] + ["".join(rng.choice("abc/.é1") for _ in range(rng.randint(1, 80))) for _ in range(100)] + ["xy" * 100_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", U.entropy(F.col("t")).alias("e")).collect()
+    for r in got:
+        t = texts[r["i"]]
+        want = -sum(k / len(t) * math.log2(k / len(t)) for k in Counter(t).values())
+        assert abs(r["e"] - want) < 1e-9
+
+
+def test_shares_leave_out_the_own_fold(spark):
+    rng = random.Random(12)
+    rows = [(f"https://h{i}.{rng.choice(['com', 'net'])}/{rng.choice('ab')}/{i}", rng.choice([0, 1, None])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "url string, label int").withColumns({"host": U.host_of(F.col("url")), "path": U.path_of(F.col("url"))})
+    got = U.with_suffix_statistics(U.with_features(frame)).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(U.FOLDS))).collect()
+    assert len(got) == len(rows)
+    known = [r for r in got if r["label"] is not None]
+    overall = sum(r["label"] for r in known) / len(known)
+    for r in got:
+        others = [k for k in known if r["label"] is None or k["part"] != r["part"]]
+        for key, column, least in (("suffix", "suffix_blocked", 0), ("segment", "segment_blocked", U.MIN_LABELLED)):
+            labels = [k["label"] for k in others if k[key] == r[key]]
+            want = (sum(labels) + U.SMOOTHING * overall) / (len(labels) + U.SMOOTHING) if len(labels) >= least else overall
+            assert abs(r[column] - want) < 1e-9
