@@ -13,8 +13,8 @@ into pairs; each place meets one row, the first place.
 Defined results: null text stays null, empty text stays empty. Rows equal in doc_id and text are one document and get
 the same result; rows equal in doc_id alone are ordered by their text's hash, null ids come first. A run that overlaps
 its own earlier occurrence (A A A) keeps the lines before it. A text of which every line goes becomes empty. Empty
-table: empty result. Very long texts: their lines are rows. Extra columns are kept; names that clash with the
-operator's own are safe, as it renames what it takes.
+table: empty result. Very long texts: their lines are rows. Extra columns are kept, whatever their names; only the two
+counts that the operator returns, ``n_lines`` and ``n_dropped``, replace columns of these names.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_windows(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
-    """All windows: document (``id``, ``th``), first and last line, fingerprint ``a`` at line ``at``, hashes ``w1``, ``w2``."""
+def minima(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """The selected places: document (``id``, ``th``), line ``at``, fingerprint ``a``, and the windows with that minimum
+    (first and last line, hashes ``w1``, ``w2``): at most 2 * ``min_chars``, as each begins or ends that near to it."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = (docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text).cast("string")).alias("th"), F.posexplode(F.split(own, "\n")).alias("line", "s"))
              .select("id", "th", "line", F.xxhash64("s").alias("h"), F.xxhash64(F.lit("second"), F.col("s")).alias("g"), (F.length("s") + 1).cast("long").alias("n")))
@@ -53,18 +54,18 @@ def line_windows(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Dat
     both = lines.select("id", "th", seen(forward).alias("f"), seen(back).alias("b"))
     same = (F.col("f.first") == F.col("b.first")) & (F.col("f.last") == F.col("b.last"))
     windows = F.when(same, F.array("f")).otherwise(F.array("f", "b"))
-    return both.select("id", "th", F.explode(windows).alias("w")).where(F.col("w.chars") >= min_chars).select("id", "th", "w.first", "w.last", "w.a", "w.at", "w.w1", "w.w2")
+    found = both.select("id", "th", F.explode(windows).alias("w")).where(F.col("w.chars") >= min_chars)
+    return (found.groupBy("id", "th", F.col("w.a").alias("a"), F.col("w.at").alias("at"))
+            .agg(F.collect_list(F.struct("w.first", "w.last", "w.w1", "w.w2")).alias("windows")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
     """``id``, ``th`` and ``gone``: the numbers of a document's lines that lie in later repeats."""
     place = F.struct("id", "th", "first")
-    with stashed(line_windows(docs, id_col, text, min_chars), "line-windows") as windows:
-        # fingerprints met at two places or more
-        ends = [f(c).alias(f"{k}_{c}") for c in ("id", "th", "at") for k, f in (("lo", F.min), ("hi", F.max))]
-        shared = (windows.groupBy("a").agg(*ends, F.count("id").alias("ids"), F.count("*").alias("rows"))
-                  .where("lo_th <> hi_th OR lo_at <> hi_at OR lo_id <> hi_id OR (ids > 0 AND ids < rows)").select("a").checkpoint())
-        with stashed(windows.join(shared, "a", "left_semi"), "line-matches") as places:
+    with stashed(minima(docs, id_col, text, min_chars), "line-minima") as selected:
+        shared = selected.groupBy("a").agg(F.count("*").alias("places")).where("places > 1").select("a").checkpoint()
+        joined = selected.join(shared, "a", "left_semi").select("a", "id", "th", F.inline("windows"))
+        with stashed(joined, "line-matches") as places:
             key = ["a", "w1", "w2"]
             first = places.groupBy(key).agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select(*key, "kept").checkpoint()
             later = places.join(first, key).where(~place.eqNullSafe(F.col("kept")))
