@@ -36,6 +36,8 @@ NODES, NODE_ROWS = 64, 1 << 20
 STEP_BITS = 4
 #: node pairs with at most so many fingerprint pairs are compared directly
 LEAF_PAIRS = 16
+#: node pairs that the walk takes down at a time; what a level has beyond them waits
+WALK_PAIRS = 1 << 14
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -88,13 +90,14 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndar
 def linked_pairs(left: np.ndarray, right: np.ndarray, bit: int, spent: int, budget: int, same: bool):
     """Index pairs of two sorted arrays (equal above ``bit`` each) that differ in at most ``budget`` bits.
 
-    ``spent`` bits of the budget are used above ``bit``. ``same``: both arrays are one, pairs come once.
+    ``spent`` bits of the budget are used above ``bit``. ``same``: both arrays are one, pairs come once. The walk goes
+    down first, ``WALK_PAIRS`` node pairs at a time, so at most four such slices wait at each of 64 levels.
     """
-    a_lo, a_hi = np.array([0]), np.array([len(left)])
-    b_lo, b_hi, used, own = np.array([0]), np.array([len(right)]), np.array([spent]), np.array([same])
     if not len(left) or not len(right):
         return
-    while len(a_lo):
+    waiting = [(bit, [np.array([x]) for x in (0, len(left), 0, len(right), spent, same)])]
+    while waiting:
+        bit, (a_lo, a_hi, b_lo, b_hi, used, own) = waiting.pop()
         small = ((a_hi - a_lo) * (b_hi - b_lo) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
             wide = b_hi[small] - b_lo[small]
@@ -108,7 +111,7 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, bit: int, spent: int, budg
             go = ~small
             a_lo, a_hi, b_lo, b_hi, used, own = (x[go] for x in (a_lo, a_hi, b_lo, b_hi, used, own))
             if not len(a_lo):
-                return
+                continue
         a_mid, b_mid = _split(left, a_lo, a_hi, bit), _split(right, b_lo, b_hi, bit)
         parts = []
         for al, ah, bl, bh, more, once in ((a_lo, a_mid, b_lo, b_mid, 0, own), (a_mid, a_hi, b_mid, b_hi, 0, own),
@@ -117,8 +120,8 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, bit: int, spent: int, budg
             if more and al is a_mid:
                 live &= ~own                                   # of one node, the cross pair comes once
             parts.append([x[live] for x in (al, ah, bl, bh, used + more, once)])
-        a_lo, a_hi, b_lo, b_hi, used, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bit -= 1
+        below = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        waiting += [(bit - 1, [x[lo:lo + WALK_PAIRS] for x in below]) for lo in range(0, len(below[0]), WALK_PAIRS)]
 
 
 class Forest:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from riskflow.llm import components, simhash_trie as S
@@ -49,7 +50,9 @@ def test_against_all_pairs(spark, frame, vocabulary, odd_texts):
         assert {r["doc_id"]: (r["f"], r["component_id"]) for r in out} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
 
 
-def test_walk_finds_every_pair():
+@pytest.mark.parametrize("slice_pairs", [S.WALK_PAIRS, 3])
+def test_walk_finds_every_pair(monkeypatch, slice_pairs):
+    monkeypatch.setattr(S, "WALK_PAIRS", slice_pairs)
     rng = np.random.default_rng(1)
     for depth in (0, 3, 6):
         seeds = rng.integers(0, 1 << 62, 12).astype(np.uint64)
@@ -60,10 +63,20 @@ def test_walk_finds_every_pair():
         for i, j, bit, spent in S.node_pairs(nodes, 3):
             left, right = (fps[(fps >> np.uint64(64 - depth) if depth else fps * 0) == nodes[k][0]] for k in (i, j))
             for x, y in S.linked_pairs(left, right, bit, spent, 3, i == j):
-                got |= {tuple(sorted((int(left[a]), int(right[b])))) for a, b in zip(x, y, strict=True)}
+                for a, b in zip(x, y, strict=True):
+                    pair = tuple(sorted((int(left[a]), int(right[b]))))
+                    assert pair not in got
+                    got.add(pair)
         assert got == want
 
 
+def test_walk_of_a_dense_subtree_waits_in_slices():
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 18, 60_000).astype(np.uint64))
+    n = sum(len(i) for i, _ in S.linked_pairs(fps, fps, 63, 0, 1, True))
+    assert n == sum(int(np.isin(fps ^ np.uint64(1 << b), fps).sum()) for b in range(18)) // 2
+
+
 def test_nodes_of_two_depths():
     nodes = [(0b0, 1), (0b100, 3), (0b101, 3), (0b11, 2)]
     pairs = {(i, j): (bit, spent) for i, j, bit, spent in S.node_pairs(nodes, 1)}
