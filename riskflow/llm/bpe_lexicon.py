@@ -14,8 +14,10 @@ Empty table: empty result. Memory follows the longest single text. Extra columns
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -365,11 +367,11 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 def _codec(vocab_path: str, prefix: str) -> Codec:
     key = (vocab_path, prefix)
     if key not in _CODECS:
-        folder = tempfile.mkdtemp(prefix="lexicon-")
-        for f in Lexicon.FILES:
-            os.symlink(SparkFiles.get(f"{prefix}{f}.npy"), os.path.join(folder, f + ".npy"))
         _CODECS.clear()
-        _CODECS[key] = Codec(load_vocabulary(vocab_path), Lexicon(folder))
+        with tempfile.TemporaryDirectory(prefix="lexicon-") as folder:     # the mapped files themselves are Spark's
+            for f in Lexicon.FILES:
+                os.symlink(SparkFiles.get(f"{prefix}{f}.npy"), os.path.join(folder, f + ".npy"))
+            _CODECS[key] = Codec(load_vocabulary(vocab_path), Lexicon(folder))
     return _CODECS[key]
 
 
@@ -421,6 +423,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     words = frequent_words(docs, vocab_path, lexicon_words, text)
     prefix = f"lexicon-{uuid.uuid4().hex[:12]}-"
     folder = tempfile.mkdtemp(prefix="lexicon-build-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)             # the driver serves the files to late executors until then
     Lexicon.save(words, load_vocabulary(vocab_path), folder)
     for f in Lexicon.FILES:
         os.rename(os.path.join(folder, f + ".npy"), os.path.join(folder, f"{prefix}{f}.npy"))
