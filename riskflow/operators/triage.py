@@ -7,6 +7,8 @@ structured one, else an extracted one, else the threshold fallback.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,12 +122,47 @@ def resolve(alerts: DataFrame, key: str = "alert_id", structured: DataFrame | No
     return out.drop("_structured", "_extracted")
 
 
+@dataclass
+class Lookups:
+    """What the three lookups return, as tables: a row per card (profile, recent) and a row per segment (rate)."""
+    cards: DataFrame
+    segments: DataFrame
+
+
+def _cards(own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Profile and recent k (``time@cents`` joined by ';', oldest first) of every card of ``own``."""
+    recent = recent_arrays(own, asked, k=k).select("card_id", F.concat_ws(";", F.transform(
+        "recent", lambda v: F.concat_ws("@", v["unix_time"].cast("string"), F.round(v["amt"] * 100).cast("long").cast("string")))).alias("recent"))
+    return card_profile(own).join(recent, "card_id", "left")
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    return segment_rates(rows).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
+
+
+def lookups(tx: DataFrame, k: int = RECENT_K) -> Lookups:
+    """The lookups of a whole history, computed once and written to the shared folder, for the many batches of a stream."""
+    spark, base = tx.sparkSession, scratch_path(tx.sparkSession, "lookups")
+    x = tx.withColumn("card_id", F.col("cc_num").cast("string"))
+    own = x.where(F.col("card_id").isNotNull())
+    _cards(own, own.select("card_id"), k).write.parquet(f"{base}/cards")
+    _segments(x).write.parquet(f"{base}/segments")
+    return Lookups(spark.read.parquet(f"{base}/cards"), spark.read.parquet(f"{base}/segments"))
+
+
+def attach(alerts: DataFrame, found: Lookups) -> DataFrame:
+    """K2 on prepared lookups. The cards go through a shuffle, never through the driver; there are few segments."""
+    return (alerts.join(found.cards.hint("shuffle_hash"), "card_id", "left").join(found.segments, ["category", "state"], "left")
+                  .withColumn("segment_rate", F.coalesce("segment_rate", F.lit(0.0))))
+
+
 def enrich(alerts: DataFrame, tx: DataFrame, k: int = RECENT_K) -> DataFrame:
     """K2: each alert with what the three lookups return: profile, recent k (``time@cents`` joined
     by ';', oldest first) and the segment fraud rate (0.0 when unseen).
 
     The alerts are computed once. The history is cut in one pass to the rows of their cards and segments, written to the
-    shared folder; the lookups read their columns of that, so they cost what was alerted.
+    shared folder; the lookups read their columns of that, so they cost what was alerted. A stream, which would read the
+    history once for each batch, takes ``lookups`` and ``attach`` instead.
     """
     spark = tx.sparkSession
     checkpoint_dir(spark)
@@ -139,12 +176,7 @@ def enrich(alerts: DataFrame, tx: DataFrame, k: int = RECENT_K) -> DataFrame:
     x.where("_own OR _seg").write.parquet(path)
     near = spark.read.parquet(path)
     own = near.where("_own").withColumn("cc_num", F.col("card_id"))
-    recent = recent_arrays(own, cards, k=k).select("card_id", F.concat_ws(";", F.transform(
-        "recent", lambda v: F.concat_ws("@", v["unix_time"].cast("string"), F.round(v["amt"] * 100).cast("long").cast("string")))).alias("recent"))
-    seg = segment_rates(near.where("_seg")).select("category", "state", F.col("fraud_rate").alias("segment_rate"))
-    return (alerts.join(card_profile(own), "card_id", "left").join(recent, "card_id", "left")
-                  .join(seg, ["category", "state"], "left")
-                  .withColumn("segment_rate", F.coalesce("segment_rate", F.lit(0.0))))
+    return attach(alerts, Lookups(_cards(own, cards, k), _segments(near.where("_seg"))))
 
 
 def plain_decimal(c: Column) -> Column:

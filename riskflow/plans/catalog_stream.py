@@ -21,7 +21,9 @@ from .present import present
 
 def _run(spark, sf, late_every: int = 0):
     def make():
-        src, tx = scratch_path(spark, "replay"), tx_events(spark, sf)
+        src, rows = scratch_path(spark, "replay"), scratch_path(spark, "transactions")
+        tx_events(spark, sf).write.parquet(rows)        # joined once; the replay and the lookups read it several times
+        tx = spark.read.parquet(rows)
         info = write_replay(tx, src, late_every=late_every)
         # rows moved to the next file wait for at most one file's time span
         delay = info["span"] + 1 if late_every else 0

@@ -83,21 +83,22 @@ def is_real() -> Column:
     return F.col("user") != SENTINEL_CARD
 
 
-def alert_batch(alerts: str, quarantine: str, history: DataFrame | None = None, k: int = K.RECENT_K):
-    """Handler of one micro-batch of alert payloads: parse, enrich (K2, with ``history``), decide, write.
+def alert_batch(alerts: str, quarantine: str, found: K.Lookups | None = None):
+    """Handler of one micro-batch of alert payloads: parse, enrich (K2, with the lookups ``found``), decide, write.
 
     Valid alerts go to ``alerts`` and the others, with their error, to ``quarantine``; a batch has one folder in each,
-    so a repeated batch overwrites itself.
+    so a repeated batch overwrites itself. A payload is decoded once; filters do not reach behind the kept rows.
     """
     def handle(payload: DataFrame, batch_id: int) -> None:
-        parsed = K.parse_alerts(payload)
+        parsed = K.parse_alerts(payload).persist()
         parsed.where("NOT valid").select("alert_id", "key", "value", "error").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
         decided = K.resolve(parsed.where("valid"))
         columns = ["alert_id", "key", "value", "card_id", "score", "decision"]
-        if history is not None:
-            decided = K.enrich(decided, history, k)
+        if found is not None:
+            decided = K.attach(decided, found)
             columns += K.ENRICHED
         decided.select(columns).write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
+        parsed.unpersist()
 
     return handle
 
@@ -107,7 +108,8 @@ def run_alerts(spark: SparkSession, payloads: str, history: DataFrame | None = N
     base = scratch_path(spark, "alert-stream")
     run = StreamRun(payloads, "", f"{base}/alerts", f"{base}/quarantine", "", f"{base}/ckpt")
     stream = spark.readStream.schema("alert_id long, key string, value string").parquet(payloads)
-    (stream.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, history))
+    found = None if history is None else K.lookups(history)
+    (stream.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, found))
            .option("checkpointLocation", f"{run.checkpoints}/alerts").trigger(availableNow=True).start()).awaitTermination()
     return run
 
@@ -124,13 +126,15 @@ def run_stream(spark: SparkSession, source: str, p: Processed, threshold: float,
                shards: int | None = None) -> StreamRun:
     """Run the feature, alert and metric streams side by side until the source is used up.
 
-    Alerts of a feature batch are parsed, enriched and written while later batches are read. ``pace_seconds`` starts a
+    Alerts of a feature batch are parsed, enriched and written while later batches are read; what they are enriched with is
+    looked up in ``history`` once, before the streams begin. ``pace_seconds`` starts a
     feature batch every so often (0: as soon as the last is done). ``dropped_late`` is what Spark reports as behind the
     watermark over all batches.
     """
     base = scratch_path(spark, "stream")
     run = StreamRun(source, f"{base}/features", f"{base}/alerts", f"{base}/quarantine", f"{base}/metrics", f"{base}/ckpt")
     features = finish_features(stream_state_features(read_stream(spark, source, max_files), delay_seconds, shards), p.spec)
+    found = None if history is None else K.lookups(history)
     listener = Progress()
     spark.streams.addListener(listener)
     began = time.time()
@@ -142,7 +146,7 @@ def run_stream(spark: SparkSession, source: str, p: Processed, threshold: float,
         # scoring + alerts and the metric read the feature sink as streams of their own (own checkpoints)
         scored = scored_stream(spark.readStream.schema(features.schema).parquet(run.features), p, threshold)
         alerts = K.alert_payload(scored.where(is_real() & F.col("flag")).withColumn("amt", F.col("amt_raw")))
-        q2 = (alerts.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, history))
+        q2 = (alerts.writeStream.foreachBatch(alert_batch(run.alerts, run.quarantine, found))
                     .option("checkpointLocation", f"{run.checkpoints}/alerts").start())
         # A failure of the metric never stops scoring
         metric_in = scored.withColumn("event_time", F.timestamp_seconds("unix_time"))

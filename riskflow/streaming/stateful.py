@@ -3,7 +3,8 @@
 Cards are dealt by hash to shards, and a shard is the key of the state processor, so a call handles the rows of many cards at
 once. A shard's state:
 
-* ``past``: for each card the rows seen, sum and count of non-null amounts, and the last time. It does not grow with the rows;
+* ``past``: for each card the rows seen, sum and count of non-null amounts, and the last time, as one packed table that a
+  batch reads and writes once, about 50 bytes a card. It does not grow with the rows;
 * ``runs``: the rows that wait for the watermark. What is left waiting of a batch is one run, sorted by time and filed under
   its earliest time, so a batch reads only the runs that it releases rows of, whatever else waits;
 * an event-time timer at the earliest waiting time, for shards without new rows.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,12 +42,13 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+PAST = pa.schema([("user", pa.string()), ("n", pa.int64()), ("s", pa.float64()), ("nn", pa.int64()), ("last_t", pa.int64())])
 
 
-def _packed(run: pa.Table) -> bytes:
+def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, RUN) as out:
-        out.write_table(run)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -58,7 +61,7 @@ class CausalState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.past = handle.getMapState("past", "user string", "n long, s double, nn long, last_t long")
+        self.past = handle.getValueState("past", "body binary")
         self.runs = handle.getMapState("runs", "start long", "body binary")
         self.timer = handle.getValueState("timer", "at long")
 
@@ -112,18 +115,29 @@ class CausalState(StatefulProcessor):
         k = len(t)
         prior_n, prev_t, prior_cnt = (np.empty(k, np.int64) for _ in range(3))
         prior_sum, first = np.empty(k), np.zeros(k, bool)
-        edges = np.append(np.flatnonzero(np.append(True, user[1:] != user[:-1])), k)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):     # one card each
-            card = (names[user[a]],)
-            past = self.past.getValue(card)
-            n, s, nn, last_t = past if past is not None else (0, 0.0, 0, None)
-            prior_n[a:b] = n + np.arange(b - a)
-            sums, counts = np.cumsum(value[a:b]), np.cumsum(valid[a:b])
-            prior_sum[a:b] = s + (sums - value[a:b])
-            prior_cnt[a:b] = nn + counts - valid[a:b]
-            prev_t[a + 1:b] = t[a:b - 1]
-            prev_t[a], first[a] = (0, True) if last_t is None else (last_t, False)
-            self.past.updateValue(card, (int(n + b - a), float(s + sums[-1]), int(nn + counts[-1]), int(t[b - 1])))
+        starts = np.flatnonzero(np.append(True, user[1:] != user[:-1]))
+        ends = np.append(starts[1:], k)
+        cards = pa.array(names[user[starts]], pa.string())
+        held = self.past.get()
+        past = _unpacked(bytes(held[0])) if held is not None else PAST.empty_table()
+        at = pc.index_in(cards, past["user"].combine_chunks())
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        n, s, nn, last_t = (past[c].take(at).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in PAST.names[1:])
+        sums = value.copy()
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):              # one card each
+            if b - a > 1:
+                np.cumsum(value[a:b], out=sums[a:b])
+        size = ends - starts
+        counts = np.cumsum(valid)
+        before = np.repeat(counts[starts] - valid[starts], size)                  # valid amounts of the cards before
+        prior_n[:] = np.repeat(n - starts, size) + np.arange(k)
+        prior_sum[:] = np.repeat(s, size) + (sums - value)
+        prior_cnt[:] = np.repeat(nn, size) + counts - before - valid
+        prev_t[1:] = t[:-1]
+        prev_t[starts], first[starts] = last_t, ~known
+        moved = pa.table([cards, n + size, s + sums[ends - 1], nn + (counts - before)[ends - 1], t[ends - 1]], schema=PAST)
+        kept = past.filter(pc.invert(pc.is_in(past["user"], cards)))
+        self.past.update((_packed(pa.concat_tables([kept, moved]).combine_chunks()),))
         out = {"user": rows["user"].to_pandas(), "unix_time": t, "tie": rows["tie"].to_numpy(), "amt": amt, "amt_raw": raw}
         out |= {c: rows[c].to_pandas() for c in PASS}
         out |= {"_prior_n": prior_n, "_prev_t": pd.arrays.IntegerArray(prev_t, first), "_prior_sum": prior_sum, "_prior_cnt": prior_cnt}
