@@ -5,8 +5,9 @@ query goes on behind the last record of its checkpoint. A new query starts at th
 beginnings (``earliest``); a shard that appears later is read from its beginning. A poll takes at most ``records`` whole
 lines of each shard; a line without its end yet waits for a later poll.
 
-The driver finds where the next ``records`` lines of each shard end; the lines themselves are read and parsed by tasks, one
-for each shard with new records. When a query is restarted, Spark first plans the last batch of its log again, which tells
+The driver finds where the next ``records`` lines of each shard end by counting line ends in the bytes; the lines themselves
+are read and parsed by tasks. A poll of many shards is dealt over at most ``tasks`` of them, in parts of about equal bytes, so
+a poll costs its records and not a task and an output file for each shard. When a query is restarted, Spark first plans the last batch of its log again, which tells
 the reader where to go on.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -23,6 +26,11 @@ from .replay import STREAM_TX
 
 RECORDS = 100           # fixed value: records of a shard per poll
 PIECE = 1 << 16         # bytes read at a time
+TASKS = 8               # tasks of a poll; read_shards gives two for each core if that is more
+BATCH = 10_000          # rows handed to Spark at a time
+
+
+ROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[f.dataType.simpleString()]) for f in STREAM_TX.fields])
 
 
 def _opened(path: str):
@@ -32,17 +40,23 @@ def _opened(path: str):
     return system, root.rstrip("/")
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    text = lambda v: v if v is None or isinstance(v, str) else str(v)
+    values = ([text(r.get(f.name)) if pa.types.is_string(f.type) else r.get(f.name) for r in rows] for f in ROW)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, ROW, strict=True)], schema=ROW)
+
+
 class Lines(InputPartition):
-    """Bytes ``begin`` to ``end`` of a shard."""
+    """Shards with their bytes ``begin`` to ``end``, read by one task."""
 
-    def __init__(self, shard: str, begin: int, end: int):
-        super().__init__((shard, begin, end))
-        self.shard, self.begin, self.end = shard, begin, end
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        super().__init__(parts)
+        self.parts = parts
 
 
 class ShardReader(DataSourceStreamReader):
-    def __init__(self, path: str, records: int, starting: str):
-        self.path, self.records, self.starting = path, records, starting
+    def __init__(self, path: str, records: int, starting: str, tasks: int):
+        self.path, self.records, self.starting, self.tasks = path, records, starting, tasks
         self.polled: dict | None = None
 
     def shards(self) -> dict[str, int]:
@@ -53,24 +67,17 @@ class ShardReader(DataSourceStreamReader):
         found = system.get_file_info(fs.FileSelector(root))
         return {f.base_name: f.size for f in sorted(found, key=lambda f: f.base_name) if f.is_file and f.base_name[0] not in "._"}
 
-    def lines(self, shard: str, begin: int, most: int | None, end: int | None) -> tuple[list[bytes], int]:
-        """Whole lines from byte ``begin``, at most ``most`` of them or those up to byte ``end``, and where they end."""
-        system, root = _opened(self.path)
-        held, out, at = b"", [], begin
-        with system.open_input_file(f"{root}/{shard}") as f:
+    def end_of(self, system, shard: str, begin: int) -> int:
+        """Where the next ``records`` whole lines of a shard end, or all of them if there are fewer."""
+        left, at, end = self.records, begin, begin
+        with system.open_input_file(shard) as f:
             f.seek(begin)
-            while (most is None or len(out) < most) and (end is None or at < end):
-                piece = f.read(PIECE)
-                if not piece:
-                    break
-                held += piece
-                *whole, held = held.split(b"\n")
-                for line in whole:
-                    if (most is not None and len(out) == most) or (end is not None and at >= end):
-                        break
-                    out.append(line)
-                    at += len(line) + 1
-        return out, at
+            while left and (piece := f.read(PIECE)):
+                ends = np.flatnonzero(np.frombuffer(piece, np.uint8) == 10)[:left]
+                if len(ends):
+                    end = at + int(ends[-1]) + 1
+                left, at = left - len(ends), at + len(piece)
+        return end
 
     def initialOffset(self) -> dict:
         return {k: size if self.starting == "latest" else 0 for k, size in self.shards().items()}
@@ -78,28 +85,41 @@ class ShardReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.polled is None:
             self.polled = self.initialOffset()
-        self.polled = self.polled | {k: self.lines(k, self.polled.get(k, 0), self.records, None)[1]
+        system, root = _opened(self.path)
+        self.polled = self.polled | {k: self.end_of(system, f"{root}/{k}", self.polled.get(k, 0))
                                      for k, size in self.shards().items() if size > self.polled.get(k, 0)}
         return self.polled
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
         if self.polled is None:                         # a restart: the last batch that was planned
             self.polled = end
-        return [Lines(k, start.get(k, 0), upto) for k, upto in sorted(end.items()) if upto > start.get(k, 0)]
-
-    def read(self, partition: Lines) -> Iterator[tuple]:
-        names = [f.name for f in STREAM_TX.fields]
-        for line in self.lines(partition.shard, partition.begin, None, partition.end)[0]:
-            if line.strip():
-                record = json.loads(line)
-                yield tuple(record.get(c) for c in names)
+        parts = [(k, start.get(k, 0), upto) for k, upto in sorted(end.items()) if upto > start.get(k, 0)]
+        share = sum(upto - begin for _, begin, upto in parts) / self.tasks
+        dealt, held = {}, 0
+        for part in parts:
+            dealt.setdefault(int(held / share), []).append(part)
+            held += part[2] - part[1]
+        return [Lines(p) for p in dealt.values()]
+
+    def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(self.path)
+        rows = []
+        for shard, begin, end in partition.parts:
+            with system.open_input_file(f"{root}/{shard}") as f:
+                f.seek(begin)
+                rows += [json.loads(line) for line in f.read(end - begin).split(b"\n") if line.strip()]
+            while len(rows) >= BATCH:
+                yield _batch(rows[:BATCH])
+                rows = rows[BATCH:]
+        if rows:
+            yield _batch(rows)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class ShardSource(DataSource):
-    """Options: ``path`` of the folder of shards, ``records`` per shard and poll, ``starting`` latest | earliest."""
+    """Options: ``path`` of the folder of shards, ``records`` per shard and poll, ``starting`` latest | earliest, ``tasks`` per poll."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,7 +132,7 @@ class ShardSource(DataSource):
         starting = self.options.get("starting", "latest")
         if starting not in ("latest", "earliest"):
             raise ValueError(f"starting is latest or earliest, not {starting!r}")
-        return ShardReader(self.options["path"], int(self.options.get("records", RECORDS)), starting)
+        return ShardReader(self.options["path"], int(self.options.get("records", RECORDS)), starting, int(self.options.get("tasks", TASKS)))
 
 
 def read_shards(spark: SparkSession, path: str, records: int = RECORDS, starting: str = "latest") -> DataFrame:
@@ -120,7 +140,9 @@ def read_shards(spark: SparkSession, path: str, records: int = RECORDS, starting
     from ..session import ship_package
     ship_package(spark)
     spark.dataSource.register(ShardSource)
-    return (spark.readStream.format(ShardSource.name()).option("path", path).option("records", str(records)).option("starting", starting).load()
+    tasks = max(TASKS, 2 * spark.sparkContext.defaultParallelism)
+    return (spark.readStream.format(ShardSource.name()).option("path", path).option("records", str(records)).option("starting", starting)
+                 .option("tasks", str(tasks)).load()
                  .withColumn("event_time", F.timestamp_seconds("unix_time")))
 
 

@@ -213,3 +213,28 @@ def test_state_is_read_and_written_once_a_batch_whatever_the_cards():
         seen = got[tie]
         assert (seen[0], None if pd.isna(seen[1]) else seen[1], *seen[2:]) == (n, last, s, nn)
         past[user] = (n + 1, s + (amt or 0.0), nn + (amt is not None), t)
+
+
+def test_a_poll_of_many_shards_has_few_tasks(tmp_path):
+    """Shards of a poll share tasks; each byte is in one part, and what the parts hold is every whole line once."""
+    import json
+
+    from riskflow.streaming.shards import ShardReader
+
+    for i in range(300):
+        with open(tmp_path / f"s{i:03d}", "w") as f:
+            for n in range(i % 40):
+                f.write(json.dumps({"cc_num": f"c{i}", "tie": i * 100 + n, "amt": 2, "state": "x" * (i * 3)}) + "\n" + ("\n" if n == 7 else ""))
+            f.write('{"tie": 1')                        # a line without its end
+    reader, start, got, polls = ShardReader(str(tmp_path), 10, "earliest", 8), {}, [], 0
+    start = reader.initialOffset()
+    while (end := reader.latestOffset()) != start:
+        planned = reader.partitions(start, end)
+        assert 1 <= len(planned) <= 8
+        parts = [p for lines in planned for p in lines.parts]
+        assert sorted(parts) == [(k, start[k], end[k]) for k in sorted(end) if end[k] > start[k]]
+        new = [r["tie"] for lines in planned for b in reader.read(lines) for r in b.to_pylist()]
+        assert len(new) <= 10 * len(parts)
+        got, start, polls = got + new, end, polls + 1
+    assert sorted(got) == [i * 100 + n for i in range(300) for n in range(i % 40)]
+    assert polls == 4
