@@ -57,6 +57,11 @@ def build_processed(raw: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, test_size:
         feats = feats.sparkSession.read.parquet(path)
     cut = cutoffs(feats, "unix_time", test_size, val_size)
     feats = label_split(feats, cut).withColumn("y", F.col("is_fraud").cast("int"))
+    return fit_processed(feats, cut, spec, representation)
+
+
+def fit_processed(feats: DataFrame, cut: Cutoffs, spec: FeatureSpec, representation: str = "raw") -> Processed:
+    """Jobs (3) and (4) on features with their split and label; another representation starts here, from the same features."""
     num = spec.numeric()
     if representation == "triple_pca":
         from ..operators.pca import triple_pca

@@ -14,10 +14,9 @@ from ..operators.scoring import score
 from ..operators.windows import seq_windows, split_windows
 from ..schema import SEQ_LEN
 from ..session import scratch_path
-from ..sources.adapters import tx_events
 from ..sources.io import RUN_METRICS, load_processed, read_fitted, read_run_metrics, write_bucketed, write_fitted, write_processed
 from . import oracle_sql as O
-from .build import build_processed, feature_columns
+from .build import feature_columns, fit_processed
 from .catalog import ORACLE, _exploded, _memo, processed, register, with_sql
 from .present import present
 
@@ -129,8 +128,10 @@ def _logreg(spark, sf, representation: str = "raw"):
 
 
 def _pca_processed(spark, sf):
-    return _memo(spark, sf, "processed-pca",
-                 lambda: build_processed(tx_events(spark, sf), representation="triple_pca"))
+    def make():
+        p = processed(spark, sf)        # the projections are of the same features and split
+        return fit_processed(p.features, p.cut, p.spec, "triple_pca")
+    return _memo(spark, sf, "processed-pca", make)
 
 
 @register("logreg_metrics")

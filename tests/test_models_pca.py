@@ -77,3 +77,24 @@ def test_pca_ignores_non_train_rows(spark):
     rb = {r["tie"]: [r[n] for n in names] for r in b.where("split = 0").collect()}
     for t in ra:
         assert ra[t] == pytest.approx(rb[t], abs=1e-4)
+
+
+def test_projections_start_from_the_features_that_are_there(spark, monkeypatch):
+    """The second representation joins no transactions and builds no features again, and is what a build of its own gives."""
+    from riskflow.plans import build, catalog, catalog_models
+    from riskflow.sources import tx_events
+
+    sf = "/root/testdata/sf0.001"
+    own = build.build_processed(tx_events(spark, sf), representation="triple_pca")
+    catalog.processed(spark, sf)
+
+    def again(*_, **__):
+        raise AssertionError("features built again")
+
+    monkeypatch.setattr(build, "features_table", again)
+    monkeypatch.setattr(catalog, "_MEMO", {k: v for k, v in catalog._MEMO.items() if k[3] != "processed-pca"})
+    got = catalog_models._pca_processed(spark, sf)
+    assert got.cut == own.cut and got.maps == own.maps and got.representation == "triple_pca" and list(got.stats) == list(own.stats)
+    for name, held in own.stats.items():
+        assert all(abs(a - b) < 1e-6 for a, b in zip(got.stats[name], held, strict=True))
+    assert got.table.count() == own.table.count()
