@@ -3,7 +3,7 @@
 H5 runs a causal temporal-convolution network's forward pass in ``mapInPandas``: Arrow batches of
 windows in, logits out, weights shipped once with the function (about 65k floats, fixed size).
 No trained checkpoint ships with the reference, so the weights come from an ``.npz`` file when one
-is given and from a seeded initialisation otherwise. H6 and H7 train on the TRAIN split with Spark ML.
+is given and from a seeded initialisation otherwise. H6 trains on the TRAIN split with Spark ML, H7 with ``boosting``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TRAIN
+from . import boosting
+from .boosting import BoostedTrees
 
 CHANNELS = (64, 64, 64)   # fixed values: hidden channels per block, kernel size
 KERNEL = 3
@@ -143,32 +145,31 @@ def logreg_gradient(df: DataFrame, cols: Sequence[str], coefficients: Sequence[f
     return train.agg(*aggs).selectExpr(f"stack({len(terms)}, {stack}) as (feature, at_zero, at_fit)")
 
 
-def staged_losses(model, df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split") -> list[float]:
+def staged_losses(model: BoostedTrees, df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split") -> list[float]:
     """H7's progress: the weighted mean log loss on TRAIN after each tree of a fitted model, one number per tree."""
-    train = _gbt_data(df, cols, y, split_col)
-    return list(model.evaluateEachIteration(train))
+    train, _, _, weight = _weighted_train(df, y, split_col)
+    return boosting.mean_losses(model, train, cols, y, weight)
 
 
 def train_gbt(df: DataFrame, cols: Sequence[str], y: str = "y", split_col: str = "split", trees: int = 400,
-              depth: int = 6, rate: float = 0.05, seed: int = 42):
+              depth: int = 6, rate: float = 0.05, seed: int = 42) -> BoostedTrees:
     """H7: boosted trees with positives weighted by negatives / max(positives, 1), fit on TRAIN."""
-    from pyspark.ml.classification import GBTClassifier
-    gbt = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_w", maxIter=trees, maxDepth=depth,
-                        stepSize=rate, seed=seed)
-    return gbt.fit(_gbt_data(df, cols, y, split_col))
+    train, n, pos, weight = _weighted_train(df, y, split_col)
+    return boosting.fit(train, cols, y, n, pos, weight, trees, depth, rate, seed)
 
 
-def _gbt_data(df: DataFrame, cols: Sequence[str], y: str, split_col: str) -> DataFrame:
+def _weighted_train(df: DataFrame, y: str, split_col: str) -> tuple[DataFrame, int, int, float]:
+    """TRAIN, its rows, its positives and their weight."""
     train = df.where(F.col(split_col) == TRAIN)
     c = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")).first()
     n, pos = int(c["n"]), int(c["pos"] or 0)
-    spw = (n - pos) / max(pos, 1)
-    return _assembled(train.withColumn("_w", F.when(F.col(y) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
-                           .withColumn("_label", F.col(y).cast("double")), cols)
+    return train, n, pos, (n - pos) / max(pos, 1)
 
 
 def model_scores(model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Positive-class probability of a fitted Spark ML classifier as ``score``."""
+    """Positive-class probability of boosted trees or of a fitted Spark ML classifier as ``score``."""
+    if isinstance(model, BoostedTrees):
+        return boosting.scores(model, df, cols)
     from pyspark.ml.functions import vector_to_array
     out = model.transform(_assembled(df, cols))
     return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction",
