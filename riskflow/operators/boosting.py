@@ -7,7 +7,7 @@ counted together) and margins. A level is one job: each task returns histograms
 depend on the rows. Of two children only the smaller is counted, the other is the parent's less it. Splits of equal gain
 go to the first feature and its lowest threshold, so the trees do not depend on how rows are dealt.
 
-A partition has ``PART_ROWS`` rows at most, about 60 bytes each while a task works on it. The driver holds a level's histograms,
+A table of at most ``LOCAL_ROWS`` rows is one partition and one job. Of others a partition has ``PART_ROWS`` rows at most, about 60 bytes each while a task works on it. The driver holds a level's histograms,
 about 150 KB a partition, and the trees.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 MAX_BINS = 32             # fixed values: Spark ML's defaults
 SAMPLE_ROWS = 10_000      # rows that candidates are taken from, about
+LOCAL_ROWS = 100_000      # up to so many rows are one partition
 PART_ROWS = 4_000_000     # rows of a partition, about
 CHECKPOINT_TREES = 25     # trees between checkpoints of the margins
 JOINT_BINS = 1024         # features are counted together up to so many joint bins
@@ -62,11 +63,11 @@ class BoostedTrees:
 
 
 def candidates(values: np.ndarray, weights: np.ndarray, splits: int) -> np.ndarray:
-    """At most ``splits`` thresholds: all midpoints of distinct values, or those nearest to equal steps of weight; infinity parts NaN."""
+    """At most ``splits`` thresholds: all midpoints of distinct values, or those nearest to equal steps of weight."""
     distinct, at = np.unique(values, return_inverse=True)
     if len(distinct) < 2:
         return np.empty(0)
-    middle = np.where(np.isnan(distinct[1:]), np.inf, (distinct[:-1] + distinct[1:]) / 2.0)
+    middle = (distinct[:-1] + distinct[1:]) / 2.0
     if len(middle) <= splits:
         return middle
     reached = np.cumsum(np.bincount(at.ravel(), weights))
@@ -234,31 +235,42 @@ def _grown(ask, depth: int, pos_weight: float) -> _Tree:
     return tree
 
 
+def _count(part: tuple, tree: _Tree, nodes: list[int], sizes: Sequence[int], pos_weight: float, counts: bool = True) -> np.ndarray:
+    """The nodes' histograms over a partition."""
+    data, at = _Rows(*part, sizes), {x: i for i, x in enumerate(nodes)}
+    target, out = data.target(pos_weight), np.zeros((len(nodes), 3, len(sizes), MAX_BINS))
+    for x, found in data.node_rows(tree, set(nodes)):
+        out[at[x]] = data.histogram(found, target, counts)
+    return out
+
+
+def _move(part: tuple, tree: _Tree, scale: float, sizes: Sequence[int]) -> tuple:
+    """The partition with the tree's values added to the margins."""
+    data = _Rows(*part, sizes)
+    margin = np.zeros(data.n) if data.margin is None else data.margin.copy()
+    for at, found in data.node_rows(tree, set(tree.ends)):
+        margin[slice(None) if found is None else found] += scale * tree.ends[at]
+    return data.positives, data.held, margin.tobytes()
+
+
 def _counted(rows: RDD, tree: _Tree, nodes: list[int], sizes: Sequence[int], pos_weight: float, counts: bool = True) -> np.ndarray:
     """The nodes' histograms over all partitions: a job."""
-    def count(part: tuple) -> bytes:
-        data, at = _Rows(*part, sizes), {x: i for i, x in enumerate(nodes)}
-        target, out = data.target(pos_weight), np.zeros((len(nodes), 3, len(sizes), MAX_BINS))
-        for x, found in data.node_rows(tree, set(nodes)):
-            out[at[x]] = data.histogram(found, target, counts)
-        return out.tobytes()
-
     total = np.zeros((len(nodes), 3, len(sizes), MAX_BINS))
-    for part in rows.map(count).collect():
+    for part in rows.map(lambda part: _count(part, tree, nodes, sizes, pos_weight, counts).tobytes()).collect():
         total += np.frombuffer(part).reshape(total.shape)
     return total
 
 
-def _moved(rows: RDD, tree: _Tree, scale: float, sizes: Sequence[int]) -> RDD:
-    """The partitions with the tree's values added to the margins."""
-    def move(part: tuple) -> tuple:
-        data = _Rows(*part, sizes)
-        margin = np.zeros(data.n) if data.margin is None else data.margin.copy()
-        for at, found in data.node_rows(tree, set(tree.ends)):
-            margin[slice(None) if found is None else found] += scale * tree.ends[at]
-        return data.positives, data.held, margin.tobytes()
+def _scale(m: int, rate: float) -> float:
+    return 1.0 if m == 0 else rate      # as in Spark ML
+
 
-    return rows.map(move)
+def _alone(part: tuple, trees: int, depth: int, rate: float, pos_weight: float, sizes: Sequence[int]) -> Iterator[_Tree]:
+    """The trees of a table that is a single partition: it has no one to exchange histograms with."""
+    for m in range(trees):
+        tree = _grown(lambda t, nodes, part=part: _count(part, t, nodes, sizes, pos_weight), depth, pos_weight)
+        yield tree
+        part = _move(part, tree, _scale(m, rate), sizes)
 
 
 def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos_weight: float, trees: int, depth: int, rate: float,
@@ -271,7 +283,7 @@ def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos
     spark = train.sparkSession
     ship_package(spark)
     checkpoint_dir(spark)
-    parts = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // PART_ROWS))))
+    parts = 1 if n <= LOCAL_ROWS else max(spark.sparkContext.defaultParallelism, -(-n // PART_ROWS))
     block = max(64, min(4096, n // (8 * parts)))
     d = len(cols)
     data = train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col(label).cast("double").alias("y"))
@@ -288,6 +300,8 @@ def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos
             v = _columns(batch, d + 1)
             if not np.isin(v[:, d], (0.0, 1.0)).all():
                 raise ValueError("labels must be 0 or 1")
+            if not np.isfinite(v).all():
+                raise ValueError("features must not be null, NaN or infinite in training")
             b = np.column_stack([*(np.searchsorted(t, v[:, i]) for i, t in enumerate(thresholds)), v[:, d]]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([b[i:i + block].tobytes() for i in range(0, len(b), block)], pa.binary())], ["rows"])
 
@@ -300,7 +314,11 @@ def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos
             yield pa.RecordBatch.from_arrays([pa.array([int(b[:, d].sum(dtype=np.int64))], pa.int64()), pa.array([np.stack(codes).tobytes()], pa.binary())], ["positives", "codes"])
 
     dealt = data.mapInArrow(binned, "rows binary").repartition(parts).mapInArrow(joined, "positives long, codes binary")
-    rows = dealt.rdd.map(lambda r: (r[0], bytes(r[1]), b"")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = dealt.rdd.map(lambda r: (r[0], bytes(r[1]), b""))
+    if parts == 1:
+        grown = rows.flatMap(lambda part: _alone(part, trees, depth, rate, pos_weight, sizes)).collect()
+        return BoostedTrees(depth, *(np.array(x) for x in zip(*(t.arrays(depth, thresholds, _scale(m, rate)) for m, t in enumerate(grown)), strict=True)))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     found: list[tuple] = []
     old, saved, root = None, None, None
 
@@ -318,7 +336,7 @@ def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos
 
     try:
         for m in range(trees):
-            scale = 1.0 if m == 0 else rate      # as in Spark ML
+            scale = _scale(m, rate)
             tree = _grown(ask, depth, pos_weight)
             found.append(tree.arrays(depth, thresholds, scale))
             if rows.isCheckpointed():
@@ -326,7 +344,7 @@ def fit(train: DataFrame, cols: Sequence[str], label: str, n: int, pos: int, pos
                     remove_path(spark, saved)
                 saved = rows.getCheckpointFile()
             if m + 1 < trees:
-                old, rows = rows, _moved(rows, tree, scale, sizes).persist(StorageLevel.MEMORY_AND_DISK)
+                old, rows = rows, rows.map(lambda part, tree=tree, scale=scale: _move(part, tree, scale, sizes)).persist(StorageLevel.MEMORY_AND_DISK)
                 if (m + 1) % CHECKPOINT_TREES == 0:
                     rows.checkpoint()
     finally:
